@@ -28,7 +28,8 @@ def r4(value: Column) -> Column:
 
 
 def ratio(num: Column, den: Column, empty: float) -> Column:
-    return F.when(den > 0, num.cast("double") / den).otherwise(F.lit(empty))
+    """num/den, or ``empty`` for den = 0; safe wherever the optimizer moves the division."""
+    return F.coalesce(num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0)), F.lit(empty))
 
 
 def risk_rank(score: Column) -> Column:

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import let, positions
+from ..functions.arrays import positions
 from ..functions.scalar import round_half_up
 from ..profiles import Profile
-from .segment import normalized
+from .segment import normalized, unnest
 from .selfmodel import jaccard
 
 # FIXED VALUES
@@ -24,23 +24,23 @@ def _paragraph_arrays(docs: DataFrame) -> DataFrame:
     return normalized(docs).select("doc_id", T.paragraphs(F.col("norm"), trimmed=False).alias("paras"))
 
 
+def _paragraphs_of_many(docs: DataFrame) -> DataFrame:
+    """Paragraph rows of documents that have at least two."""
+    arrays = _paragraph_arrays(docs)
+    return unnest(arrays, ("doc_id",), F.when(F.size("paras") >= 2, F.col("paras")), "text", pos="para")
+
+
 def topic_gaps(docs: DataFrame, p: Profile) -> DataFrame:
     """Neighbouring paragraphs of enough topics that share next to none of them."""
-    topics = _paragraph_arrays(docs).where(F.size("paras") >= 2).select(
-        "doc_id", F.transform("paras", lambda t: T.topic_ngrams(t, p)).alias("topics")
+    topics = _paragraph_arrays(docs).select(
+        "doc_id", F.when(F.size("paras") >= 2, F.transform("paras", lambda t: T.topic_ngrams(t, p))).alias("topics")
     )
     k = F.col("topics")
-    compared = topics.select(
-        "doc_id",
-        F.explode(
-            F.transform(
-                F.filter(
-                    positions(F.size(k) - 1), lambda i: F.least(F.size(F.get(k, i - 1)), F.size(F.get(k, i))) >= GAP_MIN_TOPICS
-                ),
-                lambda i: F.struct(i.alias("from_para"), (i + 1).alias("to_para"), jaccard(F.get(k, i - 1), F.get(k, i)).alias("similarity")),
-            )
-        ).alias("g"),
+    neighbours = F.transform(
+        F.filter(positions(F.size(k) - 1), lambda i: F.least(F.size(F.get(k, i - 1)), F.size(F.get(k, i))) >= GAP_MIN_TOPICS),
+        lambda i: F.struct(i.alias("from_para"), (i + 1).alias("to_para"), jaccard(F.get(k, i - 1), F.get(k, i)).alias("similarity")),
     )
+    compared = unnest(topics, ("doc_id",), neighbours, "g")
     return compared.select("doc_id", "g.*").where(F.col("similarity") < GAP_BELOW)
 
 
@@ -51,11 +51,10 @@ def _signals(docs: DataFrame, p: Profile) -> DataFrame:
         for i, pair in enumerate(p.opposites)
         for d, word in enumerate(pair)
     ]
-    paras = _paragraph_arrays(docs).where(F.size("paras") >= 2).select("doc_id", F.posexplode("paras").alias("para", "text"))
+    paras = _paragraphs_of_many(docs)
     seen = paras.select("doc_id", "para", T.match_text(F.col("text"), p).alias("seen"))
-    return seen.select("doc_id", "para", F.explode(F.filter(F.array(*rows), lambda r: r["hit"])).alias("r")).select(
-        "doc_id", "para", "r.pair", "r.dir", "r.ord"
-    )
+    found = unnest(seen, ("doc_id", "para"), F.filter(F.array(*rows), lambda r: r["hit"]), "r")
+    return found.select("doc_id", "para", "r.pair", "r.dir", "r.ord")
 
 
 def contradictions(docs: DataFrame, p: Profile) -> DataFrame:
@@ -96,7 +95,7 @@ def contradictions(docs: DataFrame, p: Profile) -> DataFrame:
 
 def _evidence(docs: DataFrame, p: Profile) -> DataFrame:
     """Paragraphs with two or more distinct evidence words (in text order)."""
-    paras = _paragraph_arrays(docs).where(F.size("paras") >= 2).select("doc_id", F.posexplode("paras").alias("para", "text"))
+    paras = _paragraphs_of_many(docs)
     words = F.array_distinct(F.regexp_extract_all(T.match_text(F.col("text"), p), F.lit(p.evidence_regex), F.lit(0)))
     return paras.select("doc_id", "para", words.alias("words")).where(F.size("words") >= 2)
 
@@ -113,7 +112,7 @@ def _matching_sets(kinds: DataFrame) -> DataFrame:
             w, lambda x, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda y: F.concat_ws("\t", x, y))
         )
     )
-    keyed = kinds.select("doc_id", "kind", F.explode(pairs).alias("two"))
+    keyed = unnest(kinds, ("doc_id", "kind"), pairs, "two")
     left = keyed.withColumnRenamed("kind", "ka")
     right = keyed.withColumnRenamed("kind", "kb")
     shared = F.array_intersect("ka", "kb")
@@ -219,7 +218,6 @@ __all__ = [
     "consistency_findings",
     "consistency_scores",
     "contradictions",
-    "let",
     "redundant_evidence",
     "redundant_evidence_counts",
     "topic_gaps",

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import let, positions, run_lengths, total  # noqa: F401
+from ..functions.arrays import let, positions
 from ..functions.scalar import ratio, round_half_up
 from ..profiles import Pattern, Profile
-from .segment import normalized, sentence_table
+from .segment import normalized, sentence_table, unnest
 
 PHRASE_WEIGHT = 4  # FIXED VALUES: points per stock phrase
 PARALLEL_WEIGHT = 7  # and per run of parallel clauses
@@ -128,6 +128,7 @@ def softened(text: Column, x: Pattern, p: Profile) -> Column:
 
 
 def soft_weight(x: Pattern) -> int:
+    """Points of a match in natural use: a fifth of the weight for contrast frames, one for concept words."""
     return int(x.weight * 0.2 + 0.5) if x.context_rule == "contrast" else 1
 
 
@@ -138,32 +139,41 @@ def hit_details(text: Column, p: Profile, context: bool = False) -> Column:
     a context rule are weighed one by one.
     """
     seen = T.match_text(text, p)
-
-    def row(number, label, category, weight, n, score) -> Column:
+    counts = [T.count_regex(seen, x.regex) for x in p.patterns]
+    counts += [T.count_contained(seen, p.phrases), parallel_hits(text, p)]
+    kinds = [(x.label, x.category, x.weight, soft_weight(x)) for x in p.patterns]
+    kinds += [(p.phrase_label, p.phrase_category, PHRASE_WEIGHT, PHRASE_WEIGHT)]
+    kinds += [(p.parallel_label, p.parallel_category, PARALLEL_WEIGHT, PARALLEL_WEIGHT)]
+    names = ("label", "category", "weight", "soft")
+    meta = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, kind, strict=True))) for kind in kinds))
+
+    def soft_counts(c: Column) -> Column:
+        """Matches at the lower weight, per pattern up to the last one with a context rule."""
+        rows = [
+            F.when(F.get(c, F.lit(i)) > 0, softened(seen, x, p)).otherwise(F.lit(0)) if context and x.context_rule else F.lit(0)
+            for i, x in enumerate(p.patterns)
+        ]
+        return F.array(*rows)
+
+    def detail(c: Column, soft: Column, i: Column) -> Column:
+        n, kind = F.get(c, i - 1), F.get(meta, i - 1)
+        lowered = F.coalesce(F.get(soft, i - 1), F.lit(0)) * (kind["weight"] - kind["soft"])
         return F.struct(
-            (-n * weight).alias("rank"),
-            F.lit(number).alias("pattern_id"),
-            F.lit(label).alias("label"),
-            F.lit(category).alias("category"),
-            F.lit(weight).alias("weight"),
+            (-n * kind["weight"]).alias("rank"),
+            i.alias("pattern_id"),
+            kind["label"].alias("label"),
+            kind["category"].alias("category"),
+            kind["weight"].alias("weight"),
             n.alias("n"),
-            score.alias("score"),
+            (n * kind["weight"] - lowered).alias("score"),
         )
 
-    def hit(x: Pattern) -> Column:
-        n = T.count_regex(seen, x.regex)
-        if not (context and x.context_rule):
-            return row(x.pattern_id, x.label, x.category, x.weight, n, n * x.weight)
-        soft = F.when(n > 0, softened(seen, x, p)).otherwise(F.lit(0))
-        return row(x.pattern_id, x.label, x.category, x.weight, n, n * x.weight - soft * (x.weight - soft_weight(x)))
+    def details(c: Column, soft: Column) -> Column:
+        return F.sort_array(F.transform(F.filter(positions(F.size(c)), lambda i: F.get(c, i - 1) > 0), lambda i: detail(c, soft, i)))
 
-    last = len(p.patterns)
-    rows = [hit(x) for x in p.patterns]
-    n = T.count_contained(seen, p.phrases)
-    rows.append(row(last + 1, p.phrase_label, p.phrase_category, PHRASE_WEIGHT, n, n * PHRASE_WEIGHT))
-    n = parallel_hits(text, p)
-    rows.append(row(last + 2, p.parallel_label, p.parallel_category, PARALLEL_WEIGHT, n, n * PARALLEL_WEIGHT))
-    return F.sort_array(F.filter(F.array(*rows), lambda r: r["n"] > 0))
+    if not context:
+        return let(F.array(*counts), lambda c: details(c, F.array(F.lit(0))))
+    return let(F.array(*counts), lambda c: let(soft_counts(c), lambda soft: details(c, soft)))
 
 
 def hit_score(details: Column) -> Column:
@@ -179,7 +189,7 @@ def labels_of(details: Column, k: int) -> Column:
 
 
 def _long(units: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    rows = units.select(*keys, F.explode("details").alias("d"))
+    rows = unnest(units, keys, F.col("details"), "d")
     return rows.select(
         *keys,
         F.col("d.pattern_id").cast("long").alias("pattern_id"),
@@ -215,7 +225,7 @@ def pattern_context(docs: DataFrame, p: Profile) -> DataFrame:
         for x in p.patterns
         if x.context_rule
     ]
-    found = normalized(docs).select("doc_id", F.explode(F.filter(F.array(*rows), lambda r: r["n"] > 0)).alias("r"))
+    found = unnest(normalized(docs), ("doc_id",), F.filter(F.array(*rows), lambda r: r["n"] > 0), "r")
     return found.select("doc_id", "r.*")
 
 

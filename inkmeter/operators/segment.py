@@ -6,7 +6,7 @@ row has to move.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +14,18 @@ from ..functions.arrays import value_counts
 from ..profiles import Profile
 
 
+def unnest(df: DataFrame, keys: tuple[str, ...], values: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    An inner explode makes the optimizer test the array for emptiness first, so
+    a computed array would be computed twice.  The outer form with a check on
+    its output computes it once.
+    """
+    if pos:
+        return df.select(*keys, F.posexplode_outer(values).alias(pos, name)).where(F.col(pos).isNotNull())
+    return df.select(*keys, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def normalized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns and ``norm``.
 
@@ -26,46 +38,40 @@ def normalized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def sentence_table(docs: DataFrame, p: Profile) -> DataFrame:
-    units = normalized(docs).select("doc_id", F.posexplode(T.sentences(F.col("norm"), p)).alias("sent_idx", "text"))
+    units = unnest(normalized(docs), ("doc_id",), T.sentences(F.col("norm"), p), "text", pos="sent_idx")
     return units.withColumn("n_chars", F.length("text"))
 
 
 def paragraph_table(docs: DataFrame, trimmed: bool = True) -> DataFrame:
-    units = normalized(docs).select("doc_id", F.posexplode(T.paragraphs(F.col("norm"), trimmed)).alias("para_idx", "text"))
+    units = unnest(normalized(docs), ("doc_id",), T.paragraphs(F.col("norm"), trimmed), "text", pos="para_idx")
     return units.withColumn("n_chars", F.length("text"))
 
 
 def clause_table(docs: DataFrame, p: Profile) -> DataFrame:
-    units = normalized(docs).select("doc_id", F.posexplode(T.clauses(F.col("norm"), p)).alias("clause_idx", "text"))
+    units = unnest(normalized(docs), ("doc_id",), T.clauses(F.col("norm"), p), "text", pos="clause_idx")
     return units.withColumn("n_chars", F.length("text"))
 
 
 def token_table(docs: DataFrame, p: Profile) -> DataFrame:
     """One row per sentence and token, counted inside the sentence's row."""
-    counted = sentence_table(docs, p).select(
-        "doc_id", "sent_idx", F.explode(value_counts(T.tokens(F.col("text"), p))).alias("t")
-    )
+    counted = unnest(sentence_table(docs, p), ("doc_id", "sent_idx"), value_counts(T.tokens(F.col("text"), p)), "t")
     return counted.select("doc_id", "sent_idx", F.col("t.item").alias("token"), F.col("t.cnt").cast("long").alias("cnt"))
 
 
 def word_table(docs: DataFrame, p: Profile) -> DataFrame:
-    return normalized(docs).select("doc_id", F.posexplode(T.pseudo_words(F.col("norm"), p)).alias("pos", "word"))
+    return unnest(normalized(docs), ("doc_id",), T.pseudo_words(F.col("norm"), p), "word", pos="pos")
 
 
 def ngram_table(docs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """One row per document, size and character n-gram of the text without white space."""
     text = normalized(docs).select("doc_id", T.compact(F.col("norm")).alias("compact"))
-    sized = text.select(
-        "doc_id",
-        F.explode(
-            F.array(*(F.struct(F.lit(n).alias("n"), value_counts(T.char_ngrams(F.col("compact"), n)).alias("g")) for n in sizes))
-        ).alias("s"),
-    )
-    grams = sized.select("doc_id", "s.n", F.explode("s.g").alias("g"))
+    counts = F.array(*(F.struct(F.lit(n).alias("n"), value_counts(T.char_ngrams(F.col("compact"), n)).alias("g")) for n in sizes))
+    sized = unnest(text, ("doc_id",), counts, "s").select("doc_id", "s.n", "s.g")
+    grams = unnest(sized, ("doc_id", "n"), F.col("g"), "g")
     return grams.select("doc_id", "n", F.col("g.item").alias("gram"), F.col("g.cnt").cast("long").alias("cnt"))
 
 
 def topic_table(docs: DataFrame, p: Profile) -> DataFrame:
     """Distinct topic n-grams per paragraph."""
     paras = paragraph_table(docs, trimmed=False)
-    return paras.select("doc_id", "para_idx", F.explode(T.topic_ngrams(F.col("text"), p)).alias("gram"))
+    return unnest(paras, ("doc_id", "para_idx"), T.topic_ngrams(F.col("text"), p), "gram")

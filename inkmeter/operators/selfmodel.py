@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.arrays import array_mean, let, positions, run_ends, run_start
 from ..functions.scalar import clamp, round_half_up
 from ..profiles import Profile
-from .segment import normalized
+from .segment import normalized, unnest
 
 # FIXED VALUES
 SMOOTHING = 256
@@ -55,12 +55,9 @@ def _sentence_gram_counts(norm: Column, p: Profile) -> Column:
 
 def sentence_perplexity(docs: DataFrame, p: Profile) -> DataFrame:
     """One row per usable sentence of documents with four or more sentences."""
-    text = normalized(docs).where(F.size(T.sentences(F.col("norm"), p)) >= 4)
-    grams = text.select(
-        "doc_id",
-        F.greatest(F.length(T.compact(F.col("norm"))) - 3, F.lit(0)).alias("n_grams"),
-        F.explode(_sentence_gram_counts(F.col("norm"), p)).alias("g"),
-    )
+    text = normalized(docs).select("doc_id", "norm", F.greatest(F.length(T.compact(F.col("norm"))) - 3, F.lit(0)).alias("n_grams"))
+    enough = F.size(T.sentences(F.col("norm"), p)) >= 4
+    grams = unnest(text, ("doc_id", "n_grams"), F.when(enough, _sentence_gram_counts(F.col("norm"), p)), "g")
     per_sentence = grams.groupBy("doc_id", "n_grams", F.col("g.sent").alias("sent")).agg(
         F.avg(F.log(F.col("g.f") + F.lit(1.0))).alias("mean_log")
     )

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import array_var_pop, let, positions, run_ends, run_start, total, value_counts
+from ..functions.scalar import ratio
 from ..profiles import Profile
-from .segment import normalized
+from .segment import normalized, unnest
 
 CLOSE = 0.48  # FIXED VALUES: a pair above this is close,
 FLAT = 0.62  # and neighbours above this belong to a flat region.
@@ -124,7 +125,7 @@ def neighbour_measures(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ())
         "copy_pairs",
         "cosines",
         "regions",
-        F.when(F.col("n_pairs") > 0, F.col("cosine_sum") / F.col("n_pairs")).otherwise(F.lit(0.0)).alias("mean_similarity"),
+        ratio(F.col("cosine_sum"), F.col("n_pairs"), 0.0).alias("mean_similarity"),
         F.when(F.size("cosines") > 0, 1 / (1 + F.sqrt(array_var_pop(F.col("cosines"))))).otherwise(F.lit(0.0)).alias("smoothness"),
         F.size("regions").cast("long").alias("n_regions"),
         F.coalesce(F.array_max(F.transform("regions", lambda r: r["last"] - r["first"])), F.lit(0)).cast("long").alias("longest_region"),
@@ -133,7 +134,7 @@ def neighbour_measures(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ())
 
 def flat_regions(docs: DataFrame, p: Profile) -> DataFrame:
     """One row per flat region with its first and last sentence."""
-    found = neighbour_measures(docs, p).select("doc_id", F.posexplode("regions").alias("region", "r"))
+    found = unnest(neighbour_measures(docs, p), ("doc_id",), F.col("regions"), "r", pos="region")
     return found.select(
         "doc_id",
         F.col("region").cast("long").alias("region"),
@@ -145,8 +146,8 @@ def flat_regions(docs: DataFrame, p: Profile) -> DataFrame:
 
 def distinct_vectors(docs: DataFrame, p: Profile) -> DataFrame:
     """Filled sentence vectors, equal ones merged inside the row with their number of copies."""
-    kinds = sentence_vectors(docs, p).select(
-        "doc_id", F.posexplode(value_counts(F.filter("units", lambda u: u["sq"] > 0))).alias("i", "k")
+    kinds = unnest(
+        sentence_vectors(docs, p), ("doc_id",), value_counts(F.filter("units", lambda u: u["sq"] > 0)), "k", pos="i"
     )
     return kinds.select("doc_id", "i", F.col("k.item.v").alias("v"), F.col("k.item.sq").alias("sq"), F.col("k.cnt").alias("copies"))
 
@@ -158,7 +159,7 @@ def split_by_length(docs: DataFrame, long_text: int) -> tuple[DataFrame, DataFra
 
 def short_pairs(docs: DataFrame, p: Profile) -> DataFrame:
     """Cosine of every pair of different sentences that share a token, and for how many pairs it stands."""
-    postings = distinct_vectors(docs, p).select("doc_id", "i", "sq", "copies", F.explode("v").alias("t"))
+    postings = unnest(distinct_vectors(docs, p), ("doc_id", "i", "sq", "copies"), F.col("v"), "t")
     left = postings.select("doc_id", "t.item", F.col("i").alias("a"), F.col("sq").alias("sa"), F.col("copies").alias("ca"), F.col("t.cnt").alias("na"))
     right = postings.select("doc_id", "t.item", F.col("i").alias("b"), F.col("sq").alias("sb"), F.col("copies").alias("cb"), F.col("t.cnt").alias("nb"))
     return (
@@ -198,7 +199,7 @@ def prefix_tokens(v: Column, sq: Column, threshold: float) -> Column:
 def long_close_pairs(docs: DataFrame, p: Profile, threshold: float) -> DataFrame:
     """The close pairs of long documents, from candidates that share a prefix token."""
     vectors = distinct_vectors(docs, p)
-    postings = vectors.select("doc_id", "i", F.explode(prefix_tokens(F.col("v"), F.col("sq"), threshold)).alias("token"))
+    postings = unnest(vectors, ("doc_id", "i"), prefix_tokens(F.col("v"), F.col("sq"), threshold), "token")
     left = postings.withColumnRenamed("i", "a")
     right = postings.withColumnRenamed("i", "b")
     candidates = left.join(right, ["doc_id", "token"]).where("a < b").select("doc_id", "a", "b").distinct()
@@ -219,7 +220,7 @@ def long_squares(docs: DataFrame, p: Profile) -> DataFrame:
     The squared entries of the tokens' Gram matrix add up to the squared cosines
     of all ordered sentence pairs.
     """
-    weights = distinct_vectors(docs, p).select("doc_id", "i", "sq", "copies", F.explode("v").alias("t"))
+    weights = unnest(distinct_vectors(docs, p), ("doc_id", "i", "sq", "copies"), F.col("v"), "t")
     left = weights.select("doc_id", "i", "copies", "sq", F.col("t.item").alias("x"), F.col("t.cnt").alias("cx"))
     right = weights.select("doc_id", "i", F.col("t.item").alias("y"), F.col("t.cnt").alias("cy"))
     gram = (
@@ -252,13 +253,13 @@ def similarity_measures(
     close = part("short_close") + part("long_close") + F.col("copy_pairs")
     columns = [
         F.when(pairs > 0, 1 - mean).otherwise(F.lit(0.0)).alias("similarity_diversity"),
-        F.when(pairs > 0, close / pairs).otherwise(F.lit(0.0)).alias("clustering"),
+        ratio(close, pairs, 0.0).alias("clustering"),
     ]
     if spread:
         joined = joined.join(long_squares(long_docs, p), "doc_id", "left")
         squares = F.when(F.col("long_squares").isNotNull(), F.col("long_squares") - F.col("n_filled") / 2).otherwise(
             part("short_squares") + F.col("copy_pairs")
         )
-        std = F.sqrt(F.greatest(squares / pairs - mean * mean, F.lit(0.0)))
+        std = F.sqrt(F.greatest(ratio(squares, pairs, 0.0) - mean * mean, F.lit(0.0)))
         columns.append(F.when(pairs >= 2, std).otherwise(F.lit(0.0)).alias("std_similarity"))
     return joined.select(*base.columns, *columns)
