@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import array_mean, let, positions
+from ..functions.arrays import array_mean, let
 from ..functions.scalar import clamp, clip_text, risk_columns, round_half_up
 from ..operators import patterns as P
 from ..operators.consistency import consistency_findings
@@ -22,16 +22,13 @@ def suggestion(labels: Column, p: Profile) -> Column:
     """Advice of the first rule that knows one of the labels."""
     out = F.lit(p.texts["advice_default"])
     for marks, text in reversed(p.advice):
-        known = F.exists(labels, lambda x, marks=marks: _any([F.contains(x, F.lit(m)) for m in marks]))
-        out = F.when(known, F.lit(text)).otherwise(out)
+        out = F.when(_mentions(labels, marks), F.lit(text)).otherwise(out)
     return out
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for cond in conditions[1:]:
-        out = out | cond
-    return out
+def _mentions(labels: Column, marks: tuple[str, ...]) -> Column:
+    wanted = F.array(*map(F.lit, marks))
+    return F.exists(labels, lambda label: F.exists(wanted, lambda mark: F.contains(label, mark)))
 
 
 def example_rewrite(sentence: Column, p: Profile) -> Column:
@@ -309,4 +306,4 @@ def filter_issues(issues: DataFrame, tab: str = "all") -> DataFrame:
     return issues.where((c("type") != "consistency") & (c("risk_class") == tab))
 
 
-__all__ = ["all_issues", "article_report", "filter_issues", "issue_tab_counts", "paragraph_risk", "positions", "sentence_issues", "top_issues"]
+__all__ = ["all_issues", "article_report", "filter_issues", "issue_tab_counts", "paragraph_risk", "sentence_issues", "top_issues"]
