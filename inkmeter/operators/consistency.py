@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.arrays import positions
 from ..functions.scalar import round_half_up
 from ..profiles import Profile
-from .segment import normalized, unnest
+from .segment import normalized, union_all, unnest
 from .selfmodel import jaccard
 
 # FIXED VALUES
@@ -143,8 +143,10 @@ def redundant_evidence(docs: DataFrame, p: Profile) -> DataFrame:
     members = _evidence(docs, p).withColumn("kind", F.array_sort("words"))
     kinds = members.select("doc_id", "kind").distinct()
     matches = _matching_sets(kinds)
-    both = matches.unionByName(matches.select("doc_id", F.col("kb").alias("ka"), F.col("ka").alias("kb"))).unionByName(
-        kinds.select("doc_id", F.col("kind").alias("ka"), F.col("kind").alias("kb"))
+    both = union_all(
+        matches,
+        matches.select("doc_id", F.col("kb").alias("ka"), F.col("ka").alias("kb")),
+        kinds.select("doc_id", F.col("kind").alias("ka"), F.col("kind").alias("kb")),
     )
     one = members.select("doc_id", F.col("kind").alias("ka"), F.col("para").alias("i"), F.col("words").alias("wi"))
     two = members.select("doc_id", F.col("kind").alias("kb"), F.col("para").alias("j"), F.col("words").alias("wj"))
@@ -211,7 +213,7 @@ def consistency_findings(docs: DataFrame, p: Profile) -> DataFrame:
         a.alias("k1"),
         b.alias("k2"),
     )
-    return gaps.unionByName(contra).unionByName(repeats)
+    return union_all(gaps, contra, repeats)
 
 
 __all__ = [

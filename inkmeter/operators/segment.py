@@ -26,6 +26,19 @@ def unnest(df: DataFrame, keys: tuple[str, ...], values: Column, name: str, pos:
     return df.select(*keys, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
 
 
+def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Bag union by name.
+
+    A union of parts that are partitioned alike is planned as partitioned too
+    since Spark 4.1, and fails when adaptive execution merges the partitions of
+    one part only.  That planning is switched off for the session first.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 def normalized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns and ``norm``.
 

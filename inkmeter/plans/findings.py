@@ -11,7 +11,7 @@ from ..functions.arrays import array_mean, let
 from ..functions.scalar import clamp, clip_text, risk_columns, round_half_up
 from ..operators import patterns as P
 from ..operators.consistency import consistency_findings
-from ..operators.segment import normalized, unnest
+from ..operators.segment import normalized, union_all, unnest
 from ..profiles import Profile
 from .article import article_details
 
@@ -286,7 +286,7 @@ def all_issues(docs: DataFrame, p: Profile, article_type: str | None = None) ->
         F.lit(p.texts["fallback_advice"]).alias("suggestion"),
         example_rewrite(text, p).alias("example"),
     )
-    return sentence.unionByName(fallback).unionByName(consistency_issues(docs, p, wide))
+    return union_all(sentence, fallback, consistency_issues(docs, p, wide))
 
 
 def issue_tab_counts(issues: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ on_docs("q_token_counts", f"SELECT {cols('doc_id sent_idx cnt', plain='token')}
 on_docs("q_pseudo_words", f"SELECT {cols('doc_id pos', plain='word')} FROM words", lambda d: SE.word_table(d, P))
 on_docs(
     "q_char_ngrams",
-    f"SELECT doc_id, 2 AS n, gram, count(*) AS cnt FROM (SELECT doc_id, unnest({O.grams('c', 2)}) AS gram FROM cdocs) GROUP BY ALL",
+    f"SELECT doc_id, 2::BIGINT AS n, gram, count(*) AS cnt FROM (SELECT doc_id, unnest({O.grams('c', 2)}) AS gram FROM cdocs) GROUP BY ALL",
     lambda d: SE.ngram_table(d, (2,)),
 )
 on_docs(
