@@ -456,4 +456,6 @@ def with_ctes(select: str, more: dict[str, str] | None = None) -> str:
                     ordered.append(name)
 
     visit(select)
+    if not ordered:
+        return select
     return "WITH " + ", ".join(f"{n} AS ({table[n]})" for n in ordered) + " " + select
