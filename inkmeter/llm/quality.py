@@ -16,7 +16,7 @@ BUCKETS = 1 << 14
 #: Documents with trusted labels that the target multinomial is fitted on, at most.
 TRUSTED = 20_000
 #: Lowest mean log ratio of a kept document.
-THRESHOLD = -0.25
+THRESHOLD = -0.08
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SYMBOLS = b"#*$%&|<>"
@@ -89,7 +89,9 @@ def _measure(text: str | None, words: WordIds, ratio: np.ndarray) -> tuple:
 
 
 def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | corpus), add-one smoothed, counted over all documents.
+    """log p(bucket | trusted) - log p(bucket | corpus), counted over all documents.
+
+    The trusted distribution is smoothed by one corpus-like count per bucket, so that little trusted text says little.
 
     ``trusted`` has the ids of the (bounded) trusted sample.  Each task sends one count per bucket, so what moves
     is a fixed amount per task.
@@ -110,12 +112,12 @@ def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np
 
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(True))), "doc_id", "left")
     counted = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInPandas(count, "bucket long, good long, corpus long")
-    n = np.ones((2, buckets))
-    for row in counted.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("corpus").alias("corpus")).toLocalIterator():
-        n[:, row["bucket"]] += row["good"], row["corpus"]
-    if n[0].sum() == buckets:  # no trusted text: nothing to compare with, every ratio is 0
-        return np.zeros(buckets)
-    return np.log(n[0] / n[0].sum()) - np.log(n[1] / n[1].sum())
+    n = np.zeros((2, buckets))
+    for row in counted.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("corpus").alias("corpus")).collect():
+        n[:, row["bucket"]] = row["good"], row["corpus"]
+    corpus = n[1] / max(1, n[1].sum())
+    good = (n[0] + buckets * corpus) / (n[0].sum() + buckets)
+    return np.log(np.where(corpus > 0, good, 1)) - np.log(np.where(corpus > 0, corpus, 1))
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, into: str = "quality", threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED) -> DataFrame:
