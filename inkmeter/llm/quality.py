@@ -17,6 +17,8 @@ BUCKETS = 1 << 14
 TRUSTED = 20_000
 #: Lowest mean log ratio of a kept document.
 THRESHOLD = -0.08
+#: Corpus-like counts added to each bucket's trusted counts.
+PRIOR = 20.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SYMBOLS = b"#*$%&|<>"
@@ -91,7 +93,8 @@ def _measure(text: str | None, words: WordIds, ratio: np.ndarray) -> tuple:
 def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log p(bucket | trusted) - log p(bucket | corpus), counted over all documents.
 
-    The trusted distribution is smoothed by one corpus-like count per bucket, so that little trusted text says little.
+    ``PRIOR`` counts that follow the corpus are added to each bucket, so that rare buckets and little trusted text say
+    little.
 
     ``trusted`` has the ids of the (bounded) trusted sample.  Each task sends one count per bucket, so what moves
     is a fixed amount per task.
@@ -115,9 +118,8 @@ def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np
     n = np.zeros((2, buckets))
     for row in counted.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("corpus").alias("corpus")).collect():
         n[:, row["bucket"]] = row["good"], row["corpus"]
-    corpus = n[1] / max(1, n[1].sum())
-    good = (n[0] + buckets * corpus) / (n[0].sum() + buckets)
-    return np.log(np.where(corpus > 0, good, 1)) - np.log(np.where(corpus > 0, corpus, 1))
+    expected = n[1] * (n[0].sum() / max(1, n[1].sum()))
+    return np.log(n[0] + PRIOR) - np.log(expected + PRIOR)
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, into: str = "quality", threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED) -> DataFrame:
