@@ -8,22 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, new_path
+from .common import arrow_batches, checkpointed, new_path
 
 #: Token that ends each document.
 END = 2
 #: Tokens in a block, and tokens after which a segment is closed at the next document.
 BLOCK = 128
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 #: Percentiles of a block's offsets that may set its width; the one that gives the fewest bits is taken.
 PERCENTILES = (75, 90, 95, 98, 100)
 #: Bits of an exception: its place (16) and its value (32).
 _EXCEPTION_BITS = 48
 _MAGIC = b"PFR1"
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 150_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -152,37 +153,40 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, block: int = B
     Spark's own commit makes a lost task harmless.  Null texts are empty: only the end token is written for them.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(_segment(*values), schema, strict=True)], schema=schema)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, number, before = Encoder(tokenizer_file), 0, 0
+        encoder, number, before, held = Encoder(tokenizer_file), 0, 0, 0
         ids: list = []
         lengths: list[int] = []
         blobs: list[bytes] = []
-        columns = [x.split()[0] for x in _SEGMENTS.split(", ")]
-        held = 0
         for batch in batches:
-            for doc_id, known, text in zip(batch["doc_id"].tolist(), batch["known"].tolist(), batch["text"].tolist(), strict=True):
-                blob = encoder.ids(text)
-                ids.append(int(doc_id) if known else None)
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                blob = encoder.ids(text.as_py())
+                ids.append(doc_id.as_py())
                 lengths.append(len(blob) // 4)
                 blobs.append(blob)
                 held += lengths[-1]
                 if held >= segment:
-                    yield pd.DataFrame([_segment(part, number, before, ids, lengths, blobs, block)], columns=columns)
+                    yield row(part, number, before, ids, lengths, blobs, block)
                     number, before, held, ids, lengths, blobs = number + 1, before + held, 0, [], [], []
         if ids:
-            yield pd.DataFrame([_segment(part, number, before, ids, lengths, blobs, block)], columns=columns)
+            yield row(part, number, before, ids, lengths, blobs, block)
 
-    known = F.col("doc_id").isNotNull()
     placed = (
         docs.select("doc_id", "text")
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-        .select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), known.alias("known"), "text")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     )
-    placed.mapInPandas(encode, _SEGMENTS).write.mode("errorifexists").parquet(path)
+    with arrow_batches(docs.sparkSession, "16m"):
+        placed.mapInArrow(encode, _SEGMENTS).write.mode("errorifexists").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
