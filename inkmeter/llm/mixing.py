@@ -129,7 +129,7 @@ def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def taken_blocks(spark, plan: list, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
-    """(rank, block, turn, shard): a row for every slot of the mix."""
+    """(rank, block, turn, shard): a row for every slot of the mix.  Its size is unknown to Spark: never let it be broadcast."""
     pieces = [
         (shard, rank, at, min(_SLOTS_AT_ONCE, first + n - at), blocks)
         for shard, rank, first, n, blocks in draws(plan, block, shards)
@@ -172,7 +172,7 @@ def _part(block: int) -> tuple[Column, Column]:
 def mix_counts(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of ``docs``: how many of its words the mix takes, repeats counted."""
     placed, slots, _ = mixed(docs, block, shards)
-    times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     first, end = _part(block)
     taken = _blocks_of(placed, block).join(times, ["rank", "block"], "left").withColumn("words", F.coalesce(F.col("times") * (end - first), F.lit(0)))
     keys = ["doc_id", "source", "size", "mark", "start", "source_size", "target"]
@@ -207,7 +207,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     keys = docs.select("doc_id", "source", "text")
     placed, slots, _ = mixed(keys, block, shards)
     first, end = _part(block)
-    taken = _blocks_of(placed.where("size > 0"), block).join(slots.select("rank", "block", "turn"), ["rank", "block"])
+    taken = _blocks_of(placed.where("size > 0"), block).join(slots.select("rank", "block", "turn").hint("merge"), ["rank", "block"])
     parts = taken.groupBy("doc_id", "source", "mark", "turn").agg(F.collect_set(F.struct(first.alias("first"), end.alias("end"))).alias("_parts"))
     parts = parts.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark"), "_parts")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_mark"))
