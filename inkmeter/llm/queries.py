@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from .common import read_table
+from . import chat, chunks, language, sharding, toxicity
+from .common import held_out, read_table
 from .decontaminate import contaminated
 from .mixing import mix_counts
 from .quality import with_quality
@@ -58,3 +59,35 @@ def op10_quality(spark, sf_dir):
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_toxicity(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")), "t")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "t.score", "t.predicted", "t.n_clauses")
+
+
+@query
+def op5_language(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.with_language(docs.select("doc_id", "text"), language.learn(docs), "l")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "l.lang_pred", "l.score")
+
+
+@query
+def op6_chunks(spark, sf_dir):
+    return chunks.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_sharding(spark, sf_dir):
+    return sharding.sharded(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chat(spark, sf_dir):
+    one = r"\### Assistant: </turn> ok"
+    extra = F.inline(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(one).alias("text")) for i, r in enumerate(("user", "assistant"))]))
+    told = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.range(1).select(extra))
+    return chat.digests(chat.format_conversations(told)).drop("branch").withColumnRenamed("tree_id", "conv_id")
