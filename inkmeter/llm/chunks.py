@@ -15,7 +15,8 @@ MEAN = 32
 #: Words that a run of repeated chunks holds at least.  Cutting loses up to a chunk and the hash's window at either
 #: end, so runs are shorter than the passages they lie in.
 LEAST_WORDS = 15
-#: Bytes of a chunk that says where a passage comes from; shorter ones recur by chance and follow their neighbours.
+#: Bytes of a chunk that says where a passage comes from; shorter ones recur by chance: they follow their
+#: neighbours, and end no passage.
 ANCHOR = 16
 _WINDOW = 32
 _BATCH_BYTES = 4 << 20
@@ -120,10 +121,12 @@ def repeated_spans(docs: DataFrame, mean: int = MEAN, least_words: int = LEAST_W
     owned = shared.withColumn("mine", mine).withColumn("mine", F.coalesce(F.last("mine", True).over(so_far), F.first("mine", True).over(to_come), F.lit(True)))
     goes_on = (F.col("start") == F.lag("end").over(order)) & (F.col("mine") == F.lag("mine").over(order))
     runs = owned.withColumn("begins", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("begins").over(order))
-    anchor = F.when(F.col("end") - F.col("start") >= ANCHOR, F.col("first"))
-    spans = runs.groupBy("doc_id", "run").agg(
+    run = Window.partitionBy("doc_id", "run").orderBy("start")
+    anchor = F.col("end") - F.col("start") >= ANCHOR
+    inner = [F.max(anchor).over(run.rowsBetween(*x)) for x in ((Window.unboundedPreceding, Window.currentRow), (Window.currentRow, Window.unboundedFollowing))]
+    spans = runs.withColumn("inner", inner[0] & inner[1]).where("inner").groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
-        F.coalesce(F.min(anchor), F.min("first")).alias("first_doc_id"), F.first("mine").alias("kept"),
+        F.min(F.when(anchor, F.col("first"))).alias("first_doc_id"), F.first("mine").alias("kept"),
     )
     return spans.where(F.col("words") >= least_words).drop("run")
 

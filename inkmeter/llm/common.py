@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
-    """While an action runs in here, batches of at most ``size`` go to Python; then the session's setting is back."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def small_batches(spark: SparkSession) -> None:
+    """For applications over long texts: batches of at most 8 MB go to Python, which bounds the workers' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

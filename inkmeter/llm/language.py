@@ -24,15 +24,14 @@ UNKNOWN = "und"
 
 
 def _grams(text: str) -> np.ndarray:
-    """Codes of the 1- to 3-grams of letters; what is no letter is one blank, which may begin or end an n-gram."""
+    """Codes of the 1- to 3-grams of letters; what is no letter is one blank (code 1), which may begin or end an n-gram."""
     x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letter = _LETTER[x]
-    x = np.where(letter, x, 0).astype(np.int64)
-    x = np.concatenate([[0], x[letter | np.concatenate([[True], letter[:-1]])], [0]])
+    x = np.where(letter, x, 1).astype(np.int64)
+    x = np.concatenate([[1], x[letter | np.concatenate([[False], letter[:-1]])], [1]])
     two = (x[:-1] << 21) | x[1:]
     three = (two[:-1] << 21) | x[2:]
-    inner = x[1:-1] > 0
-    return np.concatenate([x[x > 0], two[(x[:-1] > 0) | (x[1:] > 0)], three[inner]])
+    return np.concatenate([x[x > 1], two[(x[:-1] > 1) | (x[1:] > 1)], three[x[1:-1] > 1]])
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +104,18 @@ def with_language(docs: DataFrame, profiles: Profiles, into: str = "language") -
     distances go to the language first by code point.  Each row is predicted from its whole text alone.
     """
 
+    def one(text: str | None) -> tuple[str, float]:
+        top = ranked(*counts(text)) if text and profiles.langs else ()
+        if not len(top):
+            return UNKNOWN, 0.0
+        d = profiles.distances(top)
+        best = int(d.argmin())
+        second = float(np.partition(d, 1)[1]) if len(d) > 1 else 1.0
+        return profiles.langs[best], (second - float(d[best])) / second if second > 0 else 0.0
+
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            top = ranked(*counts(text)) if text and profiles.langs else ()
-            if not len(top):
-                rows.append((UNKNOWN, 0.0))
-                continue
-            d = profiles.distances(top)
-            best = int(d.argmin())
-            second = float(np.partition(d, 1)[1]) if len(d) > 1 else 1.0
-            rows.append((profiles.langs[best], (second - float(d[best])) / second if second > 0 else 0.0))
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([one(x) for x in texts], columns=["lang_pred", "score"])
 
     return docs.withColumn(into, predict("text"))

@@ -134,9 +134,10 @@ def with_quality(docs: DataFrame, labels: DataFrame, into: str = "quality", thre
     ratio = log_ratio(docs, trusted, buckets).astype(np.float64)
 
     @F.pandas_udf(MEASURES)
-    def measure(texts: pd.Series) -> pd.DataFrame:
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = WordIds()
-        return pd.DataFrame([_measure(x, words, ratio) for x in texts], columns=[x.split()[0] for x in MEASURES.split(", ")])
+        for texts in batches:
+            yield pd.DataFrame([_measure(x, words, ratio) for x in texts], columns=[x.split()[0] for x in MEASURES.split(", ")])
 
     q = F.col(into)
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])

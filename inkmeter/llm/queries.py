@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import chat, chunks, language, sharding, toxicity
-from .common import held_out, read_table
+from .common import held_out, read_table, small_batches
 from .decontaminate import contaminated
 from .mixing import mix_counts
 from .quality import with_quality
@@ -23,7 +23,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(job: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[job.__name__] = job
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return job(spark, sf_dir)
+
+    QUERIES[job.__name__] = run
     return job
 
 

@@ -72,7 +72,7 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     records = checkpointed(
         docs.select(
-            "doc_id", text_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("h"),
+            "doc_id", text_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"),
             F.coalesce("doc_id", F.lit(_LEAST)).alias("d"),
         )
     )
@@ -80,7 +80,7 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     width = total / min(MOST_RANGES, max(RANGES_PER_SHARD * shards, n // ROWS_PER_RANGE)) if n else 1.0
     bounds = splitters(records, F.lit(0), width)
     while True:
-        ranged = in_range(records, bounds)
+        ranged = checkpointed(in_range(records, bounds))
         ranges = {r["r"]: (r["bytes"], r["n"]) for r in ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
         overfull = [r for r, (size, k) in ranges.items() if size > OVERFULL * width and k > 1]
         if not overfull or len(bounds) >= 2 * MOST_RANGES:

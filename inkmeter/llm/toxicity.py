@@ -255,14 +255,15 @@ def with_toxicity(docs: DataFrame, model: Model, into: str = "toxicity") -> Data
     threats = {w: 0.0 for w in THREATS}
 
     @F.pandas_udf("score double, n_clauses long")
-    def measure(texts: pd.Series) -> pd.DataFrame:
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lexicon, machine, harm, classes = Lexicon(model.terms), grammar(), Lexicon(threats), word_classes()
-        rows = []
-        for text in texts:
-            clauses = sorted(clause_scores(text, lexicon, machine, harm, classes), reverse=True)
-            logit = model.matched + clauses[0] + 0.3 * sum(max(0.0, x) for x in clauses[1:]) if clauses else model.bare
-            rows.append((1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))), len(clauses)))
-        return pd.DataFrame(rows, columns=["score", "n_clauses"])
+        for texts in batches:
+            rows = []
+            for text in texts:
+                clauses = sorted(clause_scores(text, lexicon, machine, harm, classes), reverse=True)
+                logit = model.matched + clauses[0] + 0.3 * sum(max(0.0, x) for x in clauses[1:]) if clauses else model.bare
+                rows.append((1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))), len(clauses)))
+            yield pd.DataFrame(rows, columns=["score", "n_clauses"])
 
     scored = docs.withColumn(into, measure("text"))
     return scored.withColumn(into, F.col(into).withField("predicted", (F.col(into)["score"] >= THRESHOLD).cast("int")))
