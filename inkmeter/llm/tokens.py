@@ -103,7 +103,7 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 
 class Encoder(dict):
-    """Ids, as little-endian u32 bytes, of pieces of text without blanks; filled as pieces are met.
+    """Ids, as little-endian u32 bytes, of pieces of UTF-8 text without ASCII blanks; filled as pieces are met.
 
     The tokenizer drops white space and no token reaches across it, so a text's ids are those of its pieces in order
     (a test holds this against whole texts).  ASCII pieces are lower-cased first and a point or comma after a letter is
@@ -116,20 +116,20 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= _WORDS_KEPT:
             self.clear()
-        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
-            ids = self[piece[:-1]] + self[piece[-1]]
-        elif piece.isascii() and (lower := piece.lower()) != piece and "<|" not in piece:
+        if piece[-1:] in (b".", b",") and piece[-2:-1].isalpha():
+            ids = self[piece[:-1]] + self[piece[-1:]]
+        elif piece.isascii() and (lower := piece.lower()) != piece and b"<|" not in piece:
             ids = self[lower]
         else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         self[piece] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").split())) + struct.pack("<I", END)
+        return b"".join(map(self.__getitem__, (text or "").encode().split())) + struct.pack("<I", END)
 
 
 def _segment(part: int, number: int, before: int, ids: list, lengths: list, blobs: list, block: int) -> tuple:
