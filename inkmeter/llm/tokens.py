@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ PERCENTILES = (75, 90, 95, 98, 100)
 #: Bits of an exception: its place (16) and its value (32).
 _EXCEPTION_BITS = 48
 _MAGIC = b"PFR1"
-_WORDS_KEPT = 150_000
+_WORDS_KEPT = 500_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -102,12 +104,20 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return flat[: n - first * block] if last == count else flat
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder(dict):
     """Ids, as little-endian u32 bytes, of pieces of UTF-8 text without ASCII blanks; filled as pieces are met.
 
     The tokenizer drops white space and no token reaches across it, so a text's ids are those of its pieces in order
     (a test holds this against whole texts).  ASCII pieces are lower-cased first and a point or comma after a letter is
-    a piece of its own, as the tokenizer does both; so fewer pieces differ.
+    a piece of its own, as the tokenizer does both; so fewer pieces differ.  A piece of letters alone, in composed form,
+    is one word for the tokenizer: its merges are run without the steps before.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -115,23 +125,48 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= _WORDS_KEPT:
             self.clear()
         if piece[-1:] in (b".", b",") and piece[-2:-1].isalpha():
             ids = self[piece[:-1]] + self[piece[-1:]]
-        elif piece.isascii() and (lower := piece.lower()) != piece and b"<|" not in piece:
-            ids = self[lower]
+        elif piece.isascii():
+            lower = piece.lower()
+            if lower != piece and b"<|" not in piece:
+                ids = self[lower]
+            elif piece.isalpha():
+                ids = self._word(piece.decode())
+            else:
+                ids = self._any(piece.decode())
         else:
-            ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            text = piece.decode()
+            lower = text.lower()
+            plain = lower.isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text)
+            ids = self._word("".join(map(self.letters.__getitem__, lower.encode()))) if plain else self._any(text)
         self[piece] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        found = [x.id for x in self.merges.tokenize(word)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _any(self, text: str) -> bytes:
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode().split())) + struct.pack("<I", END)
 
 
+@cache
+def encoder_of(tokenizer_file: str) -> Encoder:
+    """One for all tasks of a worker process: words stay known from task to task."""
+    return Encoder(tokenizer_file)
+
+
 def _segment(part: int, number: int, before: int, ids: list, lengths: list, blobs: list, block: int) -> tuple:
     """File image: magic, number of documents, doc ids with null marks, lengths, packed ids."""
     known = np.array([x is not None for x in ids], "u1")
@@ -162,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, block: int = B
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, number, before, held = Encoder(tokenizer_file), 0, 0, 0
+        encoder, number, before, held = encoder_of(tokenizer_file), 0, 0, 0
         ids: list = []
         lengths: list[int] = []
         blobs: list[bytes] = []
