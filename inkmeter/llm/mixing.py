@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 
 #: Words in a block.
 BLOCK = 64
@@ -179,23 +179,24 @@ def mix_counts(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> Dat
     return taken.groupBy(*keys).agg(F.sum("words").alias("taken")).drop("mark", "start")
 
 
-def _taken_text(texts: pd.Series, parts: pd.Series) -> pd.Series:
-    """The words of a text from each (first, end) of ``parts``, with what stands between them."""
-
-    def cut(text: str, spans) -> str:
-        at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        spans = sorted((int(s["first"]), int(s["end"])) for s in spans)
-        joined: list[list[int]] = []
-        for a, b in spans:
-            if joined and joined[-1][1] == a:
-                joined[-1][1] = b
-            else:
-                joined.append([a, b])
-        if joined == [[0, len(at)]]:
-            return text
-        return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in joined)
-
-    return pd.Series([cut(t, p) for t, p in zip(texts, parts, strict=True)], dtype="object")
+def _cut(text: str, spans) -> str:
+    """The words of a text from each (first, end) of ``spans``, with what stands between them."""
+    at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    joined: list[list[int]] = []
+    for a, b in sorted((int(s["first"]), int(s["end"])) for s in spans):
+        if joined and joined[-1][1] == a:
+            joined[-1][1] = b
+        else:
+            joined.append([a, b])
+    if joined == [[0, len(at)]]:
+        return text
+    return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in joined)
+
+
+def _taken_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, parts in batches:
+        yield pd.Series([_cut(t, p) for t, p in zip(texts, parts, strict=True)], dtype="object")
+    release()
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:

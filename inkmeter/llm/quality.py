@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import some
+from .common import release, some
 
 BUCKETS = 1 << 14
 #: Documents with trusted labels that the target multinomial is fitted on, at most.
@@ -23,7 +23,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SYMBOLS = b"#*$%&|<>"
 _BLANK_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
-_WORDS_KEPT = 1 << 18
+_WORDS_KEPT = 1 << 16
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
@@ -110,6 +110,8 @@ def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np
                     n[1] += found
                     if good:
                         n[0] += found
+        words.clear()
+        release()
         used = np.flatnonzero(n[1])
         yield pd.DataFrame({"bucket": used, "good": n[0][used], "corpus": n[1][used]})
 
@@ -138,6 +140,8 @@ def with_quality(docs: DataFrame, labels: DataFrame, into: str = "quality", thre
         words = WordIds()
         for texts in batches:
             yield pd.DataFrame([_measure(x, words, ratio) for x in texts], columns=[x.split()[0] for x in MEASURES.split(", ")])
+        words.clear()
+        release()
 
     q = F.col(into)
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])

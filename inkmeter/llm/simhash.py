@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, without
+from .common import checkpointed, release, without
 from .components import components
 
 SHINGLE = 4
@@ -49,8 +50,10 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row."""
 
     @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(x, k) for x in texts], dtype="int64")
+    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(x, k) for x in texts], dtype="int64")
+        release()
 
     return docs.select("doc_id", simhash("text").alias("fp"))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, new_path
+from .common import checkpointed, new_path, release
 
 #: Token that ends each document.
 END = 2
@@ -26,7 +26,7 @@ PERCENTILES = (75, 90, 95, 98, 100)
 #: Bits of an exception: its place (16) and its value (32).
 _EXCEPTION_BITS = 48
 _MAGIC = b"PFR1"
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 250_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -213,6 +213,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, block: int = B
                     number, before, held, ids, lengths, blobs = number + 1, before + held, 0, [], [], []
         if ids:
             yield row(part, number, before, ids, lengths, blobs, block)
+        del ids, lengths, blobs
+        release()
 
     placed = (
         docs.select("doc_id", "text")
