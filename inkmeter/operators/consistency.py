@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import positions
+from ..functions.arrays import let, positions, value_counts
 from ..functions.scalar import round_half_up
 from ..profiles import Profile
-from .segment import normalized, union_all, unnest
+from .segment import measured, normalized, staged, union_all, unnest
 from .selfmodel import jaccard
 
 # FIXED VALUES
@@ -30,18 +30,20 @@ def _paragraphs_of_many(docs: DataFrame) -> DataFrame:
     return unnest(arrays, ("doc_id",), F.when(F.size("paras") >= 2, F.col("paras")), "text", pos="para")
 
 
+def gap_array(paras: Column, p: Profile) -> Column:
+    """array<struct<from_para, to_para, similarity>>: neighbours of enough topics that share next to none of them."""
+
+    def compared(k: Column) -> Column:
+        enough = F.filter(positions(F.size(k) - 1), lambda i: F.least(F.size(F.get(k, i - 1)), F.size(F.get(k, i))) >= GAP_MIN_TOPICS)
+        return F.transform(enough, lambda i: F.struct(i.alias("from_para"), (i + 1).alias("to_para"), jaccard(F.get(k, i - 1), F.get(k, i)).alias("similarity")))
+
+    return F.filter(let(F.transform(paras, lambda t: T.topic_ngrams(t, p)), compared), lambda g: g["similarity"] < GAP_BELOW)
+
+
 def topic_gaps(docs: DataFrame, p: Profile) -> DataFrame:
-    """Neighbouring paragraphs of enough topics that share next to none of them."""
-    topics = _paragraph_arrays(docs).select(
-        "doc_id", F.when(F.size("paras") >= 2, F.transform("paras", lambda t: T.topic_ngrams(t, p))).alias("topics")
-    )
-    k = F.col("topics")
-    neighbours = F.transform(
-        F.filter(positions(F.size(k) - 1), lambda i: F.least(F.size(F.get(k, i - 1)), F.size(F.get(k, i))) >= GAP_MIN_TOPICS),
-        lambda i: F.struct(i.alias("from_para"), (i + 1).alias("to_para"), jaccard(F.get(k, i - 1), F.get(k, i)).alias("similarity")),
-    )
-    compared = unnest(topics, ("doc_id",), neighbours, "g")
-    return compared.select("doc_id", "g.*").where(F.col("similarity") < GAP_BELOW)
+    """One row per topic gap."""
+    gaps = F.when(F.size("paras") >= 2, gap_array(F.col("paras"), p))
+    return unnest(_paragraph_arrays(docs), ("doc_id",), gaps, "g").select("doc_id", "g.*")
 
 
 def _signals(docs: DataFrame, p: Profile) -> DataFrame:
@@ -120,22 +122,46 @@ def _matching_sets(kinds: DataFrame) -> DataFrame:
     return left.join(right, ["doc_id", "two"]).where((F.col("ka") < F.col("kb")) & (smallest == F.col("two"))).select("doc_id", "ka", "kb")
 
 
-def redundant_evidence_counts(docs: DataFrame, p: Profile) -> DataFrame:
-    """Number of paragraph pairs that share two or more evidence words.
+def contradiction_total(paras: Column, p: Profile) -> Column:
+    """Opposite words in two different paragraphs, counted from the paragraphs that hold each; at most five count."""
+    opposites = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in p.opposites))
+
+    def of_pair(seen: Column, o: Column) -> Column:
+        one, two = F.filter(seen, lambda x: F.contains(x, o["a"])), F.filter(seen, lambda x: F.contains(x, o["b"]))
+        both = F.filter(seen, lambda x: F.contains(x, o["a"]) & F.contains(x, o["b"]))
+        return F.size(one).cast("long") * F.size(two) - F.size(both)
+
+    seen = F.transform(paras, lambda t: T.match_text(t, p))
+    found = let(seen, lambda s: F.aggregate(opposites, F.lit(0).cast("long"), lambda n, o: n + of_pair(s, o)))
+    return F.least(found, F.lit(MAX_CONTRADICTIONS))
 
-    Paragraphs with the same words are merged first; the pairs are counted from
-    the sizes of the merged groups and never formed.
-    """
-    kinds = _evidence(docs, p).groupBy("doc_id", F.array_sort("words").alias("kind")).agg(F.count("*").alias("n"))
-    same = kinds.select("doc_id", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
-    size_a = kinds.select("doc_id", F.col("kind").alias("ka"), F.col("n").alias("na"))
-    size_b = kinds.select("doc_id", F.col("kind").alias("kb"), F.col("n").alias("nb"))
-    mixed = _matching_sets(kinds).join(size_a, ["doc_id", "ka"]).join(size_b, ["doc_id", "kb"])
-    mixed_sums = mixed.groupBy("doc_id").agg(F.sum(F.col("na") * F.col("nb")).alias("mixed"))
-    same_sums = same.groupBy("doc_id").agg(F.sum("pairs").alias("same"))
-    return same_sums.join(mixed_sums, "doc_id", "left").select(
-        "doc_id", (F.col("same") + F.coalesce("mixed", F.lit(0))).alias("redundancy_count")
-    )
+
+def redundancy_total(paras: Column, p: Profile) -> Column:
+    """Paragraph pairs that share two or more evidence words, counted from the distinct word sets of the row."""
+    words = F.transform(paras, lambda t: F.array_sort(F.array_distinct(F.regexp_extract_all(T.match_text(t, p), F.lit(p.evidence_regex), F.lit(0)))))
+
+    def of_kinds(kinds: Column) -> Column:
+        def later(k: Column, i: Column) -> Column:
+            rest = F.filter(F.slice(kinds, i + 2, F.size(kinds)), lambda x: F.size(F.array_intersect(x["item"], k["item"])) >= 2)
+            others = F.aggregate(rest, F.lit(0).cast("long"), lambda n, x: n + x["cnt"])
+            return k["cnt"].cast("long") * (k["cnt"] - 1) / 2 + k["cnt"] * others
+
+        return F.aggregate(F.transform(kinds, later), F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+
+    return let(value_counts(F.filter(words, lambda w: F.size(w) >= 2)), of_kinds)
+
+
+def consistency_stages(p: Profile) -> list[dict[str, Column]]:
+    """Findings per kind, from ``paras``; documents with one paragraph have none."""
+    paras, many = F.col("paras"), F.size("paras") >= 2
+    counts = {"gap_count": F.size(gap_array(paras, p)), "contradiction_count": contradiction_total(paras, p), "redundancy_count": redundancy_total(paras, p)}
+    return [{name: F.when(many, col.cast("long")).otherwise(F.lit(0).cast("long")) for name, col in counts.items()}]
+
+
+def consistency_columns() -> list[Column]:
+    n = F.size("paras").cast("long")
+    score = consistency_score(F.col("gap_count"), F.col("contradiction_count"), F.col("redundancy_count"), n)
+    return [n.alias("n_paragraphs"), F.col("gap_count"), F.col("contradiction_count"), F.col("redundancy_count"), F.when(n >= 2, score).otherwise(F.lit(0.0)).alias("consistency_score")]
 
 
 def redundant_evidence(docs: DataFrame, p: Profile) -> DataFrame:
@@ -162,17 +188,8 @@ def consistency_score(gaps: Column, contradicted: Column, repeated: Column, n_pa
 
 
 def consistency_scores(docs: DataFrame, p: Profile) -> DataFrame:
-    """Findings per kind and the score; documents with one paragraph have none."""
-    sized = _paragraph_arrays(docs).select("doc_id", F.size("paras").cast("long").alias("n_paragraphs"))
-    gaps = topic_gaps(docs, p).groupBy("doc_id").agg(F.count("*").alias("gap_count"))
-    contra = contradictions(docs, p).groupBy("doc_id").agg(F.count("*").alias("contradiction_count"))
-    joined = (
-        sized.join(gaps, "doc_id", "left").join(contra, "doc_id", "left").join(redundant_evidence_counts(docs, p), "doc_id", "left")
-    )
-    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gap_count", "contradiction_count", "redundancy_count")]
-    filled = joined.select("doc_id", "n_paragraphs", *counts)
-    score = consistency_score(F.col("gap_count"), F.col("contradiction_count"), F.col("redundancy_count"), F.col("n_paragraphs"))
-    return filled.withColumn("consistency_score", F.when(F.col("n_paragraphs") >= 2, score).otherwise(F.lit(0.0)))
+    """Findings per kind and the score, counted inside the document's row."""
+    return measured(staged(_paragraph_arrays(docs), *consistency_stages(p)), "doc_id", *consistency_columns())
 
 
 def consistency_findings(docs: DataFrame, p: Profile) -> DataFrame:
@@ -221,6 +238,5 @@ __all__ = [
     "consistency_scores",
     "contradictions",
     "redundant_evidence",
-    "redundant_evidence_counts",
     "topic_gaps",
 ]

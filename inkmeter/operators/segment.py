@@ -50,6 +50,29 @@ def normalized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return once.withColumn("norm", T.normalize(F.col("norm")))
 
 
+def segmented(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the kept columns, ``norm``, ``sents`` and ``paras``: a document cut once, for every measure of its row."""
+    text = normalized(docs, keep)
+    return text.select("*", T.sentences(F.col("norm"), p).alias("sents"), T.paragraphs(F.col("norm"), trimmed=False).alias("paras"))
+
+
+def staged(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
+    """Columns added step by step; each step may use the ones before, and each column is computed once."""
+    for stage in stages:
+        df = df.withColumns(stage)
+    return df
+
+
+def measured(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``select``, by way of a one-row generator.
+
+    A filter on a measure stays above it.  Through a plain selection the
+    optimizer would rewrite the filter into the text expressions the measure
+    comes from, and evaluate them again, each as often as it is used.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*columns))))
+
+
 def sentence_table(docs: DataFrame, p: Profile) -> DataFrame:
     units = unnest(normalized(docs), ("doc_id",), T.sentences(F.col("norm"), p), "text", pos="sent_idx")
     return units.withColumn("n_chars", F.length("text"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import array_mean, let, positions, run_ends, run_start
+from ..functions.arrays import array_mean, array_var_pop, let, positions, run_ends, run_start, total
 from ..functions.scalar import clamp, round_half_up
 from ..profiles import Profile
-from .segment import normalized, unnest
+from .segment import measured, normalized, segmented, staged
 
 # FIXED VALUES
 SMOOTHING = 256
@@ -53,28 +53,48 @@ def _sentence_gram_counts(norm: Column, p: Profile) -> Column:
     return let(F.sort_array(tagged), lambda s: let(run_ends(s, "gram"), lambda ends: spread(s, ends)))
 
 
-def sentence_perplexity(docs: DataFrame, p: Profile) -> DataFrame:
-    """One row per usable sentence of documents with four or more sentences."""
-    text = normalized(docs).select("doc_id", "norm", F.greatest(F.length(T.compact(F.col("norm"))) - 3, F.lit(0)).alias("n_grams"))
-    enough = F.size(T.sentences(F.col("norm"), p)) >= 4
-    grams = unnest(text, ("doc_id", "n_grams"), F.when(enough, _sentence_gram_counts(F.col("norm"), p)), "g")
-    per_sentence = grams.groupBy("doc_id", "n_grams", F.col("g.sent").alias("sent")).agg(
-        F.avg(F.log(F.col("g.f") + F.lit(1.0))).alias("mean_log")
-    )
-    return per_sentence.select("doc_id", "sent", F.exp(F.log(F.col("n_grams") + F.lit(float(SMOOTHING))) - F.col("mean_log")).alias("perplexity"))
+def mean_logs(grams: Column) -> Column:
+    """Per usable sentence the mean log of its grams' counts plus one, from the tagged counts."""
+
+    def of_runs(s: Column, ends: Column) -> Column:
+        def run(e: Column, i: Column) -> Column:
+            start = run_start(ends, i)
+            return total(F.slice(s, start + 1, e - start), lambda x: F.log(x["f"] + F.lit(1.0))) / (e - start)
+
+        return F.transform(ends, run)
+
+    return let(F.sort_array(grams), lambda s: let(run_ends(s, "sent"), lambda ends: of_runs(s, ends)))
+
+
+def perplexity_stages(p: Profile) -> list[dict[str, Column]]:
+    """Steps from ``norm`` and ``sents`` to the perplexity of each usable sentence (documents of four sentences and more)."""
+    n_grams = F.greatest(F.length(T.compact(F.col("norm"))) - 3, F.lit(0))
+    none = F.array().cast("array<double>")
+    return [
+        {"gram_logs": F.when(F.size("sents") >= 4, mean_logs(_sentence_gram_counts(F.col("norm"), p))).otherwise(none), "log_room": F.log(n_grams + F.lit(float(SMOOTHING)))},
+        {"perplexities": F.transform("gram_logs", lambda m: F.exp(F.col("log_room") - m))},
+    ]
+
+
+def perplexity_columns() -> dict[str, Column]:
+    values = F.col("perplexities")
+    found = F.size(values) > 0
+    return {
+        "n_usable": F.size(values).cast("long"),
+        "mean_perplexity": F.when(found, array_mean(values)),
+        "std_perplexity": F.when(found, F.sqrt(array_var_pop(values))),
+    }
 
 
 def perplexity(docs: DataFrame, p: Profile) -> DataFrame:
-    """Mean and spread of the sentence perplexities per document."""
-    return (
-        sentence_perplexity(docs, p)
-        .groupBy("doc_id")
-        .agg(
-            F.count("*").alias("n_usable"),
-            F.avg("perplexity").alias("mean_perplexity"),
-            F.stddev_pop("perplexity").alias("std_perplexity"),
-        )
-    )
+    """Mean and spread of the sentence perplexities, and the score: a row for every document.
+
+    Without a usable sentence mean and spread are null and the score is neutral.
+    """
+    cut = staged(segmented(docs, p), *perplexity_stages(p))
+    measures = perplexity_columns()
+    score = perplexity_score(measures["n_usable"], measures["mean_perplexity"], measures["std_perplexity"], F.length(T.compact(F.col("norm"))))
+    return cut.select("doc_id", *(col.alias(name) for name, col in measures.items()), score.alias("perplexity_score"))
 
 
 def perplexity_score(n_usable: Column, mean: Column, std: Column, n_chars: Column) -> Column:
@@ -150,26 +170,27 @@ def ttr_halves(docs: DataFrame, p: Profile) -> DataFrame:
     return measured.select("doc_id", "n_sentences", "ttr_first", "ttr_second", score.alias("variety_score"))
 
 
-def semantic_scores(docs: DataFrame, p: Profile) -> DataFrame:
+def semantic_stages(p: Profile) -> list[dict[str, Column]]:
+    return [{"overlaps": transition_overlaps(F.col("sents"), p)}, *perplexity_stages(p)]
+
+
+def semantic_columns(p: Profile) -> list[Column]:
     """The three parts and their weighted sum as a whole number from 0 to 100."""
-    cut = _cut(docs, p).withColumn("overlaps", transition_overlaps(F.col("sents"), p))
-    own = cut.select(
-        "doc_id",
-        F.size("sents").alias("n_sents"),
-        F.length(T.compact(F.col("norm"))).alias("n_chars"),
-        *transition_columns(F.col("norm"), F.col("sents"), F.col("overlaps")),
-        *variety_columns(F.col("norm"), F.col("sents"), p),
-    )
-    joined = own.join(perplexity(docs, p), "doc_id", "left")
-    parts = joined.select(
-        "doc_id",
-        perplexity_score(F.col("n_usable"), F.col("mean_perplexity"), F.col("std_perplexity"), F.col("n_chars")).alias("perplexity_score"),
-        "mean_perplexity",
-        "std_perplexity",
-        "mean_overlap",
-        "smoothness_score",
-        variety_score(F.col("n_sents"), F.col("ttr_first"), F.col("ttr_second"), F.col("argued")).alias("variety_score"),
-    )
+    norm, sents = F.col("norm"), F.col("sents")
+    measures = perplexity_columns()
+    level = perplexity_score(measures["n_usable"], measures["mean_perplexity"], measures["std_perplexity"], F.length(T.compact(norm)))
+    _, overlap, smooth = transition_columns(norm, sents, F.col("overlaps"))
+    first, second, argued = variety_columns(norm, sents, p)
+    variety = let(F.struct(first, second, argued), lambda v: variety_score(F.size(sents), v["ttr_first"], v["ttr_second"], v["argued"]))
     w = SELF_MODEL_WEIGHTS
-    overall = F.col("perplexity_score") * w[0] + F.col("smoothness_score") * w[1] + F.col("variety_score") * w[2]
-    return parts.withColumn("semantic_score", round_half_up(overall * 100))
+    parts = F.array(level, smooth, variety)
+    overall = let(parts, lambda x: round_half_up((F.get(x, F.lit(0)) * w[0] + F.get(x, F.lit(1)) * w[1] + F.get(x, F.lit(2)) * w[2]) * 100))
+    return [
+        level.alias("perplexity_score"), measures["mean_perplexity"].alias("mean_perplexity"), measures["std_perplexity"].alias("std_perplexity"), overlap,
+        smooth, variety.alias("variety_score"), overall.alias("semantic_score"),
+    ]
+
+
+def semantic_scores(docs: DataFrame, p: Profile) -> DataFrame:
+    cut = staged(segmented(docs, p), *semantic_stages(p))
+    return measured(cut, "doc_id", *semantic_columns(p))

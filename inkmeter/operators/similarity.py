@@ -2,22 +2,19 @@
 
 The mean over all sentence pairs needs no pairs: the squared length of the sum
 of unit vectors holds it.  Neighbouring sentences are compared inside the row.
-Only two measures look at pairs beyond neighbours: the number of close pairs and
-the spread of the similarities.  Equal sentences are merged inside the row
-first.  Documents of ordinary length then match their sentences over shared
-tokens.  A very long document would cost its sentences squared, so it takes
-another way to the same numbers:
-
-* close pairs by a prefix filter: two sentences above the threshold must share
-  one of the tokens that carry most of their length, so only those are matched;
-* the spread as a sum of squares over the token pairs inside each sentence.
-
-Which way a document goes is read off the raw text, so the way for long
-documents costs the others no more than a length check.
+Only two measures look at pairs beyond neighbours: the share of close pairs and
+the spread of the similarities.  They come from the postings of the document's
+tokens: for each sentence the products with all later sentences are summed from
+the postings of its own tokens, so memory grows with the document and not with
+its pairs.  That is one small Arrow function; no row meets another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +22,10 @@ from ..functions import text as T
 from ..functions.arrays import array_var_pop, let, positions, run_ends, run_start, total, value_counts
 from ..functions.scalar import ratio
 from ..profiles import Profile
-from .segment import normalized, unnest
+from .segment import measured, segmented, staged, unnest
 
 CLOSE = 0.48  # FIXED VALUES: a pair above this is close,
 FLAT = 0.62  # and neighbours above this belong to a flat region.
-LONG_TEXT = 32768  # characters above which a document takes the way for long documents (results are the same)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,12 +45,6 @@ def squared_norm(v: Column) -> Column:
     return F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x["cnt"] * x["cnt"])
 
 
-def sentence_vectors(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, kept columns and ``units``: per sentence its token counts and their squared norm."""
-    cut = normalized(docs, keep).select("doc_id", *keep, T.sentences(F.col("norm"), p).alias("sents"))
-    return cut.select("doc_id", *keep, vectors_of(F.col("sents"), p).alias("units"))
-
-
 def vectors_of(sents: Column, p: Profile) -> Column:
     vectors = F.transform(sents, lambda s: value_counts(T.tokens(s, p)))
     return F.transform(vectors, lambda v: F.struct(v.alias("v"), squared_norm(v).alias("sq")))
@@ -95,46 +85,91 @@ def _sum_of_units(units: Column) -> Column:
     return let(F.sort_array(weighted), lambda s: let(run_ends(s, "item"), lambda ends: squared(s, ends)))
 
 
-def neighbour_measures(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Mean similarity, smoothness and flat regions: everything that needs no further pairs."""
+def pair_sums(tokens: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
+    """Number of close sentence pairs and sum of the squared cosines of all pairs.
+
+    ``tokens`` and ``counts`` hold the sentences' distinct tokens one after the other, ``sizes`` how many each has.
+    """
+    n = len(sizes)
+    counts = counts.astype(np.int64)
+    ends = np.cumsum(sizes)
+    sentence = np.repeat(np.arange(n), sizes)
+    order = np.argsort(tokens, kind="stable")
+    _, first, inverse = np.unique(tokens[order], return_index=True, return_inverse=True)
+    stop = np.append(first[1:], len(tokens))
+    place = np.empty(len(tokens), np.int64)
+    place[order] = np.arange(len(tokens))
+    kind = np.empty(len(tokens), np.int64)
+    kind[order] = inverse
+    of, weight = sentence[order], counts[order]
+    length = np.sqrt(np.bincount(sentence, counts * counts, n))
+    close = squares = 0.0
+    for i in range(n - 1):
+        mine = range(ends[i] - sizes[i], ends[i])
+        later = [(place[k] + 1, stop[kind[k]], counts[k]) for k in mine]
+        if not later:
+            continue
+        others = np.concatenate([of[a:b] for a, b, _ in later])
+        dots = np.bincount(others - i, np.concatenate([weight[a:b] * c for a, b, c in later])) if len(others) else np.zeros(0)
+        found = np.flatnonzero(dots)
+        cosine = dots[found] / (length[i] * length[found + i])
+        close += np.count_nonzero(cosine > CLOSE)
+        squares += float((cosine * cosine).sum())
+    return close, squares
+
+
+def pairs_of(units: Column) -> Column:
+    """struct<close, squares> over all sentence pairs of a row's sentence vectors."""
+
+    def sums(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame([pair_sums(*(np.asarray(x) for x in row)) for row in zip(*rows, strict=True)], columns=["close", "squares"])
+
+    tokens = F.flatten(F.transform(units, lambda u: F.transform(u["v"], lambda t: F.xxhash64(t["item"]))))
+    counts = F.flatten(F.transform(units, lambda u: F.transform(u["v"], lambda t: t["cnt"])))
+    return F.pandas_udf(sums, "close double, squares double")(tokens, counts, F.transform(units, lambda u: F.size(u["v"])))
+
+
+def similarity_stages(p: Profile) -> list[dict[str, Column]]:
+    """Steps from ``sents`` to the sentence vectors, what neighbours have in common, and the sums over pairs."""
     units = F.col("units")
-    vectors = sentence_vectors(docs, p, keep).select(
-        "doc_id",
-        *keep,
-        "units",
-        F.size(units).alias("n"),
-        F.filter(units, lambda u: u["sq"] > 0).alias("filled"),
-    )
-    compared = vectors.select(
-        "doc_id",
-        *keep,
-        F.col("n").cast("long").alias("n_sentences"),
-        (F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("n_pairs"),
-        F.greatest((_sum_of_units(units) - F.size("filled")) / 2, F.lit(0.0)).alias("cosine_sum"),
-        F.size("filled").cast("long").alias("n_filled"),
-        total(value_counts(F.col("filled")), lambda k: k["cnt"].cast("double") * (k["cnt"] - 1) / 2).alias("copy_pairs"),
-        neighbour_cosines(units).alias("cosines"),
-    )
-    regions = compared.withColumn("regions", flat_regions_of(F.col("cosines")))
-    return regions.select(
-        "doc_id",
-        *keep,
-        "n_sentences",
-        "n_pairs",
-        "n_filled",
-        "copy_pairs",
-        "cosines",
-        "regions",
-        ratio(F.col("cosine_sum"), F.col("n_pairs"), 0.0).alias("mean_similarity"),
-        F.when(F.size("cosines") > 0, 1 / (1 + F.sqrt(array_var_pop(F.col("cosines"))))).otherwise(F.lit(0.0)).alias("smoothness"),
-        F.size("regions").cast("long").alias("n_regions"),
-        F.coalesce(F.array_max(F.transform("regions", lambda r: r["last"] - r["first"])), F.lit(0)).cast("long").alias("longest_region"),
-    )
+    return [
+        {"units": vectors_of(F.col("sents"), p)},
+        {"filled": F.size(F.filter(units, lambda u: u["sq"] > 0)), "unit_sum": _sum_of_units(units), "cosines": neighbour_cosines(units), "pairs": pairs_of(units)},
+        {"regions": flat_regions_of(F.col("cosines"))},
+    ]
+
+
+def similarity_columns() -> dict[str, Column]:
+    n, cosines, regions = F.size("sents"), F.col("cosines"), F.col("regions")
+    pairs = n.cast("double") * (n - 1) / 2
+    mean = ratio(F.greatest((F.col("unit_sum") - F.col("filled")) / 2, F.lit(0.0)), pairs, 0.0)
+    std = F.sqrt(F.greatest(ratio(F.col("pairs.squares"), pairs, 0.0) - mean * mean, F.lit(0.0)))
+    return {
+        "n_sentences": n.cast("long"),
+        "mean_similarity": mean,
+        "smoothness": F.when(F.size(cosines) > 0, 1 / (1 + F.sqrt(array_var_pop(cosines)))).otherwise(F.lit(0.0)),
+        "n_regions": F.size(regions).cast("long"),
+        "longest_region": F.coalesce(F.array_max(F.transform(regions, lambda r: r["last"] - r["first"])), F.lit(0)).cast("long"),
+        "similarity_diversity": F.when(pairs > 0, 1 - mean).otherwise(F.lit(0.0)),
+        "clustering": ratio(F.col("pairs.close"), pairs, 0.0),
+        "std_similarity": F.when(pairs >= 2, std).otherwise(F.lit(0.0)),
+    }
+
+
+def similarity_measures(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Similarity of neighbours and of all pairs, one narrow pass."""
+    cut = staged(segmented(docs, p, keep), *similarity_stages(p))
+    return measured(cut, "doc_id", *keep, *(col.alias(name) for name, col in similarity_columns().items()))
 
 
 def flat_regions(docs: DataFrame, p: Profile) -> DataFrame:
     """One row per flat region with its first and last sentence."""
-    found = unnest(neighbour_measures(docs, p), ("doc_id",), F.col("regions"), "r", pos="region")
+    cut = staged(
+        segmented(docs, p), {"units": vectors_of(F.col("sents"), p)}, {"cosines": neighbour_cosines(F.col("units"))}, {"regions": flat_regions_of(F.col("cosines"))}
+    )
+    regions = cut.select("doc_id", "regions")
+    found = unnest(regions, ("doc_id",), F.col("regions"), "r", pos="region")
     return found.select(
         "doc_id",
         F.col("region").cast("long").alias("region"),
@@ -142,124 +177,3 @@ def flat_regions(docs: DataFrame, p: Profile) -> DataFrame:
         F.col("r.last").cast("long").alias("last_sentence"),
         (F.col("r.last") - F.col("r.first")).cast("long").alias("length"),
     )
-
-
-def distinct_vectors(docs: DataFrame, p: Profile) -> DataFrame:
-    """Filled sentence vectors, equal ones merged inside the row with their number of copies."""
-    kinds = unnest(
-        sentence_vectors(docs, p), ("doc_id",), value_counts(F.filter("units", lambda u: u["sq"] > 0)), "k", pos="i"
-    )
-    return kinds.select("doc_id", "i", F.col("k.item.v").alias("v"), F.col("k.item.sq").alias("sq"), F.col("k.cnt").alias("copies"))
-
-
-def split_by_length(docs: DataFrame, long_text: int) -> tuple[DataFrame, DataFrame]:
-    size = F.coalesce(F.length("text"), F.lit(0))
-    return docs.where(size <= long_text), docs.where(size > long_text)
-
-
-def short_pairs(docs: DataFrame, p: Profile) -> DataFrame:
-    """Cosine of every pair of different sentences that share a token, and for how many pairs it stands."""
-    postings = unnest(distinct_vectors(docs, p), ("doc_id", "i", "sq", "copies"), F.col("v"), "t")
-    left = postings.select("doc_id", "t.item", F.col("i").alias("a"), F.col("sq").alias("sa"), F.col("copies").alias("ca"), F.col("t.cnt").alias("na"))
-    right = postings.select("doc_id", "t.item", F.col("i").alias("b"), F.col("sq").alias("sb"), F.col("copies").alias("cb"), F.col("t.cnt").alias("nb"))
-    return (
-        left.join(right, ["doc_id", "item"])
-        .where("a < b")
-        .groupBy("doc_id", "a", "b", "sa", "sb", (F.col("ca").cast("long") * F.col("cb")).alias("n"))
-        .agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-        .select("doc_id", "n", (F.col("dot") / (F.sqrt("sa") * F.sqrt("sb"))).alias("cosine"))
-    )
-
-
-def prefix_tokens(v: Column, sq: Column, threshold: float) -> Column:
-    """Tokens two vectors must have in common to reach the threshold.
-
-    Tokens are put in one order for all sentences, long ones first.  What is cut
-    off at the end is shorter than the threshold, so it cannot carry a close
-    pair by itself.
-    """
-    ordered = F.sort_array(F.transform(v, lambda t: F.struct((-F.length(t["item"])).alias("k"), t["item"].alias("item"), t["cnt"].alias("cnt"))))
-    limit = sq * (threshold * threshold - 1e-9)
-
-    def cut(s: Column) -> Column:
-        tail = F.aggregate(
-            F.reverse(s),
-            F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n")),
-            lambda a, t: F.struct(
-                (a["sum"] + t["cnt"] * t["cnt"]).alias("sum"),
-                (a["n"] + F.when(a["sum"] + t["cnt"] * t["cnt"] < limit, 1).otherwise(0)).alias("n"),
-            ),
-            lambda a: a["n"],
-        )
-        return F.transform(F.slice(s, F.lit(1), F.size(s) - tail), lambda t: t["item"])
-
-    return let(ordered, cut)
-
-
-def long_close_pairs(docs: DataFrame, p: Profile, threshold: float) -> DataFrame:
-    """The close pairs of long documents, from candidates that share a prefix token."""
-    vectors = distinct_vectors(docs, p)
-    postings = unnest(vectors, ("doc_id", "i"), prefix_tokens(F.col("v"), F.col("sq"), threshold), "token")
-    left = postings.withColumnRenamed("i", "a")
-    right = postings.withColumnRenamed("i", "b")
-    candidates = left.join(right, ["doc_id", "token"]).where("a < b").select("doc_id", "a", "b").distinct()
-    one = vectors.select("doc_id", F.col("i").alias("a"), F.col("v").alias("va"), F.col("sq").alias("sa"), F.col("copies").alias("ca"))
-    two = vectors.select("doc_id", F.col("i").alias("b"), F.col("v").alias("vb"), F.col("sq").alias("sb"), F.col("copies").alias("cb"))
-    cosine = dot(F.col("va"), F.col("vb")) / (F.sqrt("sa") * F.sqrt("sb"))
-    return (
-        candidates.join(one, ["doc_id", "a"])
-        .join(two, ["doc_id", "b"])
-        .where(cosine > threshold)
-        .select("doc_id", (F.col("ca").cast("long") * F.col("cb")).alias("n"))
-    )
-
-
-def long_squares(docs: DataFrame, p: Profile) -> DataFrame:
-    """Sum of squared cosines of long documents, each sentence with itself counted as one half.
-
-    The squared entries of the tokens' Gram matrix add up to the squared cosines
-    of all ordered sentence pairs.
-    """
-    weights = unnest(distinct_vectors(docs, p), ("doc_id", "i", "sq", "copies"), F.col("v"), "t")
-    left = weights.select("doc_id", "i", "copies", "sq", F.col("t.item").alias("x"), F.col("t.cnt").alias("cx"))
-    right = weights.select("doc_id", "i", F.col("t.item").alias("y"), F.col("t.cnt").alias("cy"))
-    gram = (
-        left.join(right, ["doc_id", "i"])
-        .where("x <= y")
-        .groupBy("doc_id", "x", "y")
-        .agg(F.sum(F.col("copies") * F.col("cx") * F.col("cy") / F.col("sq")).alias("g"))
-    )
-    entry = F.when(F.col("x") == F.col("y"), 0.5).otherwise(1.0) * F.col("g") * F.col("g")
-    return gram.groupBy("doc_id").agg(F.sum(entry).alias("long_squares"))
-
-
-def similarity_measures(
-    docs: DataFrame, p: Profile, keep: tuple[str, ...] = (), spread: bool = False, long_text: int = LONG_TEXT
-) -> DataFrame:
-    """Neighbour measures plus the share of close pairs and, on request, the spread of all pairs."""
-    base = neighbour_measures(docs, p, keep)
-    short_docs, long_docs = split_by_length(docs, long_text)
-    per_pair = [F.sum(F.when(F.col("cosine") > CLOSE, F.col("n")).otherwise(0)).alias("short_close")]
-    if spread:
-        per_pair.append(F.sum(F.col("n") * F.col("cosine") * F.col("cosine")).alias("short_squares"))
-    short = short_pairs(short_docs, p).groupBy("doc_id").agg(*per_pair)
-    long = long_close_pairs(long_docs, p, CLOSE).groupBy("doc_id").agg(F.sum("n").alias("long_close"))
-    joined = base.join(short, "doc_id", "left").join(long, "doc_id", "left")
-
-    def part(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)).cast("double")
-
-    pairs, mean = F.col("n_pairs"), F.col("mean_similarity")
-    close = part("short_close") + part("long_close") + F.col("copy_pairs")
-    columns = [
-        F.when(pairs > 0, 1 - mean).otherwise(F.lit(0.0)).alias("similarity_diversity"),
-        ratio(close, pairs, 0.0).alias("clustering"),
-    ]
-    if spread:
-        joined = joined.join(long_squares(long_docs, p), "doc_id", "left")
-        squares = F.when(F.col("long_squares").isNotNull(), F.col("long_squares") - F.col("n_filled") / 2).otherwise(
-            part("short_squares") + F.col("copy_pairs")
-        )
-        std = F.sqrt(F.greatest(ratio(squares, pairs, 0.0) - mean * mean, F.lit(0.0)))
-        columns.append(F.when(pairs >= 2, std).otherwise(F.lit(0.0)).alias("std_similarity"))
-    return joined.select(*base.columns, *columns)

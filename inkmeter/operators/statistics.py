@@ -24,7 +24,7 @@ from ..functions.arrays import (
 )
 from ..functions.scalar import ratio
 from ..profiles import Profile
-from .segment import normalized, sentence_table
+from .segment import normalized, segmented, sentence_table
 
 P_FLOOR = 1e-10  # FIXED VALUE: added to n-gram probabilities inside the logarithm
 
@@ -265,60 +265,80 @@ def sentence_measures(docs: DataFrame, p: Profile) -> DataFrame:
     )
 
 
+def sentence_rows(sents: Column, p: Profile) -> Column:
+    """array<struct> of the sentences' measures, inside the document's row."""
+
+    def measure(text: Column) -> Column:
+        return let(
+            run_lengths(T.tokens(text, p)),
+            lambda tok: let(
+                count_total(tok),
+                lambda n: F.struct(
+                    F.length(text).alias("n_chars"),
+                    n.alias("n_tokens"),
+                    entropy(tok, n).alias("entropy"),
+                    (T.count_regex(text, p.complexity_class) / F.greatest(n, F.lit(1))).alias("complexity"),
+                    F.when(n > 0, n).otherwise(F.length(text)).alias("length"),
+                ),
+            ),
+        )
+
+    return F.transform(sents, measure)
+
+
+def sentence_columns() -> dict[str, Column]:
+    """Per document over its sentence rows ``sent_rows``: entropies, burstiness, lengths (0 without sentences)."""
+    n, rows = F.col("sent_rows.n_chars"), F.size("sent_rows")
+    mean, spread = array_mean(n), F.sqrt(array_var_pop(n))
+    length, complexity = F.col("sent_rows.length"), F.col("sent_rows.complexity")
+    return {
+        "entropy_mean": array_mean(F.col("sent_rows.entropy")),
+        "entropy_variance": array_var_pop(F.col("sent_rows.entropy")),
+        "burstiness": F.sqrt(array_var_pop(length) + array_var_pop(complexity)),
+        "avg_length": array_mean(length),
+        "avg_complexity": array_mean(complexity),
+        "avg_chars": mean,
+        "length_variation": spread / F.greatest(mean, F.lit(1.0)),
+        "chars_std": F.when(rows >= 6, spread).otherwise(F.lit(0.0)),
+        "chars_range": F.when(rows >= 6, F.array_max(n) - F.array_min(n)).otherwise(F.lit(0)).cast("long"),
+        "chars_max": F.array_max(n).cast("long"),
+        "chars_min": F.array_min(n).cast("long"),
+    }
+
+
 def sentence_statistics(docs: DataFrame, p: Profile) -> DataFrame:
-    """Per document over its sentences: entropies, burstiness, lengths."""
-    return sentence_measures(docs, p).groupBy("doc_id").agg(*sentence_aggregates())
+    """Per document over its sentences; documents without a sentence have no row."""
+    rows = segmented(docs, p).select("doc_id", sentence_rows(F.col("sents"), p).alias("sent_rows")).where(F.size("sent_rows") > 0)
+    measures = [col.alias(name) for name, col in sentence_columns().items()]
+    return rows.select("doc_id", F.size("sent_rows").cast("long").alias("n_sentences"), *measures)
 
 
-def sentence_aggregates() -> list[Column]:
-    n = F.col("n_chars")
+def document_stages(p: Profile) -> list[dict[str, Column]]:
+    """Steps from ``norm`` and ``sents`` to the counts that the document's measures are made of."""
+    norm = F.col("norm")
     return [
-        F.count("*").alias("n_sentences"),
-        F.avg("entropy").alias("entropy_mean"),
-        F.var_pop("entropy").alias("entropy_variance"),
-        F.sqrt(F.var_pop("length") + F.var_pop("complexity")).alias("burstiness"),
-        F.avg("length").alias("avg_length"),
-        F.avg("complexity").alias("avg_complexity"),
-        F.avg(n).alias("avg_chars"),
-        (F.stddev_pop(n) / F.greatest(F.avg(n), F.lit(1.0))).alias("length_variation"),
-        F.when(F.count("*") >= 6, F.stddev_pop(n)).otherwise(F.lit(0.0)).alias("chars_std"),
-        F.when(F.count("*") >= 6, F.max(n) - F.min(n)).otherwise(F.lit(0)).cast("long").alias("chars_range"),
-        F.max(n).cast("long").alias("chars_max"),
-        F.min(n).cast("long").alias("chars_min"),
+        {
+            "compact": T.compact(norm),
+            "tok": run_lengths(T.tokens(norm, p)),
+            "hits": function_hits(norm, p),
+            "marks": F.array(*(col for _, col in punctuation_counts(norm, p))),
+            "sent_rows": sentence_rows(F.col("sents"), p),
+        },
+        {"tri": run_lengths(T.char_ngrams(F.col("compact"), 3)), "quad": run_lengths(T.char_ngrams(F.col("compact"), 4))},
     ]
 
 
-def document_measures(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Everything the scores need from the document's own row, in one narrow pass."""
-    text = normalized(docs, keep)
-    cut = text.select(
-        "doc_id",
-        *keep,
-        "norm",
-        T.compact(F.col("norm")).alias("compact"),
-        T.sentences(F.col("norm"), p).alias("sents"),
-        run_lengths(T.tokens(F.col("norm"), p)).alias("tok"),
-        function_hits(F.col("norm"), p).alias("hits"),
-        F.array(*(c for _, c in punctuation_counts(F.col("norm"), p))).alias("marks"),
-    )
-    counted = cut.select(
-        "*",
-        F.length("compact").alias("n_chars"),
-        run_lengths(T.char_ngrams(F.col("compact"), 3)).alias("tri"),
-        run_lengths(T.char_ngrams(F.col("compact"), 4)).alias("quad"),
-    )
-    measured = counted.select(
-        "doc_id",
-        *keep,
-        "norm",
-        F.col("n_chars").cast("long").alias("word_count"),
+def document_columns(p: Profile) -> list[Column]:
+    chars, of_sentences = F.length("compact"), sentence_columns()
+    return [
+        chars.cast("long").alias("word_count"),
         F.size("sents").cast("long").alias("n_sents"),
         *_ngram_columns(),
         *lexical_columns(F.col("tok")),
         zipf_fit(F.col("tok"))["deviation"].alias("zipf_deviation"),
         *punctuation_columns(F.col("marks")),
-        *function_columns(F.col("hits"), F.col("n_chars")),
+        *function_columns(F.col("hits"), chars),
         opener_diversity(F.col("sents"), p).alias("initial_diversity"),
         window_cv(F.col("compact")).alias("uniformity"),
-    )
-    return measured
+        *(of_sentences[n].alias(n) for n in ("entropy_mean", "entropy_variance", "burstiness", "avg_length", "avg_chars", "length_variation")),
+    ]

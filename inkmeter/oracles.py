@@ -11,7 +11,7 @@ from .functions.text import MARKUP_STEPS, SPACE_STEPS
 from .operators import patterns as PA
 from .profiles import LATIN as P
 from .profiles.base import WS_CHARS, WS_CLASS
-from .profiles.params import CONCRETE_LADDER, RISK_CLASSES, RISK_CUTS, STATISTICAL_WEIGHTS, TYPE_PARAMS
+from .profiles.params import CONCRETE_LADDER, RISK_CLASSES, RISK_CUTS, SCENE_BOOST, STATISTICAL_WEIGHTS, TYPE_PARAMS, TYPE_TUNING
 
 
 def lit(text: str) -> str:
@@ -433,6 +433,84 @@ CTES.update(
     }
 )
 
+
+
+def advice(labels: str) -> str:
+    """The first advice that knows one of the labels."""
+    cases = " ".join(
+        f"WHEN len(list_filter({labels}, lambda x: {' OR '.join(f'contains(x, {lit(m)})' for m in marks)})) > 0 THEN {lit(text)}" for marks, text in P.advice
+    )
+    return f"CASE {cases} ELSE {lit(P.texts['advice_default'])} END"
+
+
+def rewritten(text: str) -> str:
+    out = text
+    for regex, to in P.rewrites:
+        out = sub(out, regex, to)
+    return f"CASE WHEN {trim(out)} = '' THEN {text} ELSE {trim(out)} END"
+
+
+def _by_kind(table: dict, default) -> str:
+    return "CASE article_type " + " ".join(f"WHEN {lit(k)} THEN {v}::DOUBLE" for k, v in table.items()) + f" ELSE {default}::DOUBLE END"
+
+
+def typed_article(kind: str, rank: str) -> str:
+    """Article scores of all types: parameters by type, tuned by length and genre, then the same steps for every document."""
+    names = ("baseline0", "mul0", "thr0", "human0", "func0")
+    params = ", ".join(f"{_by_kind({k: v[i] for k, v in TYPE_PARAMS.items()}, TYPE_PARAMS['general'][i])} AS {n}" for i, n in enumerate(names))
+    tune = ", ".join(f"{_by_kind({k: v[i] for k, v in TYPE_TUNING.items()}, 'NULL')} AS t{i}" for i in range(10))
+    narrative, argued, tuned = "genre = 'narrative'", "genre = 'argumentative'", "t0 IS NOT NULL"
+    tuning = f"""SELECT *, CASE WHEN {tuned} AND words < t0 THEN greatest(4.0, baseline0 - t2) WHEN {tuned} AND words > t1 THEN baseline0 + 1 ELSE baseline0 END AS baseline,
+        CASE WHEN {tuned} AND {narrative} THEN mul0 * t3 WHEN {tuned} AND {argued} THEN least(t6, mul0 * t7) ELSE mul0 END AS mul,
+        CASE WHEN {tuned} AND {narrative} THEN least(t4, human0 * t5) ELSE human0 END AS human_mul,
+        CASE WHEN {tuned} AND {narrative} THEN 1 ELSE thr0 END AS thr,
+        CASE WHEN {tuned} AND {argued} THEN greatest(t8, func0 - t9) ELSE func0 END AS func_thr,
+        greatest(words / 1000, 0.2::DOUBLE) AS per_1k, CASE WHEN article_type IN ('wechat', 'zhihu') AND {narrative} THEN 0.18 ELSE 0.22 END AS steady,
+        {_by_kind(SCENE_BOOST, 1.0)} AS boost
+        FROM (SELECT *, {params}, {tune} FROM artin JOIN (SELECT doc_id, {kind} AS article_type FROM documents) USING (doc_id))"""
+    ladder = "CASE " + " ".join(f"WHEN concrete_hits >= {n} THEN {v}" for n, v in CONCRETE_LADDER) + " ELSE 0 END"
+    backing = "(concrete_hits + human_voice / 5) / nullif(pattern_kinds, 0)"
+    mixed = "concrete_hits > 0 AND human_voice > 0 AND pattern_kinds > 0"
+    wechat, zhihu = "article_type = 'wechat' AND words > 180", "article_type = 'zhihu' AND words > 150"
+    parts = [
+        "baseline",
+        f"least(45, {rnd('pattern_score * mul')})",
+        _points("avg_chars > 42", "4") + " + " + _points("avg_chars > 56", "3"),
+        _points("length_variation < steady AND ns >= 8", "5"),
+        _points("unique_ratio < 0.24 AND words > 400", "4"),
+        _points("n_set_phrases > 2", "least(8, n_set_phrases * 1.5)"),
+        _points("words > 150 AND function_density - func_thr > 0", f"least(4, {rnd('(function_density - func_thr) * 200')})"),
+        _points("words > 200 AND repeat_ratio > 0.28", f"least(3, {rnd('(repeat_ratio - 0.28) * 30')})"),
+        _points("words > 200 AND bigram_repeat > 0.30", f"least(5, {rnd('(bigram_repeat - 0.30) * 25')})"),
+        _points("words > 200 AND trigram_repeat > 0.18", f"least(3, {rnd('(trigram_repeat - 0.18) * 25')})"),
+        _points("words > 300 AND concrete_hits <= thr", "4") + " + " + _points("words > 200 AND concrete_hits <= 0", "5"),
+        "-" + _points("human_voice > 0", f"least(15, {rnd('human_voice * 2 * human_mul')})"),
+        f"-({ladder})",
+        f"CASE WHEN {wechat} AND {argued} THEN CASE WHEN abstract_hits >= 5 AND concrete_hits < 4 THEN least(7, {rnd('abstract_hits / per_1k * 4')}) "
+        f"WHEN abstract_hits >= 3 AND concrete_hits <= thr THEN 3 ELSE 0 END ELSE 0 END",
+        _points(f"{wechat} AND {narrative} AND abstract_hits >= 8 AND human_voice < 2 AND concrete_hits < 3", "4"),
+        "-" + _points(f"{wechat} AND {narrative} AND human_voice >= 3 AND concrete_hits >= 5", f"least(8, {rnd('human_voice + concrete_hits * 0.35::DOUBLE')})"),
+        _points(f"{zhihu} AND structure_signals >= 4", "least(6, structure_signals)"),
+        _points(f"{zhihu} AND {argued} AND community_hits >= 4 AND concrete_hits < 4", f"least(6, {rnd('community_hits / per_1k * 3.5')})"),
+        _points(f"{zhihu} AND {argued} AND structure_signals >= 5 AND concrete_hits <= thr", "3"),
+        "-" + _points(f"{zhihu} AND {narrative} AND human_voice >= 2 AND concrete_hits >= 4", f"least(7, {rnd('human_voice + concrete_hits * 0.3::DOUBLE')})"),
+        f"-(CASE WHEN {mixed} AND {backing} > 3 THEN 5 WHEN {mixed} AND {backing} > 1.5 THEN 3 ELSE 0 END)",
+    ]
+    layer1 = "greatest(5.0, " + " + ".join(f"({x})" for x in parts) + ")"
+    s3 = f"CASE WHEN words > 100 THEN {rnd('layer1 * 0.70 + ' + rnd('semantic_score / 2') + ' * 0.30')} ELSE layer1 END"
+    s4 = f"s3 + {_points('paragraph_count >= 2 AND consistency_score > 30', 'least(6, ' + rnd('consistency_score * 0.06') + ')')}"
+    s5 = f"s4 + {_points('boost > 1 AND pattern_score > 0', 'least(8, ' + rnd('pattern_score * (boost - 1) * 0.5::DOUBLE') + ')')}"
+    last = clamp(rnd(f"CASE WHEN words >= 80 THEN s5 * (1 - {_WEIGHT}) + " + rnd("(" + r4("overall") + ") * 100") + f" * {_WEIGHT} ELSE s5 END"), 3, 96)
+    steps = tuning
+    for name, column in (("layer1", layer1), ("s3", s3), ("s4", s4), ("s5", s5), ("score", last)):
+        steps = f"SELECT *, {column} AS {name} FROM ({steps})"
+    whole = ("pattern_hits", "concrete_hits", "human_voice", "semantic_score", "consistency_score", "score")
+    return f"""SELECT doc_id, article_type, genre, {', '.join(f'CAST({n} AS BIGINT) AS {n}' for n in whole)}, {r4('layer1')} AS layer1,
+        CAST(words AS BIGINT) AS word_count, CAST(n_set_phrases AS BIGINT) AS set_phrases, {r4('overall')} AS ensemble,
+        {by_rank(rank, P.texts['risk_levels'])} AS risk_level, {by_rank(rank, P.texts['risk_texts'])} AS risk, {by_rank(rank, RISK_CLASSES)} AS risk_class,
+        CAST({rank} AS BIGINT) AS risk_rank FROM ({steps})"""
+
+
 _NEEDS: dict[str, list[str]] = {}
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scalar import clamp, r4, ratio, risk_columns, round_half_up
 from ..operators import patterns as P
-from ..operators.consistency import consistency_scores
-from ..operators.segment import normalized
-from ..operators.selfmodel import semantic_scores
+from ..operators.consistency import consistency_columns, consistency_stages
+from ..operators.segment import measured, segmented, staged
+from ..operators.selfmodel import semantic_columns, semantic_stages
 from ..operators.statistics import repeat_share, unique_ratio_of
 from ..profiles import Profile
 from ..profiles.params import CONCRETE_LADDER, SCENE_BOOST, TYPE_ALIASES, TYPE_PARAMS, TYPE_TUNING
-from .ensemble import ensemble_scores
+from .ensemble import ensemble_measures, ensemble_stages, with_ensemble
 
 c = F.col
 
@@ -33,41 +33,45 @@ def typed(docs: DataFrame, article_type: str | None = None) -> DataFrame:
     return docs.withColumn("article_type", F.coalesce(_lookup(given, TYPE_ALIASES, None), given, F.lit("general")))
 
 
-def pattern_features(docs: DataFrame, p: Profile) -> DataFrame:
-    """Everything the article score reads from a document's text besides the ensemble."""
-    seen = T.match_text(c("norm"), p)
-    title = ("title",) if "title" in docs.columns else ()
-    text = normalized(docs, ("article_type", *title)).select("*", T.pseudo_words(c("norm"), p).alias("words"))
-    first = F.get(T.sentences(c("norm"), p), F.lit(0))
+def pattern_columns(p: Profile, title: bool) -> list[Column]:
+    """What the article score reads from a document's text besides the ensemble; needs ``norm``, ``sents`` and ``words``."""
+    norm, words = c("norm"), c("words")
+    seen = T.match_text(norm, p)
     given = F.nullif(c("title"), F.lit("")) if title else F.lit(None).cast("string")
-    return text.select(
-        "doc_id",
-        "article_type",
-        F.coalesce(given, F.left(first, F.lit(18)), F.lit(p.texts["untitled"])).alias("title"),
-        F.size(T.paragraphs(c("norm"))).cast("long").alias("paragraph_count"),
-        P.hit_details(c("norm"), p, context=True).alias("details"),
-        P.concrete_hits(c("norm"), p).alias("concrete_hits"),
-        P.human_hits(c("norm"), p).alias("human_hits"),
-        P.human_voice(c("norm"), p).alias("human_voice"),
+    return [
+        F.coalesce(given, F.left(F.get("sents", F.lit(0)), F.lit(18)), F.lit(p.texts["untitled"])).alias("title"),
+        F.size(T.paragraphs(norm)).cast("long").alias("paragraph_count"),
+        P.hit_details(norm, p, context=True).alias("details"),
+        P.concrete_hits(norm, p).alias("concrete_hits"),
+        P.human_hits(norm, p).alias("human_hits"),
+        P.human_voice(norm, p).alias("human_voice"),
         T.count_literal(seen, p.set_phrases).alias("set_phrases"),
         T.count_regex(seen, p.abstract_regex).alias("abstract_hits"),
         T.count_regex(seen, p.community_regex).alias("community_hits"),
         P.signal_score(seen, p.structure_signals).alias("structure_signals"),
         P.signal_score(seen, p.genre_argumentative).alias("argumentative"),
         P.signal_score(seen, p.genre_narrative).alias("narrative"),
-        unique_ratio_of(c("norm"), p).alias("unique_ratio"),
-        repeat_share(c("words"), 2).alias("word_bigram_repeat"),
-        repeat_share(c("words"), 3).alias("word_trigram_repeat"),
-    )
+        unique_ratio_of(norm, p).alias("unique_ratio"),
+        repeat_share(words, 2).alias("word_bigram_repeat"),
+        repeat_share(words, 3).alias("word_trigram_repeat"),
+    ]
 
 
 def article_features(docs: DataFrame, p: Profile) -> DataFrame:
-    """Pattern features, ensemble, self-model and consistency side by side, joined on doc_id."""
-    ensemble = ensemble_scores(docs, p).drop("paragraph_count")
-    semantic = semantic_scores(docs, p).drop("mean_overlap")
-    consistency = consistency_scores(docs, p).drop("n_paragraphs")
-    joined = pattern_features(docs, p).join(ensemble, "doc_id").join(semantic, "doc_id").join(consistency, "doc_id")
-    return joined.select(
+    """Pattern features, ensemble, self-model and consistency, all from one pass over the documents."""
+    title = "title" in docs.columns
+    cut = segmented(docs, p, ("article_type", *(("title",) if title else ())))
+    steps = [{"words": T.pseudo_words(c("norm"), p)}, *ensemble_stages(p), *semantic_stages(p), *consistency_stages(p)]
+    features = measured(
+        staged(cut, *steps),
+        "doc_id",
+        "article_type",
+        *pattern_columns(p, title),
+        *ensemble_measures(p),
+        *semantic_columns(p),
+        *consistency_columns(),
+    )
+    return with_ensemble(features).select(
         "*",
         P.genre_of(c("argumentative"), c("narrative")).alias("genre"),
         P.hit_score(c("details")).alias("pattern_score"),

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r4, risk_class, risk_rank
 from ..operators.patterns import pattern_hits
+from ..operators.segment import union_all
 from ..profiles import Profile
 from .article import article_scores
 from .ensemble import ensemble_scores
 
 c = F.col
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def turn_documents(conversations: DataFrame) -> DataFrame:
@@ -21,28 +23,33 @@ def turn_documents(conversations: DataFrame) -> DataFrame:
 
 
 def group_compare(docs: DataFrame, p: Profile) -> DataFrame:
-    """Per group: documents, mean and extreme ensemble score and the share in each risk class.
+    """Per group, and over all (null group): documents, mean, quartiles and extremes of the ensemble score, share of each risk class.
 
-    ``docs`` carries a ``group`` column.  Only one partial row per group leaves
-    each task, so a group with most of the rows is no problem.
+    ``docs`` carries a ``group`` column.  Scores have four decimals, so the exact
+    quartiles come from at most 10,001 counts a group; only such partial rows
+    leave a task, and a group with most of the rows is no problem.
     """
     scored = ensemble_scores(docs, p, keep=("group",)).select("group", r4(c("overall")).alias("score"))
     band = scored.withColumn("risk_class", risk_class(risk_rank(c("score") * 100)))
-    return band.groupBy("group").agg(
+    classes = ("high", "medium", "low")
+    return band.rollup("group").agg(
         F.count("*").alias("n_docs"),
         r4(F.avg("score")).alias("mean_score"),
         F.min("score").alias("min_score"),
         F.max("score").alias("max_score"),
-        *(F.count_if(c("risk_class") == k).alias(f"n_{k}") for k in ("high", "medium", "low")),
+        *(r4(F.percentile("score", q)).alias(f"q{int(q * 100)}_score") for q in QUARTILES),
+        *(F.count_if(c("risk_class") == k).alias(f"n_{k}") for k in classes),
+        *(r4(F.count_if(c("risk_class") == k) / F.count("*")).alias(f"share_{k}") for k in classes),
     )
 
 
 def threshold_eval(docs: DataFrame, labels: DataFrame, p: Profile, thresholds: tuple[float, ...]) -> DataFrame:
     """Confusion counts, precision and recall per threshold against a 0/1 label.
 
-    Every labelled document is counted once, for all thresholds in one pass.
+    Labels are joined first, so only labelled documents are scored; each is
+    counted once, for all thresholds in one pass.
     """
-    scored = ensemble_scores(docs, p).select("doc_id", "overall").join(labels, "doc_id")
+    scored = ensemble_scores(docs.join(labels, "doc_id"), p, keep=("label",)).select("overall", "label")
     marks = F.array(*(F.struct(F.lit(t).alias("threshold"), (c("overall") > t).alias("flagged")) for t in thresholds))
     counted = (
         scored.select("label", F.explode(marks).alias("m"))
@@ -70,25 +77,27 @@ def pattern_leaderboard(docs: DataFrame, p: Profile) -> DataFrame:
 
 
 def risk_distribution(docs: DataFrame, p: Profile) -> DataFrame:
-    """Documents per risk class by language, by source and overall (grouping sets).
+    """Documents per risk class by language, by source, by article type and overall (grouping sets).
 
-    ``docs`` carries ``lang`` and ``source``.
+    ``docs`` carries ``lang``, ``source`` and ``article_type``.
     """
-    scored = ensemble_scores(docs, p, keep=("lang", "source")).select("lang", "source", r4(c("overall")).alias("score"))
+    by = ("lang", "source", "article_type")
+    scored = ensemble_scores(docs, p, keep=by).select(*by, r4(c("overall")).alias("score"))
     band = scored.withColumn("risk_class", risk_class(risk_rank(c("score") * 100)))
     return (
-        band.groupingSets([["lang", "risk_class"], ["source", "risk_class"], ["risk_class"]], "lang", "source", "risk_class")
+        band.groupingSets([*([name, "risk_class"] for name in by), ["risk_class"]], *by, "risk_class")
         .agg(F.count("*").alias("n_docs"))
-        .select("lang", "source", "risk_class", "n_docs")
+        .select(*by, "risk_class", "n_docs")
     )
 
 
-def score_corpus(docs: DataFrame, profiles: dict[str, Profile] | Profile, article_type: str | None = None) -> DataFrame:
-    """Article scores of a corpus; with a ``profile`` column each document is scored by its own profile."""
+def score_corpus(docs: DataFrame, profiles: dict[str, Profile] | Profile, article_type: str | None = None, default: str | None = None) -> DataFrame:
+    """Article scores of a corpus; with a ``profile`` column each document is scored by its own profile.
+
+    Documents of an unknown or missing profile are scored by the profile named ``default``, the first one by default.
+    """
     if isinstance(profiles, Profile):
         return article_scores(docs, profiles, article_type)
-    parts = [article_scores(docs.where(c("profile") == name), p, article_type) for name, p in profiles.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    default = default or next(iter(profiles))
+    name = F.when(c("profile").isin(*profiles), c("profile")).otherwise(F.lit(default))
+    return union_all(*(article_scores(docs.where(name == key), p, article_type) for key, p in profiles.items()))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import array_mean, count_total, entropy, let, positions, run_lengths
 from ..functions.scalar import clamp, clip_text, r4, sigmoid
-from ..operators.segment import normalized, unnest
-from ..operators.similarity import FLAT, neighbour_cosines, similarity_measures, vectors_of
-from ..operators.statistics import document_measures, sentence_statistics
+from ..operators.segment import measured, normalized, segmented, staged, unnest
+from ..operators.similarity import FLAT, neighbour_cosines, similarity_columns, similarity_stages, vectors_of
+from ..operators.statistics import document_columns, document_stages
 from ..profiles import Profile
 from ..profiles.params import STATISTICAL_WEIGHTS
 
@@ -58,30 +58,38 @@ def similarity_score() -> Column:
     return clamp(parts / 0.50, 0, 1)
 
 
-def document_features(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document with every statistical feature."""
-    own = document_measures(docs, p, keep)
-    marks = own.select(
-        "*",
-        F.rlike(T.match_text(F.col("norm"), p), F.lit(p.human_marker)).alias("human_marked"),
-        F.rlike(T.match_text(F.col("norm"), p), F.lit(p.template_marker)).alias("template_marked"),
-    ).drop("norm")
-    return marks.join(sentence_statistics(docs, p), "doc_id", "left").na.fill(
-        0.0, ["entropy_mean", "entropy_variance", "burstiness", "avg_length", "avg_chars", "length_variation"]
-    )
+def ensemble_stages(p: Profile) -> list[dict[str, Column]]:
+    """Steps from ``norm`` and ``sents`` to what the ensemble's measures are made of."""
+    return [*document_stages(p), *similarity_stages(p)]
+
+
+def ensemble_measures(p: Profile) -> list[Column]:
+    seen = T.match_text(F.col("norm"), p)
+    return [
+        *document_columns(p),
+        F.rlike(seen, F.lit(p.human_marker)).alias("human_marked"),
+        F.rlike(seen, F.lit(p.template_marker)).alias("template_marked"),
+        *(col.alias(name) for name, col in similarity_columns().items() if name not in ("n_sentences", "std_similarity")),
+    ]
+
+
+def with_ensemble(features: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Both scores, the ensemble, its confidence and interval.  Blank text gets the all-zero row."""
+    blank = F.col("n_sents") == 0
+    scores = {"statistical": statistical_score(), "similarity": similarity_score()}
+    fused = features.withColumns({name: F.when(blank, F.lit(0.0)).otherwise(col) for name, col in scores.items()})
+    for name, column in ensemble_columns(threshold):
+        fused = fused.withColumn(name, column)
+    zeroed = {name: F.when(blank, F.lit(0.0)).otherwise(F.col(name)) for name in ("overall", "confidence", "ci_lower", "ci_upper")}
+    return fused.withColumns({**zeroed, "is_machine": F.col("is_machine") & ~blank}).drop("blend")
 
 
 def statistical_scores(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
-    features = document_features(docs, p, keep)
+    features = measured(staged(segmented(docs, p, keep), *document_stages(p)), "doc_id", *keep, *document_columns(p))
     score = F.when(F.col("n_sents") > 0, statistical_score()).otherwise(F.lit(0.0))
     return features.withColumn("statistical", score)
 
 
-def similarity_scores(docs: DataFrame, p: Profile) -> DataFrame:
-    scored = similarity_measures(docs, p).drop("cosines", "regions")
-    return scored.withColumn("similarity", F.when(F.col("n_sentences") > 0, similarity_score()).otherwise(F.lit(0.0)))
-
-
 def ensemble_columns(threshold: float = 0.5) -> list:
     """Steps of the fusion as (name, column); each may use the ones before.  FIXED VALUES: its constants."""
     c = F.col
@@ -107,18 +115,8 @@ def ensemble_columns(threshold: float = 0.5) -> list:
 
 
 def ensemble_scores(docs: DataFrame, p: Profile, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: both scores, the ensemble, its confidence and interval.
-
-    Blank text gets the all-zero row.
-    """
-    fused = statistical_scores(docs, p, keep).join(similarity_scores(docs, p).drop("n_sentences"), "doc_id", "left")
-    for name, column in ensemble_columns(threshold):
-        fused = fused.withColumn(name, column)
-    blank = F.col("n_sents") == 0
-    zeroed = {
-        name: F.when(blank, F.lit(0.0)).otherwise(F.col(name)) for name in ("overall", "confidence", "ci_lower", "ci_upper")
-    }
-    return fused.withColumns({**zeroed, "is_machine": F.col("is_machine") & ~blank}).drop("blend")
+    """One row per document, from one narrow pass."""
+    return with_ensemble(measured(staged(segmented(docs, p, keep), *ensemble_stages(p)), "doc_id", *keep, *ensemble_measures(p)), threshold)
 
 
 def ensemble_report(docs: DataFrame, p: Profile, threshold: float = 0.5) -> DataFrame:

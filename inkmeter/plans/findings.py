@@ -11,7 +11,7 @@ from ..functions.arrays import array_mean, let
 from ..functions.scalar import clamp, clip_text, risk_columns, round_half_up
 from ..operators import patterns as P
 from ..operators.consistency import consistency_findings
-from ..operators.segment import normalized, union_all, unnest
+from ..operators.segment import measured, normalized, union_all, unnest
 from ..profiles import Profile
 from .article import article_details
 
@@ -43,7 +43,7 @@ def paragraph_risk(docs: DataFrame, p: Profile) -> DataFrame:
     """FIXED VALUES: 20 points to start with, 1.6 per pattern point, and three additions."""
     paras = unnest(normalized(docs), ("doc_id",), T.paragraphs(c("norm")), "text", pos="para_idx")
     lengths = F.transform(T.sentences(c("text"), p), F.length)
-    measured = paras.select(
+    parts = paras.select(
         "doc_id",
         "para_idx",
         "text",
@@ -59,8 +59,8 @@ def paragraph_risk(docs: DataFrame, p: Profile) -> DataFrame:
         + F.when(c("parallel") > 0, 10).otherwise(0)
         + F.when((F.length("text") > 180) & (c("concrete") == 0), 8).otherwise(0)
     )
-    scored = measured.select(
-        "doc_id", "para_idx", "text", P.labels_of(c("details"), 3).alias("labels"), clamp(points, 8, 96).alias("score")
+    scored = measured(
+        parts, "doc_id", "para_idx", "text", P.labels_of(c("details"), 3).alias("labels"), clamp(points, 8, 96).alias("score")
     )
     reasons = F.when(F.size("labels") > 0, c("labels")).otherwise(F.array(F.lit(p.texts["paragraph_reason_default"])))
     return scored.select(
@@ -79,18 +79,14 @@ def sentence_issues(docs: DataFrame, p: Profile) -> DataFrame:
     """One row per sentence with a pattern hit, numbered per document.
 
     Paragraphs are visited from the riskiest down, so the paragraph rank is the
-    first key of the numbering and sentence risk only re-orders the result.
+    first key of the numbering and sentence risk only re-orders the result.  The
+    rank travels with the paragraph, whose sentences are cut in the same row.
     """
-    ranks = paragraph_risk(docs, p).select("doc_id", "para_order", c("risk_rank").alias("para_rank"))
-    paras = unnest(normalized(docs), ("doc_id",), T.paragraphs(c("norm")), "para", pos="para_idx")
-    sents = unnest(paras, ("doc_id", "para_idx"), T.sentences(c("para"), p), "text", pos="sent_idx")
-    hit = sents.select(
-        "doc_id", (c("para_idx") + 1).cast("long").alias("para_order"), "sent_idx", "text", P.hit_details(c("text"), p).alias("details")
-    ).where(F.size("details") > 0)
+    paras = paragraph_risk(docs, p).select("doc_id", "para_order", "text", c("risk_rank").alias("para_rank"))
+    sents = unnest(paras, ("doc_id", "para_order", "para_rank"), T.sentences(c("text"), p), "text", pos="sent_idx")
+    hit = sents.select("doc_id", "para_order", "para_rank", "sent_idx", "text", P.hit_details(c("text"), p).alias("details")).where(F.size("details") > 0)
     score = clamp(F.lit(24.0) + round_half_up(P.hit_score(c("details")) * 1.8) + F.when(F.length("text") > 58, 10).otherwise(0), 0, 98)
-    scored = hit.select(
-        "doc_id", "para_order", "sent_idx", "text", P.labels_of(c("details"), 4).alias("labels"), score.alias("score")
-    ).join(ranks, ["doc_id", "para_order"])
+    scored = hit.select("doc_id", "para_order", "para_rank", "sent_idx", "text", P.labels_of(c("details"), 4).alias("labels"), score.alias("score"))
     order = W.partitionBy("doc_id").orderBy(c("para_rank").desc(), "para_order", "sent_idx")
     numbered = scored.withColumn("issue_order", F.row_number().over(order))
     labels = c("labels")

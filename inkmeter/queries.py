@@ -18,7 +18,7 @@ from .operators import statistics as ST
 from .plans import corpus, ensemble, findings
 from .plans.article import article_scores, typed
 from .profiles import LATIN as P
-from .sources.documents import read_documents, read_table, spread
+from .sources.documents import read_documents, read_table
 from .sources.history import newest, text_report, totals
 
 c = F.col
@@ -65,16 +65,17 @@ on_docs("q_token_counts", f"SELECT {cols('doc_id sent_idx cnt', plain='token')}
 on_docs("q_pseudo_words", f"SELECT {cols('doc_id pos', plain='word')} FROM words", lambda d: SE.word_table(d, P))
 on_docs(
     "q_char_ngrams",
-    f"SELECT doc_id, 2::BIGINT AS n, gram, count(*) AS cnt FROM (SELECT doc_id, unnest({O.grams('c', 2)}) AS gram FROM cdocs) GROUP BY ALL",
-    lambda d: SE.ngram_table(d, (2,)),
+    "SELECT doc_id, n, gram, count(*) AS cnt FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, {n}::BIGINT AS n, unnest({O.grams('c', n)}) AS gram FROM cdocs" for n in (2, 3, 4))
+    + ") GROUP BY ALL",
+    lambda d: SE.ngram_table(d),
 )
 on_docs(
     "q_topic_ngrams",
-    "SELECT doc_id, para, k AS n_topics FROM topicn",
-    lambda d: SE.unnest(
-        CO._paragraphs_of_many(d).select("doc_id", "para", F.size(SE.T.topic_ngrams(c("text"), P)).alias("n_topics")).where("n_topics > 0"),
-        ("doc_id", "para"), F.array("n_topics"), "n_topics",
-    ),
+    "SELECT DISTINCT doc_id, CAST(para AS BIGINT) AS para_idx, gram FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, para, unnest({O.grams('z', n)}) AS gram FROM (SELECT doc_id, para, {O.sub('lower(text)', P.topic_drop)} AS z FROM rawparas)" for n in P.topic_sizes)
+    + f") WHERE {O.has('gram', '[^' + P.topic_function_class[1:])}",
+    lambda d: SE.topic_table(d, P),
 )
 on_docs(
     "q_char_ngram_features",
@@ -111,7 +112,7 @@ _SIMILARITY = ("n_sentences", "n_regions", "longest_region", "mean_similarity",
 on_docs(
     "q_sentence_similarity",
     f"SELECT {cols('doc_id n_sentences n_regions longest_region', 'mean_similarity std_similarity smoothness similarity_diversity clustering')} FROM simil",
-    lambda d: SI.similarity_measures(d, P, spread=True).select("doc_id", *_SIMILARITY),
+    lambda d: SI.similarity_measures(d, P).select("doc_id", *_SIMILARITY),
 )
 on_docs(
     "q_flat_regions",
@@ -157,7 +158,11 @@ on_docs(
     f"SELECT {cols('doc_id abstract_hits community_hits structure_signals human_voice')} FROM voice",
     lambda d: PA.voice_and_concepts(d, P),
 )
-on_docs("q_perplexity", f"SELECT {cols('doc_id n_usable', 'mean_perplexity std_perplexity')} FROM ppl", lambda d: SM.perplexity(d, P))
+on_docs(
+    "q_perplexity",
+    f"SELECT doc_id, CAST(coalesce(n_usable, 0) AS BIGINT) AS n_usable, {cols(real='mean_perplexity std_perplexity perplexity_score')} FROM ppl RIGHT JOIN (SELECT doc_id, perplexity_score FROM sem) USING (doc_id)",
+    lambda d: SM.perplexity(d, P),
+)
 on_docs(
     "q_transition_smoothness",
     f"SELECT {cols('doc_id n_transitions', 'mean_overlap smoothness_score')} FROM smooth",
@@ -193,23 +198,28 @@ on_docs(
 on_docs(
     "q_paragraph_risk",
     f"""SELECT doc_id, para_idx + 1 AS para_order, text, CASE WHEN length(text) > 76 THEN left(text, 76) || '...' ELSE text END AS preview, CAST(score AS BIGINT) AS score,
-        {O.by_rank(_RANK, O.RISK_CLASSES)} AS risk_class, CAST({_RANK} AS BIGINT) AS risk_rank,
+        {O.by_rank(_RANK, P.texts['risk_levels'])} AS risk_level, {O.by_rank(_RANK, P.texts['risk_texts'])} AS risk, {O.by_rank(_RANK, O.RISK_CLASSES)} AS risk_class,
+        CAST({_RANK} AS BIGINT) AS risk_rank, {O.advice('lab[1:3]')} AS suggestion,
         CASE WHEN len(lab) = 0 THEN {O.lit(P.texts['paragraph_reason_default'])} ELSE array_to_string(lab[1:3], '|') END AS reasons FROM parabase""",
-    lambda d: findings.paragraph_risk(d, P).drop("risk_level", "risk", "suggestion"),
+    lambda d: findings.paragraph_risk(d, P),
 )
 on_docs(
     "q_issues",
-    f"""SELECT doc_id, para_order || '-' || sent_idx AS issue_id, para_order, issue_order, text, CAST(score AS BIGINT) AS score, array_to_string(lab[1:4], '|') AS labels,
-        {O.by_rank(_RANK, O.RISK_CLASSES)} AS risk_class, CAST({_RANK} AS BIGINT) AS risk_rank FROM issues""",
-    lambda d: findings.sentence_issues(d, P).select(
-        "doc_id", "issue_id", "para_order", "issue_order", "text", "score", "labels", "risk_class", "risk_rank"
-    ),
+    f"""SELECT doc_id, para_order || '-' || sent_idx AS issue_id, 'sentence' AS type, para_order, issue_order, text, CAST(score AS BIGINT) AS score, array_to_string(lab[1:4], '|') AS labels,
+        {O.by_rank(_RANK, P.texts['risk_texts'])} AS risk, {O.by_rank(_RANK, O.RISK_CLASSES)} AS risk_class, CAST({_RANK} AS BIGINT) AS risk_rank,
+        replace({O.lit(P.texts['problem_labels'])}, '%s', array_to_string(lab[1:4], {O.lit(P.texts['label_join'])})) AS problem, {O.advice('lab[1:4]')} AS suggestion,
+        {O.rewritten('text')} AS example FROM issues""",
+    lambda d: findings.sentence_issues(d, P),
 )
 on_docs(
     "q_issue_tab_counts",
-    f"""SELECT doc_id, count(*) AS "all", count(*) FILTER (k = 'high') AS high, count(*) FILTER (k = 'medium') AS medium, count(*) FILTER (k = 'low') AS low
-        FROM (SELECT doc_id, {O.by_rank(_RANK, O.RISK_CLASSES)} AS k FROM issues) GROUP BY doc_id""",
-    lambda d: findings.issue_tab_counts(findings.sentence_issues(d, P)).drop("consistency"),
+    f"""SELECT doc_id, count(*) AS "all", count(*) FILTER (k = 'high') AS high, count(*) FILTER (k = 'medium') AS medium, count(*) FILTER (k = 'low') AS low,
+        count(*) FILTER (k = 'consistency') AS consistency
+        FROM (SELECT doc_id, {O.by_rank(_RANK, O.RISK_CLASSES)} AS k FROM issues UNION ALL SELECT doc_id, 'consistency' FROM gaps UNION ALL SELECT doc_id, 'consistency' FROM contra
+        UNION ALL SELECT doc_id, 'consistency' FROM redund) GROUP BY doc_id""",
+    lambda d: findings.issue_tab_counts(
+        SE.union_all(findings.sentence_issues(d, P), findings.consistency_issues(d, P, CO.consistency_scores(d, P)))
+    ),
 )
 on_docs(
     "q_pattern_leaderboard",
@@ -220,13 +230,22 @@ on_docs("q_all_issues", None, lambda d: findings.all_issues(d, P))
 on_docs("q_text_report", None, lambda d: text_report(findings.article_report(d, P), P))
 
 
-@query("q_article_score_by_type")
+_KINDS = ("general", "thesis", "wechat", "xiaohongshu", "zhihu")
+_KIND_SQL = "[" + ", ".join(map(O.lit, _KINDS)) + "][CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 5 + 1]"
+
+
+def by_source(docs: DataFrame) -> DataFrame:
+    """Every document gets the article type that the number of its source stands for."""
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("int") % len(_KINDS)
+    return docs.withColumn("article_type", F.element_at(F.array(*map(F.lit, _KINDS)), (number + 1).cast("int")))
+
+
+@query(
+    "q_article_score_by_type",
+    O.typed_article(_KIND_SQL, _RANK),
+)
 def _by_type(spark, sf_dir):
-    """Every document under the type its source stands for."""
-    docs = read_documents(spark, sf_dir, ("source",))
-    kinds = ("general", "thesis", "wechat", "xiaohongshu", "zhihu")
-    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.crc32(c("source")), F.lit(len(kinds))) + 1).cast("int"))
-    return article_scores(typed(docs.withColumn("article_type", kind)), P)
+    return article_scores(typed(by_source(read_documents(spark, sf_dir, ("source",)))), P)
 
 
 _BAND = O.by_rank(O.risk_rank("(s * 100)"), O.RISK_CLASSES)
@@ -235,13 +254,16 @@ _TURNS = {"documents0": "SELECT conv_id || '-' || turn AS doc_id, role, text FRO
 
 @query(
     "q_group_compare",
-    f"""SELECT role AS "group", count(*) AS n_docs, {O.r4('avg(s)')} AS mean_score, min(s) AS min_score, max(s) AS max_score, count(*) FILTER (k = 'high') AS n_high,
-        count(*) FILTER (k = 'medium') AS n_medium, count(*) FILTER (k = 'low') AS n_low
-        FROM (SELECT *, {_BAND} AS k FROM (SELECT role, {O.r4('overall')} AS s FROM ens JOIN turns USING (doc_id))) GROUP BY role""",
+    f"""SELECT role AS "group", count(*) AS n_docs, {O.r4('avg(s)')} AS mean_score, min(s) AS min_score, max(s) AS max_score,
+        {O.r4('quantile_cont(s, 0.25)')} AS q25_score, {O.r4('quantile_cont(s, 0.5)')} AS q50_score, {O.r4('quantile_cont(s, 0.75)')} AS q75_score,
+        count(*) FILTER (k = 'high') AS n_high, count(*) FILTER (k = 'medium') AS n_medium, count(*) FILTER (k = 'low') AS n_low,
+        {O.r4("count(*) FILTER (k = 'high') / count(*)")} AS share_high, {O.r4("count(*) FILTER (k = 'medium') / count(*)")} AS share_medium,
+        {O.r4("count(*) FILTER (k = 'low') / count(*)")} AS share_low
+        FROM (SELECT *, {_BAND} AS k FROM (SELECT role, {O.r4('overall')} AS s FROM ens JOIN turns USING (doc_id))) GROUP BY ROLLUP (role)""",
 )
 def _group_compare(spark, sf_dir):
     turns = corpus.turn_documents(read_table(spark, sf_dir, "conversations"))
-    return corpus.group_compare(spread(turns), P)
+    return corpus.group_compare(turns, P)
 
 
 ORACLES["q_group_compare"] = (
@@ -264,11 +286,11 @@ def _threshold_eval(spark, sf_dir):
 
 @query(
     "q_risk_distribution",
-    f"""SELECT lang, source, k AS risk_class, count(*) AS n_docs FROM (SELECT lang, source, {_BAND} AS k FROM (SELECT doc_id, {O.r4('overall')} AS s FROM ens)
-        JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)) GROUP BY GROUPING SETS ((lang, k), (source, k), (k))""",
+    f"""SELECT lang, source, article_type, k AS risk_class, count(*) AS n_docs FROM (SELECT lang, source, {_KIND_SQL} AS article_type, {_BAND} AS k FROM (SELECT doc_id, {O.r4('overall')} AS s FROM ens)
+        JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)) GROUP BY GROUPING SETS ((lang, k), (source, k), (article_type, k), (k))""",
 )
 def _risk_distribution(spark, sf_dir):
-    return corpus.risk_distribution(read_documents(spark, sf_dir, ("lang", "source")), P)
+    return corpus.risk_distribution(by_source(read_documents(spark, sf_dir, ("lang", "source"))), P)
 
 
 @query(

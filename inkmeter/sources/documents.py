@@ -5,19 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source")
-
-
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Give a small table that sits in few files enough partitions to use every core.
+from ..functions.text import compact
 
-    A table of many files already has more partitions than there are cores and
-    is returned as it is: its texts are never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +15,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
 
 
 def read_folders(spark: SparkSession, groups: dict[str, str]) -> DataFrame:
@@ -51,4 +41,4 @@ def read_folders(spark: SparkSession, groups: dict[str, str]) -> DataFrame:
 def from_texts(df: DataFrame, drop_blank: bool = True) -> DataFrame:
     """A batch of texts of any size; blank ones are dropped or kept as zero rows."""
     texts = df.withColumn("text", F.coalesce("text", F.lit("")))
-    return texts.filter(F.regexp_replace("text", r"\s", "") != "") if drop_blank else texts
+    return texts.filter(compact(F.col("text")) != "") if drop_blank else texts

@@ -30,10 +30,8 @@ def cosine(a, b):
     return sum(a[t] * b[t] for t in a) / (math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values())))
 
 
-@pytest.mark.parametrize("long_text", [10_000, 0])
-def test_similarity_equals_all_pairs(docs, long_text):
-    """Both ways, for ordinary and for very long documents, give what all pairs give."""
-    got = by_id(SI.similarity_measures(docs(*TEXTS), LATIN, spread=True, long_text=long_text))
+def test_similarity_equals_all_pairs(docs):
+    got = by_id(SI.similarity_measures(docs(*TEXTS), LATIN))
     for i, text in enumerate(TEXTS):
         bags = [bag(s) for s in text.replace("!", ".").replace(";", ".").split(".") if s.strip()]
         pairs = [cosine(a, b) for k, a in enumerate(bags) for b in bags[k + 1 :]]
@@ -44,6 +42,18 @@ def test_similarity_equals_all_pairs(docs, long_text):
         assert got[i]["clustering"] == pytest.approx(sum(x > 0.48 for x in pairs) / len(pairs) if pairs else 0)
 
 
+def test_pairs_of_a_long_text_without_blanks(docs):
+    """Chinese: every character is a token, and common ones stand in most sentences."""
+    words = "一不人大学生活时间工作问题世界"
+    sentences = ["".join(words[(i * k + k) % len(words)] for k in range(2, 12)) for i in range(400)]
+    row = SI.similarity_measures(docs("。".join(sentences) + "。"), ZH).first()
+    bags = [Counter(x + "") for x in sentences]
+    pairs = [cosine(a, b) for k, a in enumerate(bags) for b in bags[k + 1 :]]
+    mean = sum(pairs) / len(pairs)
+    assert row["clustering"] == pytest.approx(sum(x > 0.48 for x in pairs) / len(pairs))
+    assert row["std_similarity"] == pytest.approx(math.sqrt(sum((x - mean) ** 2 for x in pairs) / len(pairs)), abs=1e-6)
+
+
 def test_flat_regions(docs):
     rows = SI.flat_regions(docs("a b c. a b c. a b c. z. q r. q r."), LATIN).collect()
     assert sorted((r["first_sentence"], r["last_sentence"]) for r in rows) == [(0, 2), (4, 5)]
@@ -91,12 +101,13 @@ def test_contradictions_stop_at_five(docs):
     text = "\n".join(["这很好"] * 4 + ["那很坏"] * 4)
     rows = sorted((r["from_para"], r["to_para"]) for r in CO.contradictions(docs(text), ZH).collect())
     assert rows == [(1, 5), (1, 6), (1, 7), (1, 8), (2, 5)]
+    assert CO.consistency_scores(docs(text), ZH).first()["contradiction_count"] == 5
 
 
 def test_redundant_evidence_count_equals_rows(docs):
     text = "\n".join(["数据和专家", "报告、数据、专家", "专家的报告和数据", "没有", "数据和专家"])
     rows = CO.redundant_evidence(docs(text), ZH).count()
-    assert rows == 6 == CO.redundant_evidence_counts(docs(text), ZH).first()["redundancy_count"]
+    assert rows == 6 == CO.consistency_scores(docs(text), ZH).first()["redundancy_count"]
 
 
 def test_consistency_cases(docs):

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from inkmeter.plans import ensemble, findings
+from inkmeter.plans import corpus, ensemble, findings
 from inkmeter.plans.article import article_details, article_scores
 from inkmeter.profiles import LATIN, ZH
 from inkmeter.sources import history
@@ -68,8 +68,8 @@ def test_folders_to_json_report(spark, tmp_path):
 
 
 def test_blank_texts_are_dropped_on_request(docs):
-    data = docs("a", " ", "", None)
-    assert from_texts(data).count() == 1 and from_texts(data, drop_blank=False).count() == 4
+    data = docs("a", " ", "", None, "\u3000\u00a0\n")
+    assert from_texts(data).count() == 1 and from_texts(data, drop_blank=False).count() == 5
 
 
 def test_score_log(spark, tmp_path):
@@ -84,3 +84,16 @@ def test_score_log(spark, tmp_path):
     kept = history.newest(log, "user_id", "created_at", "record_id")
     assert kept.count() == 30 and history.totals(log, "user_id").first()["n_records"] == 31
     assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_article_score_is_one_pass(docs):
+    """One scan and no exchange: every measure comes from the document's own row."""
+    plan = article_scores(docs(STORY, TEMPLATE), ZH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
+def test_unknown_profiles_are_scored_by_the_default(spark):
+    rows = [(1, TEMPLATE, "zh"), (2, "It was warm. The cat sat.", "latin"), (3, STORY, "xx"), (4, STORY, None)]
+    data = spark.createDataFrame(rows, "doc_id bigint, text string, profile string")
+    got = scores(corpus.score_corpus(data, {"zh": ZH, "latin": LATIN}))
+    assert set(got) == {1, 2, 3, 4} and got[3] == got[4] == scores(article_scores(data.where("doc_id = 3"), ZH))[3]
