@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,9 +23,11 @@ STEMS = range(4, 9)
 #: A term stands in at least so many toxic documents of the sample, and in so large a part of them ...
 LEAST_DOCS, LEAST_PART = 3, 0.003
 #: ... and so large a part of the documents with it is toxic.
-PURITY = 0.8
+PURITY = 0.97
 #: Terms in the lexicon and candidates looked at, at most (by documents that they cover).
 TERMS, CANDIDATES = 256, 50_000
+#: A term that stands in so many toxic documents, and so large a part of them, is taken though others cover them.
+COMMON_DOCS, COMMON_PART = 8, 0.05
 THRESHOLD = 0.7
 #: Log odds that context adds to an insult.
 TARGETED, NEGATED, REPORTED, THREAT = 0.5, -1.5, -1.0, 2.0
@@ -193,7 +196,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A lexicon that covers the toxic documents of a bounded sample of the labelled rows that are not held out.
 
     Of the terms that are pure and frequent enough, the one that covers most toxic documents not yet covered is taken,
-    again and again; ties go to the longer term, then by name.  Rows with a null label are no labels, and an id with both labels
+    again and again; ties go to the longer term, then by name.  Pure terms that are common among toxic documents follow.
+    Documents that resemble one another (the smallest word hash is equal) count once, so words of one text and its
+    copies make no lexicon.  Rows with a null label are no labels, and an id with both labels
     counts as toxic.  Without toxic rows the lexicon is empty and every score is the same low one.
     """
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -206,15 +211,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model({}, 0.0, math.log(0.5 / (n_clean + 0.5)))
     least = max(LEAST_DOCS, int(LEAST_PART * n_toxic))
 
-    def spell(batches: Iterator[pd.DataFrame], only: set[str] | None = None) -> Iterator[pd.DataFrame]:
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, text in batch[["doc_id", "text"]].itertuples(index=False, name=None):
                 terms = _terms(text)
-                yield pd.DataFrame({"term": list(terms & only if only is not None else terms)}).assign(doc_id=doc_id)
+                sketch = min(map(zlib.crc32, (x.encode("utf-8", "surrogatepass") for x in terms)), default=0)
+                yield pd.DataFrame({"term": list(terms)}).assign(doc_id=doc_id, sketch=sketch)
 
-    spelled = checkpointed(rows.where("toxic = 1").mapInPandas(spell, "term string, doc_id long"))
-    frequent = spelled.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    in_toxic = {r["term"]: r["n"] for r in frequent.collect()}
+    spelled = checkpointed(rows.where("toxic = 1").mapInPandas(spell, "term string, doc_id long, sketch long"))
+    counted = spelled.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("sketch").alias("kinds"))
+    frequent = counted.where(F.col("kinds") >= least).orderBy(F.desc("kinds"), "term").limit(CANDIDATES).collect()
+    in_toxic, kinds = ({r["term"]: r[x] for r in frequent} for x in ("n", "kinds"))
     names = set(in_toxic)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,6 +249,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         terms[best] = math.log(in_toxic[best] + 0.5) - math.log(in_clean[best] + 0.5) - odds
         covered |= gain
         covers = {t: left for t, ids in covers.items() if (left := ids - gain)}
+    common = max(COMMON_DOCS, COMMON_PART * n_toxic)
+    for t in sorted((t for t in pure if kinds[t] >= common), key=lambda t: (-kinds[t], -len(t), t)):
+        if len(terms) < TERMS and not any(t.rstrip("*").startswith(x.rstrip("*")) or x.startswith(t.rstrip("*")) for x in terms):
+            terms[t] = math.log(in_toxic[t] + 0.5) - math.log(in_clean[t] + 0.5) - odds
     hit_clean = max((in_clean[t] for t in terms), default=0)
     return Model(terms, odds, math.log(n_toxic - len(covered) + 0.5) - math.log(max(0, n_clean - hit_clean) + 0.5))
 
