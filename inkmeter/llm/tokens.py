@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
@@ -34,6 +35,11 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1).astype(np.float64))).astype(np.int64) + 1, 0)
 
 
+def _largest(width: np.ndarray) -> np.ndarray:
+    """The largest value of so many bits, a column for the rows of blocks."""
+    return ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Blocks of ids: base (the block's minimum), width, exceptions; an index of block starts stands before them.
 
@@ -55,16 +61,16 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     best, width = np.full(count, np.iinfo(np.int64).max), np.zeros(count, np.int64)
     for p in PERCENTILES:
         w = _bits(ranked[:, max(0, -(-block * p // 100) - 1)]) if count else width
-        over = (offset.astype(np.uint64) >> w[:, None].astype(np.uint64)).astype(bool).sum(1)
+        over = (offset > _largest(w)).sum(1)
         cost = w * block + over * _EXCEPTION_BITS
         better = cost < best
         best[better], width[better] = cost[better], w[better]
-    outlier = (offset.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype(bool)
+    outlier = offset > _largest(width)
     packed: list[bytes] = [b""] * count
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        low = offset[at]
-        bits = ((low[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(at), -1)
+        low = np.ascontiguousarray(offset[at], "<u4").view(np.uint8).reshape(len(at), block, 4)
+        bits = np.unpackbits(low, axis=2, count=int(w), bitorder="little").reshape(len(at), -1)
         for i, row in zip(at.tolist(), np.packbits(bits, axis=1, bitorder="little"), strict=True):
             packed[i] = row.tobytes()
     exceptions = outlier.sum(1)
@@ -111,12 +117,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Letters, then marks without an apostrophe (which may begin a contraction): no token reaches across.
+_MARKED = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+_SHORT = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def _u32(ids: list[int]) -> bytes:
+    """Ids as little-endian u32."""
+    return _SHORT[len(ids)](*ids) if len(ids) < len(_SHORT) else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder(dict):
     """Ids, as little-endian u32 bytes, of pieces of UTF-8 text without ASCII blanks; filled as pieces are met.
 
     The tokenizer drops white space and no token reaches across it, so a text's ids are those of its pieces in order
-    (a test holds this against whole texts).  ASCII pieces are lower-cased first and a point or comma after a letter is
-    a piece of its own, as the tokenizer does both; so fewer pieces differ.  A piece of letters alone, in composed form,
+    (a test holds this against whole texts).  ASCII pieces are lower-cased first and marks after letters are a
+    piece of their own, as the tokenizer does both; so fewer pieces differ.  A piece of letters alone, in composed form,
     is one word for the tokenizer: its merges are run without the steps before.
     """
 
@@ -131,8 +147,8 @@ class Encoder(dict):
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= _WORDS_KEPT:
             self.clear()
-        if piece[-1:] in (b".", b",") and piece[-2:-1].isalpha():
-            ids = self[piece[:-1]] + self[piece[-1:]]
+        if cut := _MARKED.fullmatch(piece):
+            ids = self[cut[1]] + self[cut[2]]
         elif piece.isascii():
             lower = piece.lower()
             if lower != piece and b"<|" not in piece:
@@ -144,18 +160,20 @@ class Encoder(dict):
         else:
             text = piece.decode()
             lower = text.lower()
-            plain = lower.isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text)
-            ids = self._word("".join(map(self.letters.__getitem__, lower.encode()))) if plain else self._any(text)
+            if text[-1] in ".," and text[-2].isalpha():
+                ids = self[piece[:-1]] + self[piece[-1:]]
+            elif lower.isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text):
+                ids = self._word("".join(map(self.letters.__getitem__, lower.encode())))
+            else:
+                ids = self._any(text)
         self[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        found = [x.id for x in self.merges.tokenize(word)]
-        return struct.pack(f"<{len(found)}I", *found)
+        return _u32([x.id for x in self.merges.tokenize(word)])
 
     def _any(self, text: str) -> bytes:
-        found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(found)}I", *found)
+        return _u32(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode().split())) + struct.pack("<I", END)
