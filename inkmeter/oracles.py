@@ -511,6 +511,28 @@ def typed_article(kind: str, rank: str) -> str:
         CAST({rank} AS BIGINT) AS risk_rank FROM ({steps})"""
 
 
+def text_report(rank: str) -> str:
+    """The report text of documents of the general type."""
+    t = P.texts
+    lines = (
+        ("pattern_kinds > 0", "reason_patterns", "pattern_kinds"),
+        ("parallel", "reason_parallel", None),
+        ("avg_chars > 34", "reason_long", None),
+        ("words > 300 AND concrete_hits <= 1", "reason_concrete", None),
+        ("words > 150 AND function_density > 0.10", "reason_function", rnd("function_density * 1000") + " / 10"),
+        ("words > 150 AND repeat_ratio > 0.22", "reason_trigram", rnd("repeat_ratio * 1000") + " / 10"),
+        ("words > 100 AND bigram_repeat > 0.28", "reason_bigram", rnd("bigram_repeat * 1000") + " / 10"),
+        ("gap_count > 0", "reason_gaps", "gap_count"),
+        ("contradiction_count > 0", "reason_contradictions", "contradiction_count"),
+    )
+    found = ", ".join(f"CASE WHEN {cond} THEN printf({lit(t[name])}{', ' + value if value else ''}) END" for cond, name, value in lines)
+    kept = f"list_filter([{found}], lambda x: x IS NOT NULL)"
+    reasons = f"CASE WHEN len({kept}) = 0 THEN {lit(t['reason_default'])} ELSE array_to_string({kept}, {lit(t['report_join'])}) END"
+    value = f"printf({lit(t['report'])}, CAST(score AS BIGINT), {by_rank(rank, t['risk_levels'])}, CAST(words AS BIGINT), {reasons})"
+    return f"""SELECT doc_id, {value} AS value FROM article
+        LEFT JOIN (SELECT doc_id, true AS parallel FROM scored WHERE label = {lit(P.parallel_label)}) USING (doc_id)"""
+
+
 _NEEDS: dict[str, list[str]] = {}
 
 

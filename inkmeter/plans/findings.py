@@ -148,7 +148,8 @@ def top_issues(issues: DataFrame, k: int = 8) -> DataFrame:
 
 
 def _percent(x: Column) -> Column:
-    return x * 100
+    """Per cent with one decimal, halves going up."""
+    return round_half_up(x * 1000) / 10
 
 
 def source_analysis(wide: Column | None = None, p: Profile | None = None) -> Column:

@@ -227,7 +227,7 @@ on_docs(
     lambda d: corpus.pattern_leaderboard(d, P),
 )
 on_docs("q_all_issues", None, lambda d: findings.all_issues(d, P))
-on_docs("q_text_report", None, lambda d: text_report(findings.article_report(d, P), P))
+on_docs("q_text_report", O.text_report(_RANK), lambda d: text_report(findings.article_report(d, P), P))
 
 
 _KINDS = ("general", "thesis", "wechat", "xiaohongshu", "zhihu")

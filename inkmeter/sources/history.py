@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,12 +13,27 @@ from ..profiles import Profile
 
 c = F.col
 KEEP = 30  # rows a user keeps
+BUCKETS = 256  # user buckets of the log tables; the number of their folders
 LOG_SCHEMA = (
     "user_id bigint, record_id string, type string, title string, score bigint, after_score bigint, word_count bigint, "
     "scene string, status string, time string, created_at timestamp"
 )
 
 
+def bucket_of(user: Column) -> Column:
+    return F.pmod(F.xxhash64(user), F.lit(BUCKETS)).cast("int")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def log_records(payload: DataFrame, p: Profile) -> DataFrame:
     """Log rows with defaults; ``payload`` may lack any column but user_id and carries created_at if it is not now."""
     have = set(payload.columns)
@@ -41,7 +58,7 @@ def log_records(payload: DataFrame, p: Profile) -> DataFrame:
         field("scene", t["default_scene"], "string"),
         now.alias("created_at"),
     )
-    record_id = F.concat_ws("_", F.lit("record"), F.unix_millis("created_at"), F.nullif(c("key"), F.lit("")))
+    record_id = F.concat_ws("_", F.lit("record"), F.unix_millis("created_at"), F.nullif(c("key"), F.lit("")), F.uuid())
     return rows.select(
         "user_id", record_id.alias("record_id"), "type", "title", "score", "after_score", "word_count", "scene", status.alias("status"),
         format_stamp(c("created_at")).alias("time"), "created_at",
@@ -49,12 +66,13 @@ def log_records(payload: DataFrame, p: Profile) -> DataFrame:
 
 
 def append_log(records: DataFrame, path: str) -> None:
-    records.write.mode("append").parquet(path)
+    """The log has one folder per user bucket, like the table of newest rows."""
+    records.withColumn("bucket", bucket_of(c("user_id"))).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The log, newest first."""
-    return spark.read.schema(LOG_SCHEMA).parquet(path).orderBy(c("created_at").desc(), c("record_id").desc())
+    return spark.read.schema(LOG_SCHEMA).parquet(path).drop("bucket").orderBy(c("created_at").desc(), c("record_id").desc())
 
 
 def newest(df: DataFrame, user: str, stamp: str, tie: str, k: int = KEEP) -> DataFrame:
@@ -81,19 +99,26 @@ def write_newest(records: DataFrame, path: str) -> None:
     )
 
 
-def clear_history(spark: SparkSession, path: str, user_ids: list[int]) -> None:
-    """Remove the rows of some users: their buckets are written again without them."""
+def clear_history(spark: SparkSession, path: str, users: DataFrame) -> None:
+    """Remove the rows of some users (column ``user_id``): their buckets are written again without them.
+
+    What stays of those buckets is staged beside the table and read back, so nothing is overwritten that still has to
+    be read.  Buckets that nothing is left of are removed.
+    """
+    gone = users.select("user_id").distinct()
+    touched = {r["bucket"] for r in gone.select(bucket_of(c("user_id")).alias("bucket")).distinct().collect()}  # at most BUCKETS
+    if not touched:
+        return
     log = spark.read.parquet(path)
-    buckets = log.where(c("user_id").isin(*user_ids)).select("bucket").distinct()
-    rest = log.join(F.broadcast(buckets), "bucket", "left_semi").where(~c("user_id").isin(*user_ids))
-    kept = rest.checkpoint() if spark.sparkContext.getCheckpointDir() else rest.persist()
-    kept.count()
-    touched = [r["bucket"] for r in buckets.collect()]  # bounded by the number of buckets
-    empty = [b for b in touched if kept.where(c("bucket") == b).isEmpty()]
-    if len(empty) < len(touched):
+    staged = f"{path}-staged-{uuid.uuid4().hex}"
+    log.where(c("bucket").isin(*touched)).join(gone, "user_id", "left_anti").select(*log.columns).write.partitionBy("bucket").parquet(staged)
+    kept = spark.read.schema(log.schema).parquet(staged)
+    left = {r["bucket"] for r in kept.select("bucket").distinct().collect()}
+    if left:
         write_newest(kept, path)
-    for b in empty:
-        log.limit(0).drop("bucket").write.mode("overwrite").parquet(f"{path}/bucket={b}")
+    for bucket in touched - left:
+        remove(spark, f"{path}/bucket={bucket}")
+    remove(spark, staged)
 
 
 def write_report_json(report: DataFrame, path: str) -> None:

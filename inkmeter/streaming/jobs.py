@@ -8,10 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.article import article_scores
 from ..profiles import Profile
-from ..sources.history import newest, write_newest
+from ..sources.history import bucket_of, exists, newest, remove, write_newest
 
 c = F.col
-BUCKETS = 256  # user buckets of the newest-rows table; its number of folders
 
 
 def score_stream(
@@ -40,24 +39,20 @@ def newest_stream(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        fresh = newest(batch.withColumn("bucket", F.pmod(F.xxhash64(user), F.lit(BUCKETS)).cast("int")), user, stamp, tie, k).drop("rank")
+        fresh = newest(batch.withColumn("bucket", bucket_of(c(user))), user, stamp, tie, k).drop("rank")
         staged = f"{checkpoint}-merge/{batch_id}"
         fresh.write.mode("overwrite").parquet(f"{staged}-fresh")
         rows = session.read.parquet(f"{staged}-fresh")
         touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS values
         if not touched:
             return
-        if _exists(session, target):
+        if exists(session, target):
             old = session.read.parquet(target).where(c("bucket").isin(*touched))
             rows = rows.unionByName(old.select(*rows.columns)).dropDuplicates([user, stamp, tie])
         newest(rows, user, stamp, tie, k).drop("rank").write.mode("overwrite").parquet(staged)
         write_newest(session.read.parquet(staged), target)
+        remove(session, f"{staged}-fresh")
+        remove(session, staged)
 
     arriving = spark.readStream.schema(schema).parquet(source)
     return arriving.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -97,3 +97,18 @@ def test_unknown_profiles_are_scored_by_the_default(spark):
     data = spark.createDataFrame(rows, "doc_id bigint, text string, profile string")
     got = scores(corpus.score_corpus(data, {"zh": ZH, "latin": LATIN}))
     assert set(got) == {1, 2, 3, 4} and got[3] == got[4] == scores(article_scores(data.where("doc_id = 3"), ZH))[3]
+
+
+def test_clearing_an_appended_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    payload = spark.range(60).select((F.col("id") % 20).alias("user_id"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    history.append_log(history.log_records(payload, ZH), path)
+    log = history.read_log(spark, path)
+    assert log.select("record_id").distinct().count() == 60 and log.columns == [x.split()[0] for x in history.LOG_SCHEMA.split(", ")]
+    history.clear_history(spark, path, spark.createDataFrame([(3,), (5,), (99,)], "user_id bigint"))
+    left = {r["user_id"] for r in history.read_log(spark, path).collect()}
+    assert left == set(range(20)) - {3, 5} and history.read_log(spark, path).count() == 54
+    history.clear_history(spark, path, spark.range(20).select(F.col("id").alias("user_id")))
+    history.append_log(history.log_records(payload.limit(1), ZH), path)
+    assert history.read_log(spark, path).count() == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["log"]
