@@ -95,3 +95,19 @@ def op9_chat(spark, sf_dir):
     extra = F.inline(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(one).alias("text")) for i, r in enumerate(("user", "assistant"))]))
     told = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.range(1).select(extra))
     return chat.digests(chat.format_conversations(told)).drop("branch").withColumnRenamed("tree_id", "conv_id")
+
+
+def _escaped(x: str) -> str:
+    return rf"replace(replace(replace({x}, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')"
+
+
+ORACLES["op9_chat"] = rf"""
+WITH told AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('### : </turn>') + 1 + length(replace({_escaped('role')}, ':', '\:')) + length({_escaped('text')})) AS BIGINT) AS formatted_chars
+FROM told GROUP BY conv_id"""
