@@ -23,7 +23,9 @@ STEMS = range(4, 9)
 #: A term stands in at least so many toxic documents of the sample, and in so large a part of them ...
 LEAST_DOCS, LEAST_PART = 3, 0.003
 #: ... and so large a part of the documents with it is toxic.
-PURITY = 0.97
+PURITY = 0.9
+#: A clean document with a term weighs as much against it as so many toxic ones that it covers weigh for it.
+CLEAN_COST = 10
 #: Terms in the lexicon and candidates looked at, at most (by documents that they cover).
 TERMS, CANDIDATES = 256, 50_000
 #: A term that stands in so many toxic documents, and so large a part of them, is taken though others cover them.
@@ -195,8 +197,8 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A lexicon that covers the toxic documents of a bounded sample of the labelled rows that are not held out.
 
-    Of the terms that are pure and frequent enough, the one that covers most toxic documents not yet covered is taken,
-    again and again; ties go to the longer term, then by name.  Pure terms that are common among toxic documents follow.
+    Of the terms that are pure and frequent enough, the one that covers most toxic documents not yet covered (less a
+    cost for clean ones) is taken, again and again; ties go to the longer term, then by name.  Pure terms that are common among toxic documents follow.
     Documents that resemble one another (the smallest word hash is equal) count once, so words of one text and its
     copies make no lexicon.  Rows with a null label are no labels, and an id with both labels
     counts as toxic.  Without toxic rows the lexicon is empty and every score is the same low one.
@@ -242,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     odds = math.log(n_toxic + 0.5) - math.log(n_clean + 0.5)
     covered: set = set()
     while covers and len(terms) < TERMS:
-        best = max(covers, key=lambda t: (len(covers[t]), -in_clean[t], len(t), t))
+        best = max(covers, key=lambda t: (len(covers[t]) - CLEAN_COST * in_clean[t], len(t), t))
         gain = covers.pop(best)
         if len(gain) < least:
             break
