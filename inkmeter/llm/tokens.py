@@ -27,7 +27,7 @@ PERCENTILES = (75, 90, 95, 98, 100)
 #: Bits of an exception: its place (16) and its value (32).
 _EXCEPTION_BITS = 48
 _MAGIC = b"PFR1"
-_WORDS_KEPT = 250_000
+_WORDS_KEPT = 400_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
