@@ -53,9 +53,22 @@ def cols(whole: str = "", real: str = "", plain: str = "") -> str:
     return ", ".join(parts + plain.split())
 
 
+SMALL_BYTES = 64 << 20
+
+
+def on_all_cores(docs: DataFrame) -> DataFrame:
+    """A table of at most ``SMALL_BYTES``, which may be one file and so one task, dealt to all cores; larger ones as they are."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else docs
+
+
+def documents(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    return on_all_cores(read_documents(spark, sf_dir, columns))
+
+
 def on_docs(name: str, sql: str | None, job: Callable[[DataFrame], DataFrame]) -> None:
     """Register a job over ``documents`` alone."""
-    query(name, sql)(lambda spark, sf_dir: job(read_documents(spark, sf_dir)))
+    query(name, sql)(lambda spark, sf_dir: job(documents(spark, sf_dir)))
 
 
 on_docs("q_sentences", f"SELECT {cols('doc_id sent_idx', plain='text')}, length(text) AS n_chars FROM sents", lambda d: SE.sentence_table(d, P))
@@ -245,7 +258,7 @@ def by_source(docs: DataFrame) -> DataFrame:
     O.typed_article(_KIND_SQL, _RANK),
 )
 def _by_type(spark, sf_dir):
-    return article_scores(typed(by_source(read_documents(spark, sf_dir, ("source",)))), P)
+    return article_scores(typed(by_source(documents(spark, sf_dir, ("source",)))), P)
 
 
 _BAND = O.by_rank(O.risk_rank("(s * 100)"), O.RISK_CLASSES)
@@ -263,7 +276,7 @@ _TURNS = {"documents0": "SELECT conv_id || '-' || turn AS doc_id, role, text FRO
 )
 def _group_compare(spark, sf_dir):
     turns = corpus.turn_documents(read_table(spark, sf_dir, "conversations"))
-    return corpus.group_compare(turns, P)
+    return corpus.group_compare(on_all_cores(turns), P)
 
 
 ORACLES["q_group_compare"] = (
@@ -281,7 +294,7 @@ ORACLES["q_group_compare"] = (
 )
 def _threshold_eval(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").select("doc_id", c("quality").alias("label"))
-    return corpus.threshold_eval(read_documents(spark, sf_dir), labels, P, THRESHOLDS)
+    return corpus.threshold_eval(documents(spark, sf_dir), labels, P, THRESHOLDS)
 
 
 @query(
@@ -290,7 +303,7 @@ def _threshold_eval(spark, sf_dir):
         JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)) GROUP BY GROUPING SETS ((lang, k), (source, k), (article_type, k), (k))""",
 )
 def _risk_distribution(spark, sf_dir):
-    return corpus.risk_distribution(by_source(read_documents(spark, sf_dir, ("lang", "source"))), P)
+    return corpus.risk_distribution(by_source(documents(spark, sf_dir, ("lang", "source"))), P)
 
 
 @query(
@@ -309,4 +322,4 @@ def _totals(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article score of every document, highest first."""
-    return article_scores(read_documents(spark, sf_dir), P).orderBy(c("score").desc(), "doc_id")
+    return article_scores(documents(spark, sf_dir), P).orderBy(c("score").desc(), "doc_id")
