@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline."""
+"""The registered queries of the operators and of the pipeline."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, chunks, language, sharding, toxicity
+from . import chat, chunks, language, sharding, toxicity, whitening
 from .common import held_out, read_table, small_batches
 from .decontaminate import contaminated
+from .exact import exact_duplicates
 from .mixing import mix_counts
 from .quality import with_quality
+from .resampling import resampled
 from .simhash import near_duplicates
 from .tokens import token_output
 
@@ -97,6 +99,28 @@ def op9_chat(spark, sf_dir):
     return chat.digests(chat.format_conversations(told)).drop("branch").withColumnRenamed("tree_id", "conv_id")
 
 
+@query
+def op11_resampling(spark, sf_dir):
+    return resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_exact_dedup(spark, sf_dir):
+    return exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return whitening.component_rows(vectors, whitening.fit(vectors))
+
+
+ORACLES["op12_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+WINDOW same AS (PARTITION BY t)"""
+
+
 def _escaped(x: str) -> str:
     return rf"replace(replace(replace({x}, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')"
 
