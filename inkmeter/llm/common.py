@@ -18,9 +18,14 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share, from the session.
+
+    Where none is set, a temporary one serves a session whose tasks run on the driver's machine; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -64,9 +69,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is not in ``ids``; a null doc_id is never in it.  Texts move only if ``ids`` is large."""
-    return docs.join(small(ids.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and hash of the text are not in ``gone`` (doc_id, h); a null doc_id is an id like others.
+
+    Texts move only if ``gone`` is large.
+    """
+    keys = small(gone.select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct())
+    same = docs["doc_id"].eqNullSafe(keys["_gone_id"]) & (F.xxhash64(docs["text"]) == keys["_gone_h"])
+    return docs.join(keys, same, "left_anti")
 
 
 def unsigned(text: Column) -> Column:

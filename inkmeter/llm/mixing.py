@@ -157,9 +157,9 @@ def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> tuple[Da
 
 
 def _blocks_of(placed: DataFrame, block: int) -> DataFrame:
-    """A row for each block that a document's words lie in; documents without words keep one row without a block."""
+    """A row for each block that a document's words lie in; ``placed`` are documents with words."""
     last = F.col("start") + F.col("size") - 1
-    numbers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor(last / block)))
+    numbers = F.sequence(F.floor(F.col("start") / block), F.floor(F.greatest(last, "start") / block))
     return placed.select("*", F.explode_outer(numbers).alias("block"))
 
 
@@ -174,9 +174,10 @@ def mix_counts(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> Dat
     placed, slots, _ = mixed(docs, block, shards)
     times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     first, end = _part(block)
-    taken = _blocks_of(placed, block).join(times, ["rank", "block"], "left").withColumn("words", F.coalesce(F.col("times") * (end - first), F.lit(0)))
+    taken = _blocks_of(placed.where("size > 0"), block).join(times, ["rank", "block"], "left").withColumn("words", F.coalesce(F.col("times") * (end - first), F.lit(0)))
     keys = ["doc_id", "source", "size", "mark", "start", "source_size", "target"]
-    return taken.groupBy(*keys).agg(F.sum("words").alias("taken")).drop("mark", "start")
+    counted = taken.groupBy(*keys).agg(F.sum("words").alias("taken")).drop("mark", "start")  # rows with words differ in their start
+    return counted.unionByName(placed.where("size = 0").select(*counted.columns[:-1], F.lit(0).cast("long").alias("taken")))
 
 
 def _cut(text: str, spans) -> str:

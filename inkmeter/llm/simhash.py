@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, without
+from .common import checkpointed, small
 from .components import components
 
 SHINGLE = 4
@@ -117,4 +117,5 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, k: in
 
     Rows that share that doc_id are the same document and stay together.
     """
-    return without(docs, near_duplicates(docs, radius, bands, k).where("doc_id <> component_id"))
+    gone = near_duplicates(docs, radius, bands, k).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -160,7 +160,7 @@ class Encoder(dict):
         else:
             text = piece.decode()
             lower = text.lower()
-            if text[-1] in ".," and text[-2].isalpha():
+            if text[-1] in ".," and text[-2].lower()[-1].isalpha():
                 ids = self[piece[:-1]] + self[piece[-1:]]
             elif lower.isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text):
                 ids = self._word("".join(map(self.letters.__getitem__, lower.encode())))

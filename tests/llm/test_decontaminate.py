@@ -57,6 +57,41 @@ def test_against_all_alignments(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {r.doc_id for r in got}
 
 
+def aligned(text, item):
+    """Whether some alignment agrees in three quarters of at least LEAST_WORDS words within reach: no seed asked for."""
+    w, p = words(text), words(item)
+    for shift in range(-len(p) + 1, len(w)):
+        low, high = max(0, -shift), min(len(p), len(w) - shift)
+        same = [w[i + shift] == p[i] for i in range(low, high)]
+        if any(sum(same[i : i + 24]) >= 0.75 * len(same[i : i + 24]) for i in range(max(1, len(same) - 23)) if len(same[i : i + 24]) >= D.LEAST_WORDS):
+            return True
+    return False
+
+
+def test_recall_of_substituted_copies(spark):
+    """Every n-th word replaced, by a brute force that knows no seeds; clean texts give nothing."""
+    bench = [(i, prose(2000 + i, 40)) for i in range(8)]
+    rows, planted = [], {}
+    for n in (3, 4, 5, 6, 8):
+        for i, text in bench:
+            copy = words(text)
+            copy[(i % n) :: n] = ["other"] * len(copy[(i % n) :: n])
+            planted.setdefault(n, set()).add(100 * n + i)
+            rows.append((100 * n + i, f"{prose(3000 + i, 30)} {' '.join(copy)} {prose(4000 + i, 30)}"))
+    clean = [(5000 + i, prose(5000 + i, 90)) for i in range(20)]
+    got = {r.doc_id for r in D.contaminated(table(spark, rows + clean), spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    able = {d for d, t in rows if any(aligned(t, p) for _, p in bench)}
+    for n in (4, 5, 6, 8):
+        assert planted[n] <= able and planted[n] <= got, n
+    assert not got - able
+
+
+def test_rows_without_id_leave(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    docs = table(spark, [(None, f"{prose(1, 20)} {ITEMS[3][1]}"), (None, prose(2, 30)), (4, f"{prose(4, 9)} {ITEMS[4][1]}"), (4, prose(5, 30))])
+    assert sorted(r.text for r in D.decontaminated(docs, bench).collect()) == sorted([prose(2, 30), prose(5, 30)])
+
+
 def test_joins_without_broadcast_agree(spark, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     docs = table(spark, documents())

@@ -63,7 +63,8 @@ def test_draws_give_each_source_what_it_owes():
 
 def rows():
     out = [(i, prose(i, 40 + i % 60), ("big", "big", "big", "mid", None, "tiny")[i % 6 if i % 6 < 5 or i < 12 else 0]) for i in range(240)]
-    return out + [(d, t, "big") for d, t in ODD] + [(300, prose(1, 700), "mid")] * 2
+    odd = [(d, t, "big") for d, t in ODD] + [(None, None, "big"), (902, "", "big"), (None, "", None), (None, "", None)]
+    return out + odd + [(300, prose(1, 700), "mid")] * 2
 
 
 def test_counts(spark):
