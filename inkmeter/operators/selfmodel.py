@@ -72,7 +72,8 @@ def perplexity_stages(p: Profile) -> list[dict[str, Column]]:
     none = F.array().cast("array<double>")
     return [
         {"gram_logs": F.when(F.size("sents") >= 4, mean_logs(_sentence_gram_counts(F.col("norm"), p))).otherwise(none), "log_room": F.log(n_grams + F.lit(float(SMOOTHING)))},
-        {"perplexities": F.transform("gram_logs", lambda m: F.exp(F.col("log_room") - m))},
+        # bound outside the lambda: named inside, the optimizer would put the text expression there, for every sentence
+        {"perplexities": let(F.col("log_room"), lambda room: F.transform("gram_logs", lambda m: F.exp(room - m)))},
     ]
 
 

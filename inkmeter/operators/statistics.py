@@ -24,7 +24,7 @@ from ..functions.arrays import (
 )
 from ..functions.scalar import ratio
 from ..profiles import Profile
-from .segment import normalized, segmented, sentence_table
+from .segment import measured, normalized, segmented, sentence_table
 
 P_FLOOR = 1e-10  # FIXED VALUE: added to n-gram probabilities inside the logarithm
 
@@ -308,7 +308,7 @@ def sentence_columns() -> dict[str, Column]:
 
 def sentence_statistics(docs: DataFrame, p: Profile) -> DataFrame:
     """Per document over its sentences; documents without a sentence have no row."""
-    rows = segmented(docs, p).select("doc_id", sentence_rows(F.col("sents"), p).alias("sent_rows")).where(F.size("sent_rows") > 0)
+    rows = measured(segmented(docs, p), "doc_id", sentence_rows(F.col("sents"), p).alias("sent_rows")).where(F.size("sent_rows") > 0)
     measures = [col.alias(name) for name, col in sentence_columns().items()]
     return rows.select("doc_id", F.size("sent_rows").cast("long").alias("n_sentences"), *measures)
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import oracles as O
 from .functions.scalar import r4
+from .functions.tables import register_table_functions
 from .operators import consistency as CO
+from .operators import dictionary as DI
 from .operators import patterns as PA
 from .operators import segment as SE
 from .operators import selfmodel as SM
@@ -315,6 +317,57 @@ def _last30(spark, sf_dir):
     return newest(read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id")
 
 
+def _dictionary_sql() -> str:
+    """A count for each entry of three kinds: literals by replacing them, regular expressions by their matches."""
+    seen, rows = "lower(norm)", []
+    for kind, texts in (("phrase", P.phrases), ("set_phrase", P.set_phrases)):
+        distinct = list(dict.fromkeys(texts))
+        rows += [(kind, i + 1, w, kind, f"(length({seen}) - length(replace({seen}, {O.lit(w)}, ''))) // {len(w)} * {texts.count(w)}", "0") for i, w in enumerate(distinct)]
+    rows += [("pattern", x.pattern_id, x.label, x.category, O.count(seen, x.regex), str(x.weight)) for x in P.patterns]
+    each = ", ".join(f"{{'kind': {O.lit(k)}, 'id': {i}, 'label': {O.lit(a)}, 'category': {O.lit(b)}, 'n': {n}, 'weight': {w}::BIGINT}}" for k, i, a, b, n, w in rows)
+    return f"""SELECT doc_id, h.kind AS kind, CAST(h.id AS BIGINT) AS entry_id, h.label AS label, h.category AS category, h.weight AS weight, CAST(h.n AS BIGINT) AS n, CAST(h.weight * h.n AS BIGINT) AS score
+        FROM (SELECT doc_id, unnest([{each}]) AS h FROM docs) WHERE h.n > 0"""
+
+
+@query("q_dictionary_hits", _dictionary_sql())
+def _dictionary_hits(spark, sf_dir):
+    table = DI.profile_table(spark, P).where(c("kind").isin("phrase", "set_phrase", "pattern"))
+    return DI.dictionary_hits(documents(spark, sf_dir), table, P).fillna(0, ["weight", "score"])
+
+
+@query(
+    "q_benchmark_terms",
+    """SELECT doc_id, entry, (length(t) - length(replace(t, entry, ''))) // length(entry) AS n FROM (SELECT doc_id, lower(norm) AS t FROM docs),
+        (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS entry FROM benchmark) WHERE contains(t, entry)""",
+)
+def _benchmark_terms(spark, sf_dir):
+    terms = DI.words_of(read_table(spark, sf_dir, "benchmark"))
+    return DI.dictionary_hits(documents(spark, sf_dir), terms, P).select("doc_id", c("label").alias("entry"), "n")
+
+
+def sql_text(name: str, select: str, sql: str) -> None:
+    """Register a query that is SQL text over table functions; ``{docs}`` stands for the documents."""
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        register_table_functions(spark, P)
+        return spark.sql(select, docs=documents(spark, sf_dir))
+
+
+sql_text("q_sql_sentences", "SELECT d.doc_id, s.* FROM {docs} d, LATERAL sentences_of(d.text) s", f"SELECT {cols('doc_id sent_idx', plain='text')}, length(text) AS n_chars FROM sents")
+sql_text("q_sql_clauses", "SELECT d.doc_id, s.* FROM {docs} d, LATERAL clauses_of(d.text) s", f"SELECT {cols('doc_id clause_idx', plain='text')}, length(text) AS n_chars FROM clauses")
+sql_text(
+    "q_sql_ngrams",
+    "SELECT d.doc_id, g.gram, count(*) AS cnt FROM {docs} d, LATERAL ngrams_of(d.text, 3) g GROUP BY d.doc_id, g.gram",
+    f"SELECT doc_id, gram, count(*) AS cnt FROM (SELECT doc_id, unnest({O.grams('c', 3)}) AS gram FROM cdocs) GROUP BY ALL",
+)
+sql_text(
+    "q_sql_tokens",
+    "SELECT d.doc_id, t.token, count(*) AS cnt FROM {docs} d, LATERAL tokens_of(d.text) t GROUP BY d.doc_id, t.token",
+    f"SELECT doc_id, token, count(*) AS cnt FROM (SELECT doc_id, unnest({O.token_list('norm')}) AS token FROM docs) GROUP BY ALL",
+)
+
+
 @query("q_history_totals", "SELECT user_id, count(*) AS n_records FROM events GROUP BY user_id")
 def _totals(spark, sf_dir):
     return totals(read_table(spark, sf_dir, "events"), "user_id")

@@ -126,3 +126,10 @@ def test_consistency_cases(docs):
     )
     assert rows[0]["consistency_score"] == rows[3]["consistency_score"] == rows[4]["consistency_score"] == 0
     assert rows[1]["contradiction_count"] >= 1 and rows[2]["gap_count"] == 1 and rows[5]["n_paragraphs"] == 50
+
+
+def test_no_sentence_goes_over_the_whole_text_again(docs):
+    """What a sentence is compared with is computed once for its document, not inside the function over its sentences."""
+    plan = SM.perplexity(docs(*TEXTS), LATIN)._jdf.queryExecution().optimizedPlan().toString()
+    inner = plan.split("lambdafunction(EXP(")[1:]
+    assert inner and not any("regexp_replace" in part[:200] for part in inner)

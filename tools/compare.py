@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 from inkmeter.queries import ORACLES, QUERIES  # noqa: E402
 
-TABLES = ("documents", "labels", "conversations", "events")
+TABLES = ("documents", "labels", "conversations", "events", "benchmark")
 
 
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
