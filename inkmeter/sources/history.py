@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import format_stamp
 from ..profiles import Profile
+from . import versions
 
 c = F.col
 KEEP = 30  # rows a user keeps
@@ -24,16 +23,6 @@ def bucket_of(user: Column) -> Column:
     return F.pmod(F.xxhash64(user), F.lit(BUCKETS)).cast("int")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def log_records(payload: DataFrame, p: Profile) -> DataFrame:
     """Log rows with defaults; ``payload`` may lack any column but user_id and carries created_at if it is not now."""
     have = set(payload.columns)
@@ -50,6 +39,7 @@ def log_records(payload: DataFrame, p: Profile) -> DataFrame:
     rows = payload.select(
         c("user_id").cast("long").alias("user_id"),
         *([c("doc_id").cast("string").alias("key")] if "doc_id" in have else [F.lit("").alias("key")]),
+        *([c("record_id").cast("string").alias("record_id")] if "record_id" in have else []),
         field("type", "detect", "string"),
         field("title", t["untitled"], "string"),
         field("score", 0, "long"),
@@ -58,7 +48,8 @@ def log_records(payload: DataFrame, p: Profile) -> DataFrame:
         field("scene", t["default_scene"], "string"),
         now.alias("created_at"),
     )
-    record_id = F.concat_ws("_", F.lit("record"), F.unix_millis("created_at"), F.nullif(c("key"), F.lit("")), F.uuid())
+    made = F.concat_ws("_", F.lit("record"), F.unix_millis("created_at"), F.nullif(c("key"), F.lit("")), F.uuid())
+    record_id = F.coalesce("record_id", made) if "record_id" in have else made
     return rows.select(
         "user_id", record_id.alias("record_id"), "type", "title", "score", "after_score", "word_count", "scene", status.alias("status"),
         format_stamp(c("created_at")).alias("time"), "created_at",
@@ -66,13 +57,14 @@ def log_records(payload: DataFrame, p: Profile) -> DataFrame:
 
 
 def append_log(records: DataFrame, path: str) -> None:
-    """The log has one folder per user bucket, like the table of newest rows."""
-    records.withColumn("bucket", bucket_of(c("user_id"))).write.mode("append").partitionBy("bucket").parquet(path)
+    """Rows in folders of user buckets, seen at once; see `versions`."""
+    rows = records.withColumn("bucket", bucket_of(c("user_id")))
+    versions.change(records.sparkSession, path, lambda _: rows)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The log, newest first."""
-    return spark.read.schema(LOG_SCHEMA).parquet(path).drop("bucket").orderBy(c("created_at").desc(), c("record_id").desc())
+    return versions.read(spark, path, LOG_SCHEMA).drop("bucket").orderBy(c("created_at").desc(), c("record_id").desc())
 
 
 def newest(df: DataFrame, user: str, stamp: str, tie: str, k: int = KEEP) -> DataFrame:
@@ -89,36 +81,24 @@ def totals(df: DataFrame, user: str) -> DataFrame:
     return df.groupBy(user).agg(F.count("*").alias("n_records"))
 
 
-def write_newest(records: DataFrame, path: str) -> None:
-    """Newest rows kept per user, one folder per user bucket; only buckets in ``records`` are replaced."""
-    (
-        records.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+def buckets_in(rows: DataFrame) -> list[int]:
+    """The buckets of some rows, at most BUCKETS."""
+    return sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
 
 
-def clear_history(spark: SparkSession, path: str, users: DataFrame) -> None:
-    """Remove the rows of some users (column ``user_id``): their buckets are written again without them.
+def clear_history(spark: SparkSession, path: str, users: DataFrame, schema: str = LOG_SCHEMA) -> None:
+    """Remove the rows of some users (column ``user_id``): their buckets are written again without them, then switched.
 
-    What stays of those buckets is staged beside the table and read back, so nothing is overwritten that still has to
-    be read.  Buckets that nothing is left of are removed.
+    A reader sees all of the old rows or none of those users'; a crash in between changes nothing.
     """
     gone = users.select("user_id").distinct()
-    touched = {r["bucket"] for r in gone.select(bucket_of(c("user_id")).alias("bucket")).distinct().collect()}  # at most BUCKETS
-    if not touched:
-        return
-    log = spark.read.parquet(path)
-    staged = f"{path}-staged-{uuid.uuid4().hex}"
-    log.where(c("bucket").isin(*touched)).join(gone, "user_id", "left_anti").select(*log.columns).write.partitionBy("bucket").parquet(staged)
-    kept = spark.read.schema(log.schema).parquet(staged)
-    left = {r["bucket"] for r in kept.select("bucket").distinct().collect()}
-    if left:
-        write_newest(kept, path)
-    for bucket in touched - left:
-        remove(spark, f"{path}/bucket={bucket}")
-    remove(spark, staged)
+    touched = buckets_in(gone.select(bucket_of(c("user_id")).alias("bucket")))
+
+    def left(now: dict) -> DataFrame:
+        return versions.read(spark, path, schema, now).where(c("bucket").isin(*touched)).join(gone, "user_id", "left_anti")
+
+    if touched:
+        versions.change(spark, path, left, lambda _: touched)
 
 
 def write_report_json(report: DataFrame, path: str) -> None:
