@@ -511,8 +511,8 @@ def typed_article(kind: str, rank: str) -> str:
         CAST({rank} AS BIGINT) AS risk_rank FROM ({steps})"""
 
 
-def text_report(rank: str) -> str:
-    """The report text of documents of the general type."""
+def _reasons() -> str:
+    """The list of reasons of a document of the general type, with the default line where there is none."""
     t = P.texts
     lines = (
         ("pattern_kinds > 0", "reason_patterns", "pattern_kinds"),
@@ -527,10 +527,63 @@ def text_report(rank: str) -> str:
     )
     found = ", ".join(f"CASE WHEN {cond} THEN printf({lit(t[name])}{', ' + value if value else ''}) END" for cond, name, value in lines)
     kept = f"list_filter([{found}], lambda x: x IS NOT NULL)"
-    reasons = f"CASE WHEN len({kept}) = 0 THEN {lit(t['reason_default'])} ELSE array_to_string({kept}, {lit(t['report_join'])}) END"
-    value = f"printf({lit(t['report'])}, CAST(score AS BIGINT), {by_rank(rank, t['risk_levels'])}, CAST(words AS BIGINT), {reasons})"
-    return f"""SELECT doc_id, {value} AS value FROM article
-        LEFT JOIN (SELECT doc_id, true AS parallel FROM scored WHERE label = {lit(P.parallel_label)}) USING (doc_id)"""
+    return f"CASE WHEN len({kept}) = 0 THEN [{lit(t['reason_default'])}] ELSE {kept} END"
+
+
+_PARALLEL = f"(SELECT doc_id, true AS parallel FROM scored WHERE label = {lit(P.parallel_label)})"
+
+
+def text_report(rank: str) -> str:
+    """The report text of documents of the general type."""
+    t = P.texts
+    value = f"printf({lit(t['report'])}, CAST(score AS BIGINT), {by_rank(rank, t['risk_levels'])}, CAST(words AS BIGINT), array_to_string({_reasons()}, {lit(t['report_join'])}))"
+    return f"SELECT doc_id, {value} AS value FROM article LEFT JOIN {_PARALLEL} USING (doc_id)"
+
+
+def _sources() -> str:
+    """The source list as lines of text: the first five hits, then what the measures say."""
+    t = P.texts
+
+    def line(title: str, desc: str, count: str, cls: str) -> str:
+        return f"concat({title}, ': ', {desc}, ' (', {count}, ', ', {cls}, ')')"
+
+    def graded(value: str, high: float) -> str:
+        return f"CASE WHEN {value} > {high} THEN 'high' ELSE 'medium' END"
+
+    def share(name: str, value: str, high: float) -> str:
+        return line(lit(t[name][0]), f"printf({lit(t[name][1])}, {rnd(value + ' * 1000')} / 10)", "1", graded(value, high))
+
+    n = "(gap_count + contradiction_count + redundancy_count)"
+    told = f"printf({lit(t['source_consistency'][1])}, CAST({n} AS BIGINT), CAST(gap_count AS BIGINT), CAST(contradiction_count AS BIGINT), CAST(redundancy_count AS BIGINT))"
+    extra = (
+        ("words > 300 AND concrete_hits <= 1", line(lit(t["source_concrete"][0]), lit(t["source_concrete"][1]), "1", "'medium'")),
+        ("words > 150 AND function_density > 0.10", share("source_function", "function_density", 0.12)),
+        ("words > 150 AND repeat_ratio > 0.22", share("source_trigram", "repeat_ratio", 0.28)),
+        ("words > 100 AND bigram_repeat > 0.28", share("source_bigram", "bigram_repeat", 0.35)),
+        ("words >= 80 AND statistical >= 0.62", line(lit(t["source_statistical"][0]), lit(t["source_statistical"][1]), "1", "CASE WHEN statistical >= 0.78 THEN 'high' ELSE 'medium' END")),
+        ("words >= 80 AND similarity >= 0.56", line(lit(t["source_semantic"][0]), lit(t["source_semantic"][1]), "1", "CASE WHEN similarity >= 0.7 THEN 'high' ELSE 'medium' END")),
+        (f"{n} > 0", line(lit(t["source_consistency"][0]), told, f"CAST({n} AS BIGINT)", graded("consistency_score", 40))),
+    )
+    found = ", ".join(f"CASE WHEN {cond} THEN {entry} END" for cond, entry in extra)
+    return f"list_concat(coalesce(hit_lines[1:5], []), list_filter([{found}], lambda x: x IS NOT NULL))"
+
+
+def article_report(rank: str) -> str:
+    """Title, score, confidence, first reasons, sources and details of documents of the general type."""
+    t = P.texts
+    kind = "CASE WHEN h.weight >= 7 THEN 'high' WHEN h.weight >= 5 THEN 'medium' ELSE 'low' END"
+    line = f"concat(label, ': ', printf({lit(t['source_desc'])}, category, CAST(n AS BIGINT)), ' (', CAST(n AS BIGINT), ', ', {kind}, ')')"
+    detail = "concat(label, ' ', CAST(n AS BIGINT), ' ', CAST(score AS BIGINT))"
+    order = "ORDER BY n * weight DESC, pattern_id"
+    hits = f"(SELECT doc_id, list({line} {order}) AS hit_lines, list({detail} {order}) AS detail_lines FROM scored h GROUP BY doc_id)"
+    agree = f"score >= 50 AND words >= 80 AND {rnd('agreement * 20')} > 10"
+    level = f"CASE WHEN words < 100 THEN {lit(t['confidence'][0])} WHEN words < 300 THEN {lit(t['confidence'][1])} ELSE {lit(t['confidence'][2])} END"
+    note = f"CASE WHEN words < 100 THEN {lit(t['confidence_short'])} WHEN {agree} THEN {lit(t['confidence_agree'])} ELSE {lit(t['confidence_plain'])} END"
+    return f"""SELECT doc_id, coalesce(head, {lit(t['untitled'])}) AS title, CAST(score AS BIGINT) AS score, {by_rank(rank, t['risk_levels'])} AS risk_level, {by_rank(rank, t['risk_texts'])} AS risk_text,
+        CAST(words AS BIGINT) AS word_count, CAST(pattern_hits AS BIGINT) AS pattern_hits, {level} AS confidence, {note} AS confidence_note, {by_rank(rank, t['display_labels'])} AS display_label,
+        ([{', '.join(map(lit, t['scale_labels']))}])[CAST(greatest(0, least(floor(score / 20), 4)) AS BIGINT) + 1] AS scale_label,
+        array_to_string(({_reasons()})[1:3], ' | ') AS top_reasons, array_to_string({_sources()}, chr(10)) AS sources, array_to_string(coalesce(detail_lines[1:8], []), ', ') AS details
+        FROM article LEFT JOIN {_PARALLEL} USING (doc_id) LEFT JOIN {hits} USING (doc_id) LEFT JOIN (SELECT doc_id, left(text, 18) AS head FROM sents WHERE sent_idx = 0) USING (doc_id)"""
 
 
 _NEEDS: dict[str, list[str]] = {}

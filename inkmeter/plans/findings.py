@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import array_mean, let
-from ..functions.scalar import clamp, clip_text, risk_columns, round_half_up
+from ..functions.scalar import clamp, clip_text, display_label, risk_columns, round_half_up, scale_label
 from ..operators import patterns as P
 from ..operators.consistency import consistency_findings
 from ..operators.segment import measured, normalized, union_all, unnest
@@ -253,11 +253,24 @@ def article_report(docs: DataFrame, p: Profile, article_type: str | None = None)
         *confidence_columns(p),
         reasons(p).alias("reasons"),
         source_analysis(p=p).alias("sources"),
+        F.slice("details", 1, 8).alias("details"),
+        display_label(c("score"), p).alias("display_label"),
+        scale_label(c("score"), p).alias("scale_label"),
         "consistency_score",
     )
     return report.join(docs.select("doc_id", *keep), "doc_id") if keep else report
 
 
+def report_table(report: DataFrame) -> DataFrame:
+    """The report as plain columns: first three reasons, sources a line each, the first eight details."""
+    source = F.transform("sources", lambda s: F.concat(s["title"], F.lit(": "), s["desc"], F.lit(" ("), s["count"].cast("string"), F.lit(", "), s["risk_class"], F.lit(")")))
+    detail = F.transform("details", lambda d: F.concat_ws(" ", d["label"], d["n"].cast("string"), d["score"].cast("string")))
+    return report.select(
+        "doc_id", "title", "score", "risk_level", c("risk").alias("risk_text"), "word_count", "pattern_hits", c("confidence_level").alias("confidence"), "confidence_note",
+        "display_label", "scale_label", F.concat_ws(" | ", F.slice("reasons", 1, 3)).alias("top_reasons"), F.concat_ws("\n", source).alias("sources"), F.concat_ws(", ", detail).alias("details"),
+    )
+
+
 def all_issues(docs: DataFrame, p: Profile, article_type: str | None = None) -> DataFrame:
     """Sentence issues (or one fallback row for documents with sources but no issue), then consistency issues."""
     wide = article_report(docs, p, article_type).select("doc_id", "score", "sources", "consistency_score")

@@ -21,7 +21,7 @@ from .plans import corpus, ensemble, findings
 from .plans.article import article_scores, typed
 from .profiles import LATIN as P
 from .sources.documents import read_documents, read_table
-from .sources.history import newest, text_report, totals
+from .sources.history import newest, report_rows, text_report, totals
 
 c = F.col
 THRESHOLDS = (0.4, 0.45, 0.475, 0.5, 0.525, 0.55, 0.6)
@@ -244,6 +244,8 @@ on_docs(
 on_docs("q_all_issues", None, lambda d: findings.all_issues(d, P))
 on_docs("q_text_report", O.text_report(_RANK), lambda d: text_report(findings.article_report(d, P), P))
 
+on_docs("q_article_report", O.article_report(_RANK), lambda d: findings.report_table(findings.article_report(d, P)))
+
 
 _KINDS = ("general", "thesis", "wechat", "xiaohongshu", "zhihu")
 _KIND_SQL = "[" + ", ".join(map(O.lit, _KINDS)) + "][CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 5 + 1]"
@@ -354,6 +356,16 @@ def sql_text(name: str, select: str, sql: str) -> None:
         return spark.sql(select, docs=documents(spark, sf_dir))
 
 
+@query(
+    "q_batch_report",
+    f"""SELECT source AS "group", CAST(doc_id AS VARCHAR) AS file, title, score, risk_text, risk_level, word_count, pattern_hits, confidence, top_reasons
+        FROM (SELECT doc_id, source FROM documents) JOIN ({O.article_report(_RANK)}) USING (doc_id)""",
+)
+def _batch_report(spark, sf_dir):
+    docs = documents(spark, sf_dir, ("source",)).withColumns({"group": c("source"), "file": c("doc_id").cast("string")})
+    return report_rows(findings.article_report(docs, P)).withColumn("top_reasons", F.concat_ws(" | ", "top_reasons"))
+
+
 sql_text("q_sql_sentences", "SELECT d.doc_id, s.* FROM {docs} d, LATERAL sentences_of(d.text) s", f"SELECT {cols('doc_id sent_idx', plain='text')}, length(text) AS n_chars FROM sents")
 sql_text("q_sql_clauses", "SELECT d.doc_id, s.* FROM {docs} d, LATERAL clauses_of(d.text) s", f"SELECT {cols('doc_id clause_idx', plain='text')}, length(text) AS n_chars FROM clauses")
 sql_text(

@@ -101,13 +101,17 @@ def clear_history(spark: SparkSession, path: str, users: DataFrame, schema: str
         versions.change(spark, path, left, lambda _: touched)
 
 
-def write_report_json(report: DataFrame, path: str) -> None:
-    """Ten fields per document with the first three reasons, one JSON object per line."""
-    rows = report.select(
+def report_rows(report: DataFrame) -> DataFrame:
+    """Ten fields per document, of the reasons the first three; ``report`` has a group and a file."""
+    return report.select(
         "group", "file", "title", "score", c("risk").alias("risk_text"), "risk_level", "word_count", "pattern_hits",
         c("confidence_level").alias("confidence"), F.slice("reasons", 1, 3).alias("top_reasons"),
     )
-    rows.write.mode("overwrite").json(path)
+
+
+def write_report_json(report: DataFrame, path: str) -> None:
+    """The ten fields, one JSON object per line."""
+    report_rows(report).write.mode("overwrite").json(path)
 
 
 def text_report(report: DataFrame, p: Profile) -> DataFrame:
