@@ -540,12 +540,12 @@ def text_report(rank: str) -> str:
     return f"SELECT doc_id, {value} AS value FROM article LEFT JOIN {_PARALLEL} USING (doc_id)"
 
 
-def _sources() -> str:
-    """The source list as lines of text: the first five hits, then what the measures say."""
+def _sources(titles: bool = False) -> str:
+    """The source list as lines of text (or their titles): the first five hits, then what the measures say."""
     t = P.texts
 
     def line(title: str, desc: str, count: str, cls: str) -> str:
-        return f"concat({title}, ': ', {desc}, ' (', {count}, ', ', {cls}, ')')"
+        return title if titles else f"concat({title}, ': ', {desc}, ' (', {count}, ', ', {cls}, ')')"
 
     def graded(value: str, high: float) -> str:
         return f"CASE WHEN {value} > {high} THEN 'high' ELSE 'medium' END"
@@ -565,7 +565,7 @@ def _sources() -> str:
         (f"{n} > 0", line(lit(t["source_consistency"][0]), told, f"CAST({n} AS BIGINT)", graded("consistency_score", 40))),
     )
     found = ", ".join(f"CASE WHEN {cond} THEN {entry} END" for cond, entry in extra)
-    return f"list_concat(coalesce(hit_lines[1:5], []), list_filter([{found}], lambda x: x IS NOT NULL))"
+    return f"list_concat(coalesce({'hit_titles' if titles else 'hit_lines'}[1:5], []), list_filter([{found}], lambda x: x IS NOT NULL))"
 
 
 def article_report(rank: str) -> str:
@@ -586,6 +586,46 @@ def article_report(rank: str) -> str:
         FROM article LEFT JOIN {_PARALLEL} USING (doc_id) LEFT JOIN {hits} USING (doc_id) LEFT JOIN (SELECT doc_id, left(text, 18) AS head FROM sents WHERE sent_idx = 0) USING (doc_id)"""
 
 
+def issue_columns(rank: str) -> str:
+    """Sentence issues as rows of the issue list."""
+    return f"""SELECT doc_id, para_order || '-' || sent_idx AS issue_id, 'sentence' AS type, para_order, issue_order, text, CAST(score AS BIGINT) AS score, array_to_string(lab[1:4], '|') AS labels,
+        {by_rank(rank, P.texts['risk_texts'])} AS risk, {by_rank(rank, RISK_CLASSES)} AS risk_class, CAST({rank} AS BIGINT) AS risk_rank,
+        replace({lit(P.texts['problem_labels'])}, '%s', array_to_string(lab[1:4], {lit(P.texts['label_join'])})) AS problem, {advice('lab[1:4]')} AS suggestion,
+        {rewritten('text')} AS example FROM issues"""
+
+
+def consistency_rows() -> str:
+    """Findings in report order: gaps, contradictions, repeated evidence (words in the order of the first paragraph)."""
+    t = P.texts
+    words = f"""SELECT doc_id, para, w, min(k) AS k FROM (SELECT doc_id, para, unnest(f) AS w, generate_subscripts(f, 1) AS k FROM (SELECT doc_id, para, {found('lower(text)', P.evidence_regex)} AS f FROM manyparas)) GROUP BY ALL"""
+    return f"""SELECT doc_id, type, from_para, severity, problem, row_number() OVER (PARTITION BY doc_id ORDER BY section, k1, k2) AS n FROM (
+        SELECT doc_id, 'semantic_gap' AS type, 'medium' AS severity, 1 AS section, from_para, from_para AS k1, to_para AS k2, printf({lit(t['gap_desc'])}, CAST(from_para AS BIGINT), CAST(to_para AS BIGINT), similarity * 100) AS problem FROM gaps
+        UNION ALL SELECT doc_id, 'contradiction', 'high', 2, from_para, rk, to_para, printf({lit(t['contradiction_desc'])}, CAST(from_para AS BIGINT), CAST(to_para AS BIGINT), pw, nw) FROM contra
+            JOIN (SELECT pair, max(word) FILTER (dir = 0) AS pw, max(word) FILTER (dir = 1) AS nw FROM opp GROUP BY pair) USING (pair)
+        UNION ALL SELECT a.doc_id, 'redundant_evidence', 'medium', 3, a.para + 1, a.para + 1, b.para + 1,
+            printf({lit(t['redundancy_desc'])}, CAST(a.para + 1 AS BIGINT), CAST(b.para + 1 AS BIGINT), string_agg(a.w, {lit(t['label_join'])} ORDER BY a.k)) FROM ({words}) a JOIN ({words}) b
+            ON a.doc_id = b.doc_id AND a.w = b.w AND a.para < b.para GROUP BY a.doc_id, a.para, b.para HAVING count(*) >= 2)"""
+
+
+def _chosen(column: str, names: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in names.items()) + " END"
+
+
+def all_issues(rank: str) -> str:
+    """Sentence issues, a fallback row for documents with sources but no issue, and consistency issues."""
+    t = P.texts
+    top = rank.replace("score", "top")
+    hits = "(SELECT doc_id, list(label ORDER BY n * weight DESC, pattern_id) AS hit_titles FROM scored GROUP BY doc_id)"
+    first = f"(SELECT doc_id, para_idx + 1 AS para_order, text AS para, score AS para_score FROM parabase QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {rank} DESC, para_idx) = 1)"
+    bare = f"""SELECT a.doc_id, para_order, coalesce(({sentence_list('para')})[1], para) AS text, greatest(score, para_score) AS top, titles FROM (SELECT doc_id, score, {_sources(True)} AS titles FROM article LEFT JOIN {hits} USING (doc_id)) a
+        JOIN {first} f USING (doc_id) WHERE len(titles) > 0 AND a.doc_id NOT IN (SELECT doc_id FROM issues)"""
+    return f"""{issue_columns(rank)}
+        UNION ALL SELECT doc_id, para_order || '-fallback', 'sentence', para_order, 1, text, CAST(top AS BIGINT), array_to_string(titles[1:4], '|'), {by_rank(top, t['risk_texts'])}, {by_rank(top, RISK_CLASSES)}, CAST({top} AS BIGINT),
+        replace({lit(t['fallback_problem'])}, '%s', array_to_string(titles[1:3], {lit(t['label_join'])})), {lit(t['fallback_advice'])}, {rewritten('text')} FROM ({bare})
+        UNION ALL SELECT doc_id, 'consistency-' || (n - 1), 'consistency', from_para, n, '', CAST(consistency_score AS BIGINT), {_chosen('type', t['finding_labels'])}, {_chosen('severity', t['severity_texts'])}, severity,
+        CASE WHEN severity = 'high' THEN 3 ELSE 2 END, problem, '', NULL FROM ({consistency_rows()}) JOIN (SELECT doc_id, consistency_score FROM cons) USING (doc_id)"""
+
+
 _NEEDS: dict[str, list[str]] = {}
 
 

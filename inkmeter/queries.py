@@ -220,10 +220,7 @@ on_docs(
 )
 on_docs(
     "q_issues",
-    f"""SELECT doc_id, para_order || '-' || sent_idx AS issue_id, 'sentence' AS type, para_order, issue_order, text, CAST(score AS BIGINT) AS score, array_to_string(lab[1:4], '|') AS labels,
-        {O.by_rank(_RANK, P.texts['risk_texts'])} AS risk, {O.by_rank(_RANK, O.RISK_CLASSES)} AS risk_class, CAST({_RANK} AS BIGINT) AS risk_rank,
-        replace({O.lit(P.texts['problem_labels'])}, '%s', array_to_string(lab[1:4], {O.lit(P.texts['label_join'])})) AS problem, {O.advice('lab[1:4]')} AS suggestion,
-        {O.rewritten('text')} AS example FROM issues""",
+    O.issue_columns(_RANK),
     lambda d: findings.sentence_issues(d, P),
 )
 on_docs(
@@ -241,7 +238,22 @@ on_docs(
     "SELECT label, category, CAST(weight AS BIGINT) AS weight, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_hits, CAST(sum(n * weight) AS BIGINT) AS points FROM hits GROUP BY ALL",
     lambda d: corpus.pattern_leaderboard(d, P),
 )
-on_docs("q_all_issues", None, lambda d: findings.all_issues(d, P))
+on_docs("q_all_issues", O.all_issues(_RANK), lambda d: findings.all_issues(d, P))
+on_docs(
+    "q_top_issues",
+    f"""SELECT * FROM (SELECT * FROM ({O.issue_columns(_RANK)}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY risk_rank DESC, issue_order) <= 8)""",
+    lambda d: findings.top_issues(findings.sentence_issues(d, P)),
+)
+on_docs(
+    "q_high_issues",
+    f"SELECT doc_id, issue_id, score FROM ({O.issue_columns(_RANK)}) WHERE risk_class = 'high'",
+    lambda d: findings.filter_issues(findings.sentence_issues(d, P), "high").select("doc_id", "issue_id", "score"),
+)
+on_docs(
+    "q_top_consistency_issues",
+    f"SELECT doc_id, n AS issue_order, from_para AS para_order, severity AS risk_class, problem FROM ({O.consistency_rows()}) WHERE n <= 10",
+    lambda d: findings.top_consistency_issues(findings.consistency_issues(d, P, CO.consistency_scores(d, P))).select("doc_id", "issue_order", "para_order", "risk_class", "problem"),
+)
 on_docs("q_text_report", O.text_report(_RANK), lambda d: text_report(findings.article_report(d, P), P))
 
 on_docs("q_article_report", O.article_report(_RANK), lambda d: findings.report_table(findings.article_report(d, P)))
