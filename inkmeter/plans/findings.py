@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.arrays import array_mean, let
 from ..functions.scalar import clamp, clip_text, display_label, risk_columns, round_half_up, scale_label
 from ..operators import patterns as P
-from ..operators.consistency import consistency_findings
+from ..operators.consistency import consistency_findings, consistency_scores
 from ..operators.segment import measured, normalized, union_all, unnest
 from ..profiles import Profile
 from .article import article_details
@@ -272,31 +272,51 @@ def report_table(report: DataFrame) -> DataFrame:
 
 
 def all_issues(docs: DataFrame, p: Profile, article_type: str | None = None) -> DataFrame:
-    """Sentence issues (or one fallback row for documents with sources but no issue), then consistency issues."""
-    wide = article_report(docs, p, article_type).select("doc_id", "score", "sources", "consistency_score")
-    sentence = sentence_issues(docs, p)
-    order = W.partitionBy("doc_id").orderBy(c("risk_rank").desc(), "para_order")
-    first = paragraph_risk(docs, p).withColumn("n", F.row_number().over(order)).where("n = 1")
-    bare = wide.where(F.size("sources") > 0).join(sentence.select("doc_id").distinct(), "doc_id", "left_anti")
-    joined = bare.join(first.select("doc_id", "para_order", c("text").alias("para"), c("score").alias("para_score")), "doc_id")
-    titles = F.transform("sources", lambda s: s["title"])
-    top = F.greatest("score", "para_score")
-    text = F.coalesce(F.get(T.sentences(c("para"), p), F.lit(0)), c("para"))
-    fallback = joined.select(
+    """Sentence issues (or one fallback row for documents with sources but no issue), then consistency issues.
+
+    Paragraphs and sentences come out of one explode, tagged by their number (-1 for the paragraph itself).  One window
+    numbers the sentences with hits and puts the paragraphs after them, so a paragraph numbered first is the riskiest of
+    a document without issues: the row that the fallback is made of.
+    """
+    paras = paragraph_risk(docs, p).select("doc_id", "para_order", "text", c("risk_rank").alias("para_rank"), c("score").alias("para_score"))
+    whole = F.struct(F.lit(-1).alias("sent_idx"), c("text").alias("text"))
+    cut = F.transform(T.sentences(c("text"), p), lambda s, i: F.struct(i.alias("sent_idx"), s.alias("text")))
+    keys = ("doc_id", "para_order", "para_rank", "para_score")
+    units = unnest(paras, keys, F.concat(F.array(whole), cut), "unit").select(*keys, "unit.sent_idx", "unit.text")
+    none = F.array().cast("array<struct<rank:int,pattern_id:int,label:string,category:string,weight:int,n:int,score:int>>")
+    hit = units.withColumn("details", F.when(c("sent_idx") >= 0, P.hit_details(c("text"), p)).otherwise(none))
+    hit = hit.where((c("sent_idx") < 0) | (F.size("details") > 0))
+    order = W.partitionBy("doc_id").orderBy(c("sent_idx") < 0, c("para_rank").desc(), "para_order", "sent_idx")
+    rows = hit.withColumn("issue_order", F.row_number().over(order)).where((c("sent_idx") >= 0) | (c("issue_order") == 1))
+    wide = article_report(docs, p, article_type).select("doc_id", c("score").alias("article_score"), F.transform("sources", lambda s: s["title"]).alias("titles"))
+    joined = rows.join(wide, "doc_id").where((c("sent_idx") >= 0) | (F.size("titles") > 0))
+
+    bare, join = c("sent_idx") < 0, p.texts["label_join"]
+    points = clamp(F.lit(24.0) + round_half_up(P.hit_score(c("details")) * 1.8) + F.when(F.length("text") > 58, 10).otherwise(0), 0, 98)
+    first_sentence = F.coalesce(F.get(T.sentences(c("text"), p), F.lit(0)), c("text"))
+    shown = joined.select(
+        "doc_id", "para_order", "sent_idx", "issue_order", "titles", bare.alias("bare"),
+        F.when(bare, first_sentence).otherwise(c("text")).alias("text"),
+        F.when(bare, F.greatest("article_score", "para_score").cast("double")).otherwise(points).alias("score"),
+        F.when(bare, F.slice("titles", 1, 4)).otherwise(P.labels_of(c("details"), 4)).alias("labels"),
+    )
+    labels = c("labels")
+    told = F.when(c("bare"), F.format_string(p.texts["fallback_problem"], F.concat_ws(join, F.slice("titles", 1, 3))))
+    sentence = shown.select(
         "doc_id",
-        F.concat("para_order", F.lit("-fallback")).alias("issue_id"),
+        F.when(c("bare"), F.concat("para_order", F.lit("-fallback"))).otherwise(F.concat_ws("-", "para_order", "sent_idx")).alias("issue_id"),
         F.lit("sentence").alias("type"),
         "para_order",
-        F.lit(1).cast("long").alias("issue_order"),
-        text.alias("text"),
-        top.alias("score"),
-        F.concat_ws("|", F.slice(titles, 1, 4)).alias("labels"),
-        *risk_columns(top, p)[1:],
-        F.format_string(p.texts["fallback_problem"], F.concat_ws(p.texts["label_join"], F.slice(titles, 1, 3))).alias("problem"),
-        F.lit(p.texts["fallback_advice"]).alias("suggestion"),
-        example_rewrite(text, p).alias("example"),
+        c("issue_order").cast("long").alias("issue_order"),
+        "text",
+        c("score").cast("long").alias("score"),
+        F.concat_ws("|", labels).alias("labels"),
+        *risk_columns(c("score"), p)[1:],
+        told.otherwise(F.format_string(p.texts["problem_labels"], F.concat_ws(join, labels))).alias("problem"),
+        F.when(c("bare"), F.lit(p.texts["fallback_advice"])).otherwise(suggestion(labels, p)).alias("suggestion"),
+        example_rewrite(c("text"), p).alias("example"),
     )
-    return union_all(sentence, fallback, consistency_issues(docs, p, wide))
+    return union_all(sentence, consistency_issues(docs, p, consistency_scores(docs, p)))
 
 
 def issue_tab_counts(issues: DataFrame) -> DataFrame:
