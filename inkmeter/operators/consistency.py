@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -192,45 +197,104 @@ def consistency_scores(docs: DataFrame, p: Profile) -> DataFrame:
     return measured(staged(_paragraph_arrays(docs), *consistency_stages(p)), "doc_id", *consistency_columns())
 
 
+def _first_contradictions(signals: list[list[int]], most: int) -> list[tuple[int, int, int]]:
+    """(from, to, word) of the first opposites, by paragraph, word and later paragraph; ``signals`` are each paragraph's words."""
+    held: dict[int, list[int]] = {}
+    for para, words in enumerate(signals):
+        for word in words:
+            held.setdefault(int(word), []).append(para)
+    out: list[tuple[int, int, int]] = []
+    for para, words in enumerate(signals):
+        for word in sorted(int(w) for w in words):
+            others = held.get(word ^ 1, [])
+            out += [(para, to, word) for to in others[bisect_right(others, para) :][: most - len(out)]]
+            if len(out) == most:
+                return out
+    return out
+
+
+def _evidence_matches(words: list[list[str]]) -> list[tuple[list[int], list[int], list[str]]]:
+    """Classes of paragraphs of equal evidence words: (paragraphs, later paragraphs, shared words) of classes that share two."""
+    classes: dict[tuple[str, ...], list[int]] = {}
+    for para, found in enumerate(words):
+        if len(found) >= 2:
+            classes.setdefault(tuple(found), []).append(para)
+    of_word: dict[str, list[tuple[str, ...]]] = {}
+    for kind in classes:
+        for word in kind:
+            of_word.setdefault(word, []).append(kind)
+    out = []
+    for kind, paras in classes.items():
+        for other, n in Counter(k for word in kind for k in of_word[word]).items():
+            if n >= 2 and paras[0] < classes[other][-1]:
+                own = set(other)
+                out.append((paras, classes[other], [w for w in kind if w in own]))
+    return out
+
+
+_OPPOSED = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("word", pa.int32())]))
+_SHARED = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("shared", pa.list_(pa.string()))]))
+_COMPACT = "contra array<struct<a:int,b:int,word:int>>, redundant array<struct<a:array<int>,b:array<int>,shared:array<string>>>"
+
+
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of a row's last two columns, the words and the evidence of its paragraphs, what is found in them."""
+    for batch in batches:
+        *kept, signals, evidence = batch.columns
+        contra = [[dict(zip("ab", x[:2], strict=True), word=x[2]) for x in _first_contradictions(s or [], MAX_CONTRADICTIONS)] for s in signals.to_pylist()]
+        redundant = [[{"a": a, "b": b, "shared": w} for a, b, w in _evidence_matches(e or [])] for e in evidence.to_pylist()]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(contra, _OPPOSED), pa.array(redundant, _SHARED)], names=[*batch.schema.names[:-2], "contra", "redundant"])
+
+
 def consistency_findings(docs: DataFrame, p: Profile) -> DataFrame:
-    """All findings in report order: gaps, then contradictions, then repeated evidence."""
-    t = p.texts
-    pos = F.array(*(F.lit(a) for a, _ in p.opposites))
-    neg = F.array(*(F.lit(b) for _, b in p.opposites))
-    word = F.col("pair") + 1
-
-    def rows(df: DataFrame, kind: str, section: int, desc: Column, *order: Column) -> DataFrame:
-        return df.select(
-            "doc_id",
-            F.lit(kind).alias("type"),
-            F.lit(SEVERITY[kind][0]).alias("severity"),
-            F.col("from_para").cast("long").alias("from_para"),
-            F.col("to_para").cast("long").alias("to_para"),
-            desc.alias("desc"),
-            F.struct(F.lit(section).alias("section"), *(o.cast("long") for o in order)).alias("position"),
-        )
+    """All findings, numbered ``n`` in report order (gaps, contradictions, repeated evidence), with the document's score.
 
-    a, b = F.col("from_para"), F.col("to_para")
-    gaps = rows(
-        topic_gaps(docs, p), "semantic_gap", 1, F.format_string(t["gap_desc"], a, b, F.col("similarity") * 100), a.alias("k1"), b.alias("k2")
-    )
-    contra = rows(
-        contradictions(docs, p),
-        "contradiction",
-        2,
-        F.format_string(t["contradiction_desc"], a, b, F.element_at(pos, word), F.element_at(neg, word)),
-        F.col("rank").alias("k1"),
-        b.alias("k2"),
+    A document's findings are made in its own row: gaps, the first opposites, and repeated evidence as classes of
+    paragraphs with equal words.  Pairs of paragraphs come out of two explodes in a row, so they are never held together.
+    """
+    t = p.texts
+    words = [w for pair in p.opposites for w in pair]
+    listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(words)))
+
+    def opposites(text: Column) -> Column:
+        return F.transform(F.filter(listed, lambda o: F.contains(text, o["w"])), lambda o: o["i"])
+
+    many = F.size("paras") >= 2
+    seen = F.transform("paras", lambda x: T.match_text(x, p))
+    evidence = F.transform("seen", lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(p.evidence_regex), F.lit(0))))
+    cut = staged(_paragraph_arrays(docs), *consistency_stages(p), {"seen": F.when(many, seen)}, {"signals": F.transform("seen", opposites), "evidence": evidence})
+    gaps_of = F.when(many, gap_array(F.col("paras"), p)).alias("gaps")
+    scored = cut.select("doc_id", consistency_columns()[-1].alias("consistency_score"), gaps_of, "signals", "evidence")
+    made = scored.mapInArrow(_compact, ", ".join(f"{name} {kind}" for name, kind in scored.dtypes[:3]) + ", " + _COMPACT)
+
+    def row(kind: str, section: int, a: Column, b: Column, k1: Column, desc: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("type"), F.lit(SEVERITY[kind][0]).alias("severity"), F.lit(section).alias("section"),
+            a.cast("array<long>").alias("a"), b.cast("array<long>").alias("b"), k1.cast("long").alias("k1"), desc.alias("told"),
+        )
+
+    word = lambda i: F.element_at(F.array(*map(F.lit, words)), i + 1)
+    gaps = F.transform(
+        "gaps", lambda g: row("semantic_gap", 1, F.array(g["from_para"] - 1), F.array(g["to_para"] - 1), F.lit(0), F.format_string(t["gap_desc"], g["from_para"], g["to_para"], g["similarity"] * 100))
     )
-    repeats = rows(
-        redundant_evidence(docs, p),
-        "redundant_evidence",
-        3,
-        F.format_string(t["redundancy_desc"], a, b, F.concat_ws(t["label_join"], F.col("keywords"))),
-        a.alias("k1"),
-        b.alias("k2"),
+    contra = F.transform(
+        "contra",
+        lambda o, i: row(
+            "contradiction", 2, F.array(o["a"]), F.array(o["b"]), i,
+            F.format_string(t["contradiction_desc"], o["a"] + 1, o["b"] + 1, word(o["word"] - o["word"] % 2), word(o["word"] - o["word"] % 2 + 1)),
+        ),
+    )
+    repeats = F.transform("redundant", lambda r: row("redundant_evidence", 3, r["a"], r["b"], F.lit(0), F.concat_ws(t["label_join"], r["shared"])))
+    none = F.array().cast("array<struct<type:string,severity:string,section:int,a:array<bigint>,b:array<bigint>,k1:bigint,told:string>>")
+    classes = unnest(made, ("doc_id", "consistency_score"), F.concat(F.coalesce(gaps, none), contra, repeats), "f").select("doc_id", "consistency_score", "f.*")
+    keys = ("doc_id", "consistency_score", "type", "severity", "section", "k1", "told")
+    firsts = unnest(classes, (*keys, "b"), F.col("a"), "i")
+    pairs = unnest(firsts, (*keys, "i"), F.filter("b", lambda j: j > F.col("i")), "j")
+    order = W.partitionBy("doc_id").orderBy("section", "k1", "i", "j")
+    desc = F.when(F.col("section") == 3, F.format_string(t["redundancy_desc"], F.col("i") + 1, F.col("j") + 1, F.col("told"))).otherwise(F.col("told"))
+    return pairs.select(
+        "doc_id", "type", "severity", (F.col("i") + 1).alias("from_para"), (F.col("j") + 1).alias("to_para"), desc.alias("desc"), "consistency_score", F.row_number().over(order).alias("n")
     )
-    return union_all(gaps, contra, repeats)
 
 
 __all__ = [

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.arrays import array_mean, let
 from ..functions.scalar import clamp, clip_text, display_label, risk_columns, round_half_up, scale_label
 from ..operators import patterns as P
-from ..operators.consistency import consistency_findings, consistency_scores
+from ..operators.consistency import consistency_findings
 from ..operators.segment import measured, normalized, union_all, unnest
 from ..profiles import Profile
 from .article import article_details
@@ -106,11 +106,10 @@ def sentence_issues(docs: DataFrame, p: Profile) -> DataFrame:
     )
 
 
-def consistency_issues(docs: DataFrame, p: Profile, scores: DataFrame) -> DataFrame:
-    """Consistency findings as issue rows; ``scores`` carries doc_id and consistency_score."""
+def consistency_issues(docs: DataFrame, p: Profile) -> DataFrame:
+    """Consistency findings as issue rows."""
     t = p.texts
-    found = consistency_findings(docs, p).join(scores.select("doc_id", "consistency_score"), "doc_id")
-    numbered = found.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("position")))
+    numbered = consistency_findings(docs, p)
 
     def pick(column: str, names: dict) -> Column:
         out = F.lit(None).cast("string")
@@ -316,7 +315,7 @@ def all_issues(docs: DataFrame, p: Profile, article_type: str | None = None) ->
         F.when(c("bare"), F.lit(p.texts["fallback_advice"])).otherwise(suggestion(labels, p)).alias("suggestion"),
         example_rewrite(c("text"), p).alias("example"),
     )
-    return union_all(sentence, consistency_issues(docs, p, consistency_scores(docs, p)))
+    return union_all(sentence, consistency_issues(docs, p))
 
 
 def issue_tab_counts(issues: DataFrame) -> DataFrame:

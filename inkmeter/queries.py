@@ -230,7 +230,7 @@ on_docs(
         FROM (SELECT doc_id, {O.by_rank(_RANK, O.RISK_CLASSES)} AS k FROM issues UNION ALL SELECT doc_id, 'consistency' FROM gaps UNION ALL SELECT doc_id, 'consistency' FROM contra
         UNION ALL SELECT doc_id, 'consistency' FROM redund) GROUP BY doc_id""",
     lambda d: findings.issue_tab_counts(
-        SE.union_all(findings.sentence_issues(d, P), findings.consistency_issues(d, P, CO.consistency_scores(d, P)))
+        SE.union_all(findings.sentence_issues(d, P), findings.consistency_issues(d, P))
     ),
 )
 on_docs(
@@ -252,7 +252,7 @@ on_docs(
 on_docs(
     "q_top_consistency_issues",
     f"SELECT doc_id, n AS issue_order, from_para AS para_order, severity AS risk_class, problem FROM ({O.consistency_rows()}) WHERE n <= 10",
-    lambda d: findings.top_consistency_issues(findings.consistency_issues(d, P, CO.consistency_scores(d, P))).select("doc_id", "issue_order", "para_order", "risk_class", "problem"),
+    lambda d: findings.top_consistency_issues(findings.consistency_issues(d, P)).select("doc_id", "issue_order", "para_order", "risk_class", "problem"),
 )
 on_docs("q_text_report", O.text_report(_RANK), lambda d: text_report(findings.article_report(d, P), P))
 
