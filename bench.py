@@ -27,6 +27,9 @@ HEADLINE = (
     "q_issues",
     "q_all_issues",
     "q_text_report",
+    "q_batch_report",
+    "q_dictionary_hits",
+    "q_sql_sentences",
     "q_history_last30",
 )
 

@@ -55,17 +55,8 @@ def cols(whole: str = "", real: str = "", plain: str = "") -> str:
     return ", ".join(parts + plain.split())
 
 
-SMALL_BYTES = 64 << 20
-
-
-def on_all_cores(docs: DataFrame) -> DataFrame:
-    """A table of at most ``SMALL_BYTES``, which may be one file and so one task, dealt to all cores; larger ones as they are."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else docs
-
-
 def documents(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> DataFrame:
-    return on_all_cores(read_documents(spark, sf_dir, columns))
+    return read_documents(spark, sf_dir, columns)
 
 
 def on_docs(name: str, sql: str | None, job: Callable[[DataFrame], DataFrame]) -> None:
@@ -292,7 +283,7 @@ _TURNS = {"documents0": "SELECT conv_id || '-' || turn AS doc_id, role, text FRO
 )
 def _group_compare(spark, sf_dir):
     turns = corpus.turn_documents(read_table(spark, sf_dir, "conversations"))
-    return corpus.group_compare(on_all_cores(turns), P)
+    return corpus.group_compare(turns, P)
 
 
 ORACLES["q_group_compare"] = (

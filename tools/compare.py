@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
+from bench import spread  # noqa: E402
 from inkmeter.queries import ORACLES, QUERIES  # noqa: E402
 
 TABLES = ("documents", "labels", "conversations", "events", "benchmark")
@@ -38,11 +39,12 @@ def main(sf_dir: str, names: list[str]) -> int:
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    dealt = spread(spark, sf_dir, 8)  # one small file would keep one core busy
     bad = 0
     for name in names or list(QUERIES):
         try:
             t0 = time.time()
-            got = QUERIES[name](spark, sf_dir).toPandas()
+            got = QUERIES[name](spark, dealt).toPandas()
             t1 = time.time()
             if name not in ORACLES:
                 print(f"rows  {name} {len(got)} {t1 - t0:.1f}s", flush=True)
