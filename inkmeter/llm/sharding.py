@@ -41,6 +41,20 @@ def splitters(records: DataFrame, part: Column, width: float) -> list[tuple[int,
     return sorted({(r["h"], r["d"]) for r in first.select("h", "d").collect()})
 
 
+def across(ranged: DataFrame, bounds: list[tuple[int, int]], bytes_before: list[int]) -> DataFrame:
+    """(h, all_bytes, all_before) of the groups of equal texts that lie in several ranges, as splitters cut them.
+
+    At most one row a splitter.  Such a group ends its first range, which tells where it begins.
+    """
+    cuts = ranged.sparkSession.range(1).select(F.explode(_numbers(sorted({h for h, _ in bounds}))).alias("h"))
+    parts = ranged.join(F.broadcast(cuts), "h").groupBy("h", "r").agg(F.sum("size").alias("bytes"))
+    ends = F.get(_numbers(bytes_before), F.col("r") + 1)
+    groups = parts.withColumn("begin", ends - F.col("bytes")).groupBy("h").agg(
+        F.sum("bytes").alias("all_bytes"), F.min_by("begin", "r").alias("all_before"), F.count(F.lit(1)).alias("ranges")
+    )
+    return groups.where("ranges > 1").drop("ranges")
+
+
 def _numbers(values: list[int]) -> Column:
     """A constant array of longs."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
@@ -91,7 +105,7 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
             break
         bounds = more
     bytes_before, rows_before = [0], [0]
-    for r in range(len(bounds)):
+    for r in range(len(bounds) + 1):
         size, k = ranges.get(r, (0, 0))
         bytes_before.append(bytes_before[-1] + size)
         rows_before.append(rows_before[-1] + k)
@@ -103,6 +117,9 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
         .withColumn("rank", F.get(_numbers(rows_before), F.col("r")) + F.row_number().over(order) - 1)
         .withColumn("group_bytes", F.sum("size").over(same))
         .withColumn("group_before", F.min("before").over(same))
+        .join(F.broadcast(across(ranged, bounds, bytes_before)), "h", "left")
+        .withColumn("group_bytes", F.coalesce("all_bytes", "group_bytes"))
+        .withColumn("group_before", F.coalesce("all_before", "group_before"))
     )
     small = F.col("group_bytes") <= int(TOGETHER * total / shards)
     middle = F.when(small, 2 * F.col("group_before") + F.col("group_bytes")).otherwise(2 * F.col("before") + F.col("size"))

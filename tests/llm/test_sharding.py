@@ -38,6 +38,18 @@ def test_near_equal_bytes(spark, monkeypatch, per_shard):
     assert sorted(map(str, S.sharded(docs.repartition(9)).collect())) == sorted(map(str, got))
 
 
+def test_groups_that_splitters_cut_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGES_PER_SHARD", 60)
+    monkeypatch.setattr(S, "TOGETHER", 0.5)
+    rows = [(100 * i + k, prose(i, 12)) for i in range(60) for k in range(30)]
+    got = S.sharded(table(spark, rows)).collect()
+    check(rows, got, 8, 30 * 100)
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.text_crc32].add(r.shard)
+    assert len(shards) == 60 and all(len(s) == 1 for s in shards.values())
+
+
 def test_one_text_alone(spark):
     rows = [(i, "a b c") for i in range(400)]
     check(rows, S.sharded(table(spark, rows)).collect(), 8, 6)
