@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import array_mean, array_var_pop, let, positions, run_ends, run_start, total
+from ..functions.arrays import array_mean, array_var_pop, let, positions
 from ..functions.scalar import clamp, round_half_up
 from ..profiles import Profile
+from .grams import gram_measures
 from .segment import measured, normalized, segmented, staged
 
 # FIXED VALUES
@@ -17,66 +18,21 @@ NEUTRAL = 0.5
 SELF_MODEL_WEIGHTS = (0.50, 0.20, 0.30)  # perplexity, smoothness, variety
 
 
-def _sentence_gram_counts(norm: Column, p: Profile) -> Column:
-    """array<struct<sent, f>>: for each 4-gram inside a sentence its sentence and its count in the document.
-
-    The text is cut after every end mark, so the pieces without white space lie
-    side by side in the text without white space.  Each gram is tagged with the
-    piece it lies in, or -1 when it reaches over the end of a piece, when the
-    piece is too short, or when it is an end mark alone.
-    """
-    pieces = F.transform(
-        F.split(norm, f"(?<=[{p.terminators}])"),
-        lambda s: F.struct(F.length(T.compact(s)).alias("n"), s.isin(*p.terminators).alias("bare")),
-    )
-    tags = F.flatten(
-        F.transform(
-            pieces,
-            lambda s, k: F.transform(
-                positions(s["n"]), lambda j: F.when(~s["bare"] & (s["n"] >= 5) & (j <= s["n"] - 3), k).otherwise(F.lit(-1))
-            ),
-        )
-    )
-    tagged = let(
-        tags, lambda t: F.transform(T.char_ngrams(T.compact(norm), 4), lambda g, i: F.struct(g.alias("gram"), F.get(t, i).alias("sent")))
-    )
-
-    def spread(s: Column, ends: Column) -> Column:
-        def run(e: Column, i: Column) -> Column:
-            start = run_start(ends, i)
-            return F.transform(
-                F.slice(s, start + 1, e - start), lambda x: F.struct(x["sent"].alias("sent"), (e - start).alias("f"))
-            )
-
-        return F.filter(F.flatten(F.transform(ends, run)), lambda x: x["sent"] >= 0)
-
-    return let(F.sort_array(tagged), lambda s: let(run_ends(s, "gram"), lambda ends: spread(s, ends)))
-
-
-def mean_logs(grams: Column) -> Column:
-    """Per usable sentence the mean log of its grams' counts plus one, from the tagged counts."""
-
-    def of_runs(s: Column, ends: Column) -> Column:
-        def run(e: Column, i: Column) -> Column:
-            start = run_start(ends, i)
-            return total(F.slice(s, start + 1, e - start), lambda x: F.log(x["f"] + F.lit(1.0))) / (e - start)
-
-        return F.transform(ends, run)
-
-    return let(F.sort_array(grams), lambda s: let(run_ends(s, "sent"), lambda ends: of_runs(s, ends)))
-
-
 def perplexity_stages(p: Profile) -> list[dict[str, Column]]:
-    """Steps from ``norm`` and ``sents`` to the perplexity of each usable sentence (documents of four sentences and more)."""
-    n_grams = F.greatest(F.length(T.compact(F.col("norm"))) - 3, F.lit(0))
+    """Steps from ``grams`` and ``sents`` to the perplexity of each usable sentence (documents of four sentences and more)."""
+    grams = F.col("grams")
     none = F.array().cast("array<double>")
     return [
-        {"gram_logs": F.when(F.size("sents") >= 4, mean_logs(_sentence_gram_counts(F.col("norm"), p))).otherwise(none), "log_room": F.log(n_grams + F.lit(float(SMOOTHING)))},
-        # bound outside the lambda: named inside, the optimizer would put the text expression there, for every sentence
-        {"perplexities": let(F.col("log_room"), lambda room: F.transform("gram_logs", lambda m: F.exp(room - m)))},
+        {"log_room": F.log(grams["quad_total"] + F.lit(float(SMOOTHING)))},
+        # bound outside the lambda: named inside, the optimizer would put its expression there, for every sentence
+        {"perplexities": F.when(F.size("sents") >= 4, let(F.col("log_room"), lambda room: F.transform(grams["logs"], lambda m: F.exp(room - m)))).otherwise(none)},
     ]
 
 
+def gram_stage(p: Profile) -> dict[str, Column]:
+    return {"grams": gram_measures(F.col("norm"), p.terminators)}
+
+
 def perplexity_columns() -> dict[str, Column]:
     values = F.col("perplexities")
     found = F.size(values) > 0
@@ -92,9 +48,9 @@ def perplexity(docs: DataFrame, p: Profile) -> DataFrame:
 
     Without a usable sentence mean and spread are null and the score is neutral.
     """
-    cut = staged(segmented(docs, p), *perplexity_stages(p))
+    cut = staged(segmented(docs, p), gram_stage(p), *perplexity_stages(p))
     measures = perplexity_columns()
-    score = perplexity_score(measures["n_usable"], measures["mean_perplexity"], measures["std_perplexity"], F.length(T.compact(F.col("norm"))))
+    score = perplexity_score(measures["n_usable"], measures["mean_perplexity"], measures["std_perplexity"], F.col("grams.n_chars"))
     return cut.select("doc_id", *(col.alias(name) for name, col in measures.items()), score.alias("perplexity_score"))
 
 
@@ -172,6 +128,7 @@ def ttr_halves(docs: DataFrame, p: Profile) -> DataFrame:
 
 
 def semantic_stages(p: Profile) -> list[dict[str, Column]]:
+    """Steps after ``gram_stage``."""
     return [{"overlaps": transition_overlaps(F.col("sents"), p)}, *perplexity_stages(p)]
 
 
@@ -179,7 +136,7 @@ def semantic_columns(p: Profile) -> list[Column]:
     """The three parts and their weighted sum as a whole number from 0 to 100."""
     norm, sents = F.col("norm"), F.col("sents")
     measures = perplexity_columns()
-    level = perplexity_score(measures["n_usable"], measures["mean_perplexity"], measures["std_perplexity"], F.length(T.compact(norm)))
+    level = perplexity_score(measures["n_usable"], measures["mean_perplexity"], measures["std_perplexity"], F.col("grams.n_chars"))
     _, overlap, smooth = transition_columns(norm, sents, F.col("overlaps"))
     first, second, argued = variety_columns(norm, sents, p)
     variety = let(F.struct(first, second, argued), lambda v: variety_score(F.size(sents), v["ttr_first"], v["ttr_second"], v["argued"]))
@@ -193,5 +150,5 @@ def semantic_columns(p: Profile) -> list[Column]:
 
 
 def semantic_scores(docs: DataFrame, p: Profile) -> DataFrame:
-    cut = staged(segmented(docs, p), *semantic_stages(p))
+    cut = staged(segmented(docs, p), gram_stage(p), *semantic_stages(p))
     return measured(cut, "doc_id", *semantic_columns(p))

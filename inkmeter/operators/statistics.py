@@ -17,68 +17,37 @@ from ..functions.arrays import (
     count_total,
     entropy,
     let,
-    positions,
     repeated_total,
     run_lengths,
     total,
 )
 from ..functions.scalar import ratio
 from ..profiles import Profile
+from .grams import gram_measures
 from .segment import measured, normalized, segmented, sentence_table
 
-P_FLOOR = 1e-10  # FIXED VALUE: added to n-gram probabilities inside the logarithm
-
-
 def char_ngram_features(docs: DataFrame) -> DataFrame:
     """Type/token ratios, entropy and repeat share of character trigrams, ratio of 4-grams."""
-    text = normalized(docs).select("doc_id", T.compact(F.col("norm")).alias("compact"))
-    counted = text.select(
-        "doc_id",
-        run_lengths(T.char_ngrams(F.col("compact"), 3)).alias("tri"),
-        run_lengths(T.char_ngrams(F.col("compact"), 4)).alias("quad"),
-    )
+    counted = normalized(docs).select("doc_id", gram_measures(F.col("norm")).alias("grams"))
     return counted.select("doc_id", *_ngram_columns())
 
 
 def _ngram_columns() -> list[Column]:
-    tri, quad = F.col("tri"), F.col("quad")
-    n3, n4 = count_total(tri), count_total(quad)
+    g = F.col("grams")
     return [
-        n3.cast("long").alias("tri_total"),
-        F.size(tri).cast("long").alias("tri_distinct"),
-        let(n3, lambda n: ratio(F.size(tri), n, 1.0)).alias("tri_ttr"),
-        let(n3, lambda n: F.when(n > 0, entropy(tri, n, P_FLOOR)).otherwise(F.lit(0.0))).alias("tri_entropy"),
-        let(n3, lambda n: ratio(repeated_total(tri), n, 0.0)).alias("repeat_ratio"),
-        let(n4, lambda n: ratio(F.size(quad), n, 1.0)).alias("quad_ttr"),
+        g["tri_total"].cast("long").alias("tri_total"),
+        g["tri_distinct"].cast("long").alias("tri_distinct"),
+        ratio(g["tri_distinct"], g["tri_total"], 1.0).alias("tri_ttr"),
+        g["tri_entropy"].alias("tri_entropy"),
+        ratio(g["tri_repeated"], g["tri_total"], 0.0).alias("repeat_ratio"),
+        ratio(g["quad_distinct"], g["quad_total"], 1.0).alias("quad_ttr"),
     ]
 
 
-def window_cv(compact: Column) -> Column:
-    """How much the bigram entropy varies over four to six equal windows: min(3·std/mean, 1)."""
-    length = F.length(compact)
-    n_windows = F.least(F.lit(6), F.greatest(F.lit(4), F.floor(length / 40).cast("int")))
-
-    def window_entropy(start: Column, size: Column) -> Column:
-        counts = run_lengths(T.char_ngrams(F.substring(compact, start, size), 2))
-        return let(counts, lambda c: let(count_total(c), lambda n: F.when(n > 0, entropy(c, n, P_FLOOR)).otherwise(F.lit(0.0))))
-
-    entropies = let(
-        n_windows,
-        lambda k: let(
-            F.ceil(length / k).cast("int"),
-            lambda size: F.transform(positions(k), lambda w: window_entropy((w - 1) * size + 1, size)),
-        ),
-    )
-    cv = let(
-        entropies,
-        lambda e: let(array_mean(e), lambda m: F.when(m == 0, F.lit(1.0)).otherwise(F.least(F.sqrt(array_var_pop(e)) / m * 3, F.lit(1.0)))),
-    )
-    return F.when(length < 60, F.lit(1.0)).otherwise(cv)
-
-
 def window_uniformity(docs: DataFrame) -> DataFrame:
-    text = normalized(docs).select("doc_id", T.compact(F.col("norm")).alias("compact"))
-    return text.select("doc_id", F.length("compact").cast("long").alias("n_chars"), window_cv(F.col("compact")).alias("uniformity"))
+    """How much the bigram entropy varies over the windows of a text."""
+    counted = normalized(docs).select("doc_id", gram_measures(F.col("norm")).alias("grams"))
+    return counted.select("doc_id", F.col("grams.n_chars").cast("long").alias("n_chars"), F.col("grams.uniformity").alias("uniformity"))
 
 
 def lexical_columns(counts: Column) -> list[Column]:
@@ -318,18 +287,17 @@ def document_stages(p: Profile) -> list[dict[str, Column]]:
     norm = F.col("norm")
     return [
         {
-            "compact": T.compact(norm),
+            "grams": gram_measures(norm, p.terminators),
             "tok": run_lengths(T.tokens(norm, p)),
             "hits": function_hits(norm, p),
             "marks": F.array(*(col for _, col in punctuation_counts(norm, p))),
             "sent_rows": sentence_rows(F.col("sents"), p),
-        },
-        {"tri": run_lengths(T.char_ngrams(F.col("compact"), 3)), "quad": run_lengths(T.char_ngrams(F.col("compact"), 4))},
+        }
     ]
 
 
 def document_columns(p: Profile) -> list[Column]:
-    chars, of_sentences = F.length("compact"), sentence_columns()
+    chars, of_sentences = F.col("grams.n_chars"), sentence_columns()
     return [
         chars.cast("long").alias("word_count"),
         F.size("sents").cast("long").alias("n_sents"),
@@ -339,6 +307,6 @@ def document_columns(p: Profile) -> list[Column]:
         *punctuation_columns(F.col("marks")),
         *function_columns(F.col("hits"), chars),
         opener_diversity(F.col("sents"), p).alias("initial_diversity"),
-        window_cv(F.col("compact")).alias("uniformity"),
+        F.col("grams.uniformity").alias("uniformity"),
         *(of_sentences[n].alias(n) for n in ("entropy_mean", "entropy_variance", "burstiness", "avg_length", "avg_chars", "length_variation")),
     ]
