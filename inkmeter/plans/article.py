@@ -57,15 +57,16 @@ def pattern_columns(p: Profile, title: bool) -> list[Column]:
     ]
 
 
-def article_features(docs: DataFrame, p: Profile) -> DataFrame:
+def article_features(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pattern features, ensemble, self-model and consistency, all from one pass over the documents."""
     title = "title" in docs.columns
-    cut = segmented(docs, p, ("article_type", *(("title",) if title else ())))
+    cut = segmented(docs, p, ("article_type", *(("title",) if title else ()), *keep))
     steps = [{"words": T.pseudo_words(c("norm"), p)}, *ensemble_stages(p), *semantic_stages(p), *consistency_stages(p)]
     features = measured(
         staged(cut, *steps),
         "doc_id",
         "article_type",
+        *keep,
         *pattern_columns(p, title),
         *ensemble_measures(p),
         *semantic_columns(p),
@@ -204,27 +205,45 @@ def score_steps() -> list[tuple[str, Column]]:
     ]
 
 
-def article_details(docs: DataFrame, p: Profile, article_type: str | None = None) -> DataFrame:
+def article_details(docs: DataFrame, p: Profile, article_type: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One wide row per document: features, parameters, every step and the score."""
-    scored = article_features(typed(docs, article_type), p)
+    scored = article_features(typed(docs, article_type), p, keep)
     for name, column in parameter_steps() + score_steps():
         scored = scored.withColumn(name, column)
     return scored
 
 
-def article_scores(docs: DataFrame, p: Profile, article_type: str | None = None) -> DataFrame:
-    """The score table."""
-    wide = article_details(docs, p, article_type)
-    whole = [c(n).cast("long").alias(n) for n in ("word_count", "pattern_hits", "concrete_hits", "human_voice", "set_phrases")]
-    return wide.select(
-        "doc_id",
-        "article_type",
-        "genre",
-        *whole,
-        c("semantic_score").cast("long").alias("semantic_score"),
-        c("consistency_score").cast("long").alias("consistency_score"),
+def score_columns(p: Profile) -> list[Column]:
+    """The columns of the score table after the document's id, from its wide row."""
+    whole = ("word_count", "pattern_hits", "concrete_hits", "human_voice", "set_phrases", "semantic_score", "consistency_score")
+    return [
+        c("article_type"),
+        c("genre"),
+        *(c(n).cast("long").alias(n) for n in whole),
         r4(c("overall")).alias("ensemble"),
         r4(c("layer1")).alias("layer1"),
         c("score").cast("long").alias("score"),
         *risk_columns(c("score"), p),
-    )
+    ]
+
+
+def article_scores(docs: DataFrame, p: Profile, article_type: str | None = None) -> DataFrame:
+    """The score table."""
+    return article_details(docs, p, article_type).select("doc_id", *score_columns(p))
+
+
+def routed_scores(docs: DataFrame, profiles: dict[str, Profile], route: Column, article_type: str | None = None) -> DataFrame:
+    """The score table, each document scored by the profile that ``route`` names: one scan, whatever the number of profiles.
+
+    The profiles' steps follow each other in one narrow pass; to all profiles but its own a document is an empty text.
+    """
+    given = ("title",) if "title" in docs.columns else ()
+    rows = typed(docs, article_type).select("doc_id", "article_type", *(c(n).alias(f"_{n}") for n in given), c("text").alias("_text"), route.alias("_route"))
+    carried = ["_route", "_text", *(f"_{n}" for n in given)]
+    for i, (key, p) in enumerate(profiles.items()):
+        own = rows.withColumns({"text": F.when(c("_route") == key, c("_text")), **{n: c(f"_{n}") for n in given}})
+        wide = article_details(own, p, keep=tuple(carried))
+        rows = measured(wide, "doc_id", "article_type", *carried, F.struct(*score_columns(p)).alias(f"_by{i}"))
+        carried.append(f"_by{i}")
+    chosen = F.coalesce(*(F.when(c("_route") == key, c(f"_by{i}")) for i, key in enumerate(profiles)))
+    return measured(rows, "doc_id", chosen.alias("s")).select("doc_id", "s.*")

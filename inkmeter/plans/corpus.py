@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r4, risk_class, risk_rank
 from ..operators.patterns import pattern_hits
-from ..operators.segment import union_all
 from ..profiles import Profile
-from .article import article_scores
+from .article import article_scores, routed_scores
 from .ensemble import ensemble_scores
 
 c = F.col
@@ -92,7 +91,7 @@ def risk_distribution(docs: DataFrame, p: Profile) -> DataFrame:
 
 
 def score_corpus(docs: DataFrame, profiles: dict[str, Profile] | Profile, article_type: str | None = None, default: str | None = None) -> DataFrame:
-    """Article scores of a corpus; with a ``profile`` column each document is scored by its own profile.
+    """Article scores of a corpus; with several profiles each document is scored by the one its ``profile`` column names.
 
     Documents of an unknown or missing profile are scored by the profile named ``default``, the first one by default.
     """
@@ -100,4 +99,4 @@ def score_corpus(docs: DataFrame, profiles: dict[str, Profile] | Profile, articl
         return article_scores(docs, profiles, article_type)
     default = default or next(iter(profiles))
     name = F.when(c("profile").isin(*profiles), c("profile")).otherwise(F.lit(default))
-    return union_all(*(article_scores(docs.where(name == key), p, article_type) for key, p in profiles.items()))
+    return routed_scores(docs, profiles, name, article_type)

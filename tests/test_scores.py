@@ -112,3 +112,20 @@ def test_clearing_an_appended_log(spark, tmp_path):
     history.append_log(history.log_records(payload.limit(1), ZH), path)
     assert history.read_log(spark, path).count() == 1
     assert [p.name for p in tmp_path.iterdir()] == ["log"]
+
+
+def test_each_document_by_its_own_profile_in_one_scan(spark, tmp_path):
+    english = ["In conclusion, it is worth noting that the action was not small, but large. " * 6 + str(i) for i in range(4)]
+    texts = [ANSWER, STORY, TEMPLATE, "", None, *english]
+    kinds = ("wechat", "知乎", "general", None, "thesis")
+    rows = [(i, t, "zh" if i < 5 and i != 3 else ("latin" if i % 2 else None), kinds[i % 5], f"title {i}" if i % 3 else None) for i, t in enumerate(texts)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id bigint, text string, profile string, article_type string, title string").write.parquet(path)
+    data = spark.read.parquet(path)
+    routed = corpus.score_corpus(data, {"latin": LATIN, "zh": ZH})
+    plan = routed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan and "Union" not in plan
+    mine = data.profile == "zh"
+    apart = article_scores(data.where(mine), ZH).unionByName(article_scores(data.where(~mine | data.profile.isNull()), LATIN))
+    assert routed.columns == apart.columns
+    assert sorted(map(str, routed.collect())) == sorted(map(str, apart.collect()))
