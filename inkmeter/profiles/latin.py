@@ -53,28 +53,26 @@ PATTERNS = (
     ("of the … of the", "nominal chain", 5, rf" of the {_S}{{1,28}} of (?:the|a) "),
     ("de la … de la", "nominal chain", 4, rf" de (?:la|las|los|les) {_S}{{1,28}} de (?:la|las|los|les) "),
     ("der … der", "nominal chain", 3, rf" der {_S}{{1,20}} der {_S}{{1,20}} der "),
-    ("doubled word", "echo", 3, r" (?:the the|of of|and and|de de|la la|der der|die die) "),
+    ("doubled function word", "echo", 1, r" (?:the the|of of|and and|de de|la la|der der|die die) "),
     ("shouted run", "noise", 2, r"[!?]{2,}"),
     ("licence", "concept word", 2, r"license"),
-    ("best", "concept word", 3, r"best"),
-    ("insight", "concept word", 3, r"estion"),
+    ("best", "concept word", 3, r"(?:^|[^\p{L}])best(?:[^\p{L}]|\z)"),
+    ("question, suggestion and the like", "concept word", 2, r"\p{L}estions?(?:[^\p{L}]|\z)"),
     ("synergy", "concept word", 4, r"synergy"),
     ("paradigm", "concept word", 4, r"paradigm"),
     ("mindset", "concept word", 4, r"mindset"),
-    ("action", "concept word", 1, r"action"),
+    ("action", "concept word", 1, r"(?:^|[^\p{L}])actions?(?:[^\p{L}]|\z)"),
 )
 
 CONTRAST_CATEGORY = "contrast frame"
 CONCEPT_CATEGORY = "concept word"
 
 PHRASES = (
-    "in conclusion", "to sum up", "moreover", "furthermore", "therefore", "however", "it is clear", "as a result",
-    "in other words", "for example", "released under", "rights reserved", "that is", "it is", "it was", "this is",
-    "with the", "as the", "by the", "on the", "in the", "of the", "to the", "for the", "from the", "at the",
-    "en conclusion", "par exemple", "cependant", "c'est", "dans la", "dans le", "pour la", "pour le", "avec la", "avec le",
-    "zum beispiel", "daher", "jedoch", "es ist", "auf der", "auf die", "mit der", "in der", "für die", "von der",
-    "en resumen", "por ejemplo", "sin embargo", "es que", "en la", "en el", "para la", "para el", "con la", "con el",
-    "of the",
+    "in conclusion", "to sum up", "moreover", "furthermore", "therefore", "however", "it is clear that", "as a result",
+    "in other words", "for example", "above all", "in addition", "released under", "rights reserved",
+    "en conclusion", "par exemple", "cependant", "en effet", "de plus", "en outre", "tout d'abord",
+    "zum beispiel", "daher", "jedoch", "darüber hinaus", "außerdem", "im folgenden", "vor allem",
+    "en resumen", "por ejemplo", "sin embargo", "además", "por lo tanto", "en primer lugar", "sobre todo",
 )
 
 SET_PHRASES = (
@@ -88,7 +86,7 @@ ADVICE = (
     (("parallel", "paired", "doubled"), "Break up the parallel run; keep one or two key sentences."),
     (("stock", "conclusion", "licen"), "Cut the general summary; add a concrete event, person, time or detail."),
     (("must",), "Lower the appeal; describe a real experience instead."),
-    (("insight", "synergy", "paradigm", "mindset", "best"), "Replace the concept label with a description of what happens."),
+    (("suggestion", "synergy", "paradigm", "mindset", "best"), "Replace the concept label with a description of what happens."),
     (("rights", "released"), "Move the licence wording out of the prose."),
 )
 
@@ -242,7 +240,7 @@ LATIN = Profile(
     evidence_regex=r"(?:according to|for example|by the|as the|that the|from the|par le|par la|selon|pour le|que la|laut|nach|durch|von der|für die|según|por la|que el|study|report|data|license)",
     parallel_break=r"[，,.；;。！？!?\n]",
     shape_drop=r"[aeiouyàâäéèêëíïîóôöúùûü ]",
-    parallel_regexes=(r"both [^.!?;\n]{1,24} and [^.!?;\n]{1,24} more", r" (?:the|la|der|die|el) [^.!?;\n]{1,18} (?:the|la|der|die|el) "),
+    parallel_regexes=(r"both [^.!?;\n]{1,24} and [^.!?;\n]{1,24} more", r"(?:^|[^\p{L}])(?:neither|weder|ni) [^.!?;\n]{1,24} (?:nor|noch|ni) "),
     phrase_label="stock transition phrases",
     phrase_category="stock phrase",
     parallel_label="runs of parallel clauses",
