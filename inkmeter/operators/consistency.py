@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import let, positions, value_counts
 from ..functions.scalar import round_half_up
 from ..profiles import Profile
 from .segment import measured, normalized, staged, union_all, unnest
-from .selfmodel import jaccard
 
 # FIXED VALUES
 GAP_BELOW = 0.002
@@ -35,20 +36,80 @@ def _paragraphs_of_many(docs: DataFrame) -> DataFrame:
     return unnest(arrays, ("doc_id",), F.when(F.size("paras") >= 2, F.col("paras")), "text", pos="para")
 
 
-def gap_array(paras: Column, p: Profile) -> Column:
-    """array<struct<from_para, to_para, similarity>>: neighbours of enough topics that share next to none of them."""
+def _grams(text: str, n: int) -> set[str]:
+    return {text[i : i + n] for i in range(len(text) - n + 1)}
 
-    def compared(k: Column) -> Column:
-        enough = F.filter(positions(F.size(k) - 1), lambda i: F.least(F.size(F.get(k, i - 1)), F.size(F.get(k, i))) >= GAP_MIN_TOPICS)
-        return F.transform(enough, lambda i: F.struct(i.alias("from_para"), (i + 1).alias("to_para"), jaccard(F.get(k, i - 1), F.get(k, i)).alias("similarity")))
 
-    return F.filter(let(F.transform(paras, lambda t: T.topic_ngrams(t, p)), compared), lambda g: g["similarity"] < GAP_BELOW)
+def _topic_gaps(paras: list[str], sizes: tuple[int, ...], content: re.Pattern) -> list[dict]:
+    """Neighbours of enough topics that share next to none of them; topics are the grams with a character of ``content``.
+
+    A longer gram in common has a shortest one in common, so most neighbours are settled by the shortest ones.
+    """
+
+    def enough(text: str, grams: set[str]) -> bool:
+        return len(list(islice(filter(content.search, grams), GAP_MIN_TOPICS))) == GAP_MIN_TOPICS or len(whole(text)) >= GAP_MIN_TOPICS
+
+    def whole(text: str) -> set[str]:
+        return {g for n in sizes for g in _grams(text, n) if content.search(g)}
+
+    out, least, before = [], min(sizes), set()
+    for i, text in enumerate(paras):
+        grams = _grams(text, least)
+        if i and enough(paras[i - 1], before) and enough(text, grams):
+            shared, similarity = before & grams, 0.0
+            if shared:
+                most = sum(max(len(t) - n + 1, 0) for t in paras[i - 1 : i + 1] for n in sizes)
+                if sum(1 for g in shared if content.search(g)) >= GAP_BELOW * most:
+                    similarity = 1.0  # at least GAP_BELOW, how much is of no matter
+                else:
+                    a, b = whole(paras[i - 1]), whole(text)
+                    similarity = len(a & b) / (len(a) + len(b) - len(a & b))
+            if similarity < GAP_BELOW:
+                out.append({"from_para": i, "to_para": i + 1, "similarity": similarity})
+        before = grams
+    return out
+
+
+def _contradictions(signals: list[list[int]]) -> int:
+    """Opposite words (2 * pair and 2 * pair + 1) in two different paragraphs, counted from the paragraphs that hold each."""
+    holding = Counter(word for words in signals for word in words)
+    both = sum(1 for words in signals for word in words if word % 2 == 0 and word + 1 in words)
+    return sum(n * holding[word + 1] for word, n in holding.items() if word % 2 == 0) - both
+
+
+def _repeats(evidence: list[list[str]]) -> int:
+    """Paragraph pairs that share two or more evidence words, counted from the distinct sets of words."""
+    kinds = Counter(frozenset(words) for words in evidence if len(words) >= 2)
+    number: dict[str, int] = {}
+    table = np.zeros((len(kinds), len({w for kind in kinds for w in kind})), np.float32)
+    for i, kind in enumerate(kinds):
+        table[i, [number.setdefault(w, len(number)) for w in kind]] = 1
+    n = np.fromiter(kinds.values(), np.int64, len(kinds))
+    pairs = sum(int(n[i : i + 1024] @ ((table[i : i + 1024] @ table.T >= 2) @ n)) for i in range(0, len(n), 1024))
+    return (pairs - int(n.sum())) // 2
+
+
+_FOUND = pa.struct(
+    [("gaps", pa.list_(pa.struct([("from_para", pa.int32()), ("to_para", pa.int32()), ("similarity", pa.float64())]))), ("contradictions", pa.int64()), ("redundancies", pa.int64())]
+)
+
+
+def found_in(topics: Column, signals: Column, evidence: Column, p: Profile) -> Column:
+    """struct<gaps, contradictions, redundancies> from what each paragraph of a document holds; none from nulls."""
+    sizes, content = tuple(p.topic_sizes), "[^" + p.topic_function_class[1:]
+
+    def find(topics: pa.Array, signals: pa.Array, evidence: pa.Array) -> pa.Array:
+        wanted = re.compile(content)
+        rows = ((t.as_py() or [], s.as_py() or [], e.as_py() or []) for t, s, e in zip(topics, signals, evidence, strict=True))
+        return pa.array([{"gaps": _topic_gaps(t, sizes, wanted), "contradictions": _contradictions(s), "redundancies": _repeats(e)} for t, s, e in rows], _FOUND)
+
+    return F.arrow_udf(find, "gaps array<struct<from_para:int,to_para:int,similarity:double>>, contradictions long, redundancies long")(topics, signals, evidence)
 
 
 def topic_gaps(docs: DataFrame, p: Profile) -> DataFrame:
     """One row per topic gap."""
-    gaps = F.when(F.size("paras") >= 2, gap_array(F.col("paras"), p))
-    return unnest(_paragraph_arrays(docs), ("doc_id",), gaps, "g").select("doc_id", "g.*")
+    cut = staged(_paragraph_arrays(docs), *finding_stages(p, counts=False)).select("doc_id", F.col("found.gaps").alias("gaps"))
+    return unnest(cut, ("doc_id",), F.col("gaps"), "g").select("doc_id", "g.*")
 
 
 def _signals(docs: DataFrame, p: Profile) -> DataFrame:
@@ -127,40 +188,28 @@ def _matching_sets(kinds: DataFrame) -> DataFrame:
     return left.join(right, ["doc_id", "two"]).where((F.col("ka") < F.col("kb")) & (smallest == F.col("two"))).select("doc_id", "ka", "kb")
 
 
-def contradiction_total(paras: Column, p: Profile) -> Column:
-    """Opposite words in two different paragraphs, counted from the paragraphs that hold each; at most five count."""
-    opposites = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in p.opposites))
-
-    def of_pair(seen: Column, o: Column) -> Column:
-        one, two = F.filter(seen, lambda x: F.contains(x, o["a"])), F.filter(seen, lambda x: F.contains(x, o["b"]))
-        both = F.filter(seen, lambda x: F.contains(x, o["a"]) & F.contains(x, o["b"]))
-        return F.size(one).cast("long") * F.size(two) - F.size(both)
-
-    seen = F.transform(paras, lambda t: T.match_text(t, p))
-    found = let(seen, lambda s: F.aggregate(opposites, F.lit(0).cast("long"), lambda n, o: n + of_pair(s, o)))
-    return F.least(found, F.lit(MAX_CONTRADICTIONS))
-
-
-def redundancy_total(paras: Column, p: Profile) -> Column:
-    """Paragraph pairs that share two or more evidence words, counted from the distinct word sets of the row."""
-    words = F.transform(paras, lambda t: F.array_sort(F.array_distinct(F.regexp_extract_all(T.match_text(t, p), F.lit(p.evidence_regex), F.lit(0)))))
-
-    def of_kinds(kinds: Column) -> Column:
-        def later(k: Column, i: Column) -> Column:
-            rest = F.filter(F.slice(kinds, i + 2, F.size(kinds)), lambda x: F.size(F.array_intersect(x["item"], k["item"])) >= 2)
-            others = F.aggregate(rest, F.lit(0).cast("long"), lambda n, x: n + x["cnt"])
-            return k["cnt"].cast("long") * (k["cnt"] - 1) / 2 + k["cnt"] * others
+def finding_stages(p: Profile, counts: bool = True) -> list[dict[str, Column]]:
+    """Steps from ``paras`` to ``found``; without ``counts`` only gaps are looked for.  Documents with one paragraph have none."""
+    words = [w for pair in p.opposites for w in pair]
 
-        return F.aggregate(F.transform(kinds, later), F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+    def opposites(text: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(w)), F.lit(i)) for i, w in enumerate(words))))
 
-    return let(value_counts(F.filter(words, lambda w: F.size(w) >= 2)), of_kinds)
+    seen = F.when(F.size("paras") >= 2, F.transform("paras", lambda t: T.match_text(t, p)))
+    evidence = F.transform("seen", lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(p.evidence_regex), F.lit(0))))
+    held = {"signals": F.transform("seen", opposites), "evidence": evidence}
+    if not counts:
+        held = {"signals": F.lit(None).cast("array<array<int>>"), "evidence": F.lit(None).cast("array<array<string>>")}
+    topics = F.transform("seen", lambda t: F.regexp_replace(t, p.topic_drop, ""))
+    return [{"seen": seen}, {"topics": topics, **held}, {"found": found_in(F.col("topics"), F.col("signals"), F.col("evidence"), p)}]
 
 
 def consistency_stages(p: Profile) -> list[dict[str, Column]]:
-    """Findings per kind, from ``paras``; documents with one paragraph have none."""
-    paras, many = F.col("paras"), F.size("paras") >= 2
-    counts = {"gap_count": F.size(gap_array(paras, p)), "contradiction_count": contradiction_total(paras, p), "redundancy_count": redundancy_total(paras, p)}
-    return [{name: F.when(many, col.cast("long")).otherwise(F.lit(0).cast("long")) for name, col in counts.items()}]
+    """Findings per kind, from ``paras``; at most five contradictions count."""
+    found = F.col("found")
+    contradicted = F.least(found["contradictions"], F.lit(MAX_CONTRADICTIONS))
+    counts = {"gap_count": F.size(found["gaps"]), "contradiction_count": contradicted, "redundancy_count": found["redundancies"]}
+    return [*finding_stages(p), {name: col.cast("long") for name, col in counts.items()}]
 
 
 def consistency_columns() -> list[Column]:
@@ -254,17 +303,8 @@ def consistency_findings(docs: DataFrame, p: Profile) -> DataFrame:
     """
     t = p.texts
     words = [w for pair in p.opposites for w in pair]
-    listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(words)))
-
-    def opposites(text: Column) -> Column:
-        return F.transform(F.filter(listed, lambda o: F.contains(text, o["w"])), lambda o: o["i"])
-
-    many = F.size("paras") >= 2
-    seen = F.transform("paras", lambda x: T.match_text(x, p))
-    evidence = F.transform("seen", lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(p.evidence_regex), F.lit(0))))
-    cut = staged(_paragraph_arrays(docs), *consistency_stages(p), {"seen": F.when(many, seen)}, {"signals": F.transform("seen", opposites), "evidence": evidence})
-    gaps_of = F.when(many, gap_array(F.col("paras"), p)).alias("gaps")
-    scored = cut.select("doc_id", consistency_columns()[-1].alias("consistency_score"), gaps_of, "signals", "evidence")
+    cut = staged(_paragraph_arrays(docs), *consistency_stages(p))
+    scored = cut.select("doc_id", consistency_columns()[-1].alias("consistency_score"), F.col("found.gaps").alias("gaps"), "signals", "evidence")
     made = scored.mapInArrow(_compact, ", ".join(f"{name} {kind}" for name, kind in scored.dtypes[:3]) + ", " + _COMPACT)
 
     def row(kind: str, section: int, a: Column, b: Column, k1: Column, desc: Column) -> Column:
