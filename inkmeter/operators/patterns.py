@@ -138,7 +138,11 @@ def hit_details(text: Column, p: Profile, context: bool = False) -> Column:
     ``text`` is normalised text.  With ``context`` the matches of patterns with
     a context rule are weighed one by one.
     """
-    seen = T.match_text(text, p)
+    return let(text, lambda t: let(T.match_text(t, p), lambda seen: _hits_seen(t, seen, p, context)))
+
+
+def _hits_seen(text: Column, seen: Column, p: Profile, context: bool) -> Column:
+    """Both texts are bound: named in a function over matches, an expression would be evaluated for each of them."""
     counts = [T.count_regex(seen, x.regex) for x in p.patterns]
     counts += [T.count_contained(seen, p.phrases), parallel_hits(text, p)]
     kinds = [(x.label, x.category, x.weight, soft_weight(x)) for x in p.patterns]
@@ -250,7 +254,7 @@ def concrete_hits(text: Column, p: Profile) -> Column:
 
 
 def human_hits(text: Column, p: Profile) -> Column:
-    return T.count_regexes(T.match_text(text, p), p.human)
+    return let(T.match_text(text, p), lambda seen: T.count_regexes(seen, p.human))
 
 
 def concrete_density(docs: DataFrame, p: Profile) -> DataFrame:
@@ -265,6 +269,10 @@ def concrete_density(docs: DataFrame, p: Profile) -> DataFrame:
 
 
 def signal_score(text: Column, signals) -> Column:
+    return let(text, lambda t: _signals_in(t, signals))
+
+
+def _signals_in(text: Column, signals) -> Column:
     out = F.lit(0)
     for s in signals:
         if s.every:
@@ -296,9 +304,12 @@ def genre(docs: DataFrame, p: Profile) -> DataFrame:
 
 def human_voice(text: Column, p: Profile) -> Column:
     """Three points per strong marker, half a point per weak one (reduced by self-references)."""
-    seen = T.match_text(text, p)
-    weak = F.greatest(T.count_regex(seen, p.weak_voice) - T.count_regex(seen, p.self_reference), F.lit(0))
-    return (T.count_regex(seen, p.strong_voice) * 3 + round_half_up(weak * 0.5)).cast("int")
+
+    def counted(seen: Column) -> Column:
+        weak = F.greatest(T.count_regex(seen, p.weak_voice) - T.count_regex(seen, p.self_reference), F.lit(0))
+        return (T.count_regex(seen, p.strong_voice) * 3 + round_half_up(weak * 0.5)).cast("int")
+
+    return let(T.match_text(text, p), counted)
 
 
 def voice_and_concepts(docs: DataFrame, p: Profile) -> DataFrame:

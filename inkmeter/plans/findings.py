@@ -49,14 +49,13 @@ def paragraph_risk(docs: DataFrame, p: Profile) -> DataFrame:
         "text",
         P.hit_details(c("text"), p).alias("details"),
         let(lengths, lambda x: F.when(F.size(x) > 0, array_mean(x)).otherwise(F.length("text").cast("double"))).alias("avg_chars"),
-        P.parallel_hits(c("text"), p).alias("parallel"),
         P.concrete_hits(c("text"), p).alias("concrete"),
     )
     points = (
         F.lit(20.0)
         + round_half_up(P.hit_score(c("details")) * 1.6)
         + F.when(c("avg_chars") > 42, 9).otherwise(0)
-        + F.when(c("parallel") > 0, 10).otherwise(0)
+        + F.when(F.exists("details", lambda d: d["label"] == p.parallel_label), 10).otherwise(0)
         + F.when((F.length("text") > 180) & (c("concrete") == 0), 8).otherwise(0)
     )
     scored = measured(
@@ -84,7 +83,7 @@ def sentence_issues(docs: DataFrame, p: Profile) -> DataFrame:
     """
     paras = paragraph_risk(docs, p).select("doc_id", "para_order", "text", c("risk_rank").alias("para_rank"))
     sents = unnest(paras, ("doc_id", "para_order", "para_rank"), T.sentences(c("text"), p), "text", pos="sent_idx")
-    hit = sents.select("doc_id", "para_order", "para_rank", "sent_idx", "text", P.hit_details(c("text"), p).alias("details")).where(F.size("details") > 0)
+    hit = measured(sents, "doc_id", "para_order", "para_rank", "sent_idx", "text", P.hit_details(c("text"), p).alias("details")).where(F.size("details") > 0)
     score = clamp(F.lit(24.0) + round_half_up(P.hit_score(c("details")) * 1.8) + F.when(F.length("text") > 58, 10).otherwise(0), 0, 98)
     scored = hit.select("doc_id", "para_order", "para_rank", "sent_idx", "text", P.labels_of(c("details"), 4).alias("labels"), score.alias("score"))
     order = W.partitionBy("doc_id").orderBy(c("para_rank").desc(), "para_order", "sent_idx")
@@ -283,7 +282,7 @@ def all_issues(docs: DataFrame, p: Profile, article_type: str | None = None) ->
     keys = ("doc_id", "para_order", "para_rank", "para_score")
     units = unnest(paras, keys, F.concat(F.array(whole), cut), "unit").select(*keys, "unit.sent_idx", "unit.text")
     none = F.array().cast("array<struct<rank:int,pattern_id:int,label:string,category:string,weight:int,n:int,score:int>>")
-    hit = units.withColumn("details", F.when(c("sent_idx") >= 0, P.hit_details(c("text"), p)).otherwise(none))
+    hit = measured(units, *units.columns, F.when(c("sent_idx") >= 0, P.hit_details(c("text"), p)).otherwise(none).alias("details"))
     hit = hit.where((c("sent_idx") < 0) | (F.size("details") > 0))
     order = W.partitionBy("doc_id").orderBy(c("sent_idx") < 0, c("para_rank").desc(), "para_order", "sent_idx")
     rows = hit.withColumn("issue_order", F.row_number().over(order)).where((c("sent_idx") >= 0) | (c("issue_order") == 1))
