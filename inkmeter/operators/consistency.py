@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,38 +34,68 @@ def _paragraphs_of_many(docs: DataFrame) -> DataFrame:
     return unnest(arrays, ("doc_id",), F.when(F.size("paras") >= 2, F.col("paras")), "text", pos="para")
 
 
-def _grams(text: str, n: int) -> set[str]:
-    return {text[i : i + n] for i in range(len(text) - n + 1)}
+def _python_class(java: str) -> re.Pattern:
+    """A character class of a profile for one character at a time."""
+    return re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), java), re.ASCII)
 
 
-def _topic_gaps(paras: list[str], sizes: tuple[int, ...], content: re.Pattern) -> list[dict]:
+def _packed(ranks: np.ndarray, n: int, width: int, room: int) -> tuple[np.ndarray, int]:
+    """A number for each run of ``n`` ranks below ``width``, equal for equal runs, and their bound, below ``room``."""
+    end = len(ranks) - n + 1
+    if width**n < room:
+        out = ranks[:end].copy()
+        for k in range(1, n):
+            out = out * width + ranks[k : k + end]
+        return out, width**n
+    out, kinds = ranks, width
+    for _ in range(1, n):
+        kept, out = np.unique(out[:-1] * width + ranks[len(ranks) - len(out) + 1 :], return_inverse=True)
+        kinds = len(kept)
+    return out, max(kinds, 1)
+
+
+def _topic_gaps(paras: list[str], sizes: tuple[int, ...], content: re.Pattern, drop: re.Pattern | None = None) -> list[dict]:
     """Neighbours of enough topics that share next to none of them; topics are the grams with a character of ``content``.
 
-    A longer gram in common has a shortest one in common, so most neighbours are settled by the shortest ones.
+    Characters of ``drop`` are no part of a paragraph.  A longer gram in common has a shortest one in common, so most
+    neighbours are settled by the shortest ones: numbers, sorted once for all paragraphs of the document.
     """
-
-    def enough(text: str, grams: set[str]) -> bool:
-        return len(list(islice(filter(content.search, grams), GAP_MIN_TOPICS))) == GAP_MIN_TOPICS or len(whole(text)) >= GAP_MIN_TOPICS
-
-    def whole(text: str) -> set[str]:
-        return {g for n in sizes for g in _grams(text, n) if content.search(g)}
-
-    out, least, before = [], min(sizes), set()
-    for i, text in enumerate(paras):
-        grams = _grams(text, least)
-        if i and enough(paras[i - 1], before) and enough(text, grams):
-            shared, similarity = before & grams, 0.0
-            if shared:
-                most = sum(max(len(t) - n + 1, 0) for t in paras[i - 1 : i + 1] for n in sizes)
-                if sum(1 for g in shared if content.search(g)) >= GAP_BELOW * most:
-                    similarity = 1.0  # at least GAP_BELOW, how much is of no matter
-                else:
-                    a, b = whole(paras[i - 1]), whole(text)
-                    similarity = len(a & b) / (len(a) + len(b) - len(a & b))
-            if similarity < GAP_BELOW:
-                out.append({"from_para": i, "to_para": i + 1, "similarity": similarity})
-        before = grams
-    return out
+    n, least = len(paras), min(sizes)
+    codes = np.frombuffer("".join(paras).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if n < 2 or len(codes) < least:
+        return []
+    present = np.bincount(codes) > 0
+    letters = [chr(x) for x in np.flatnonzero(present)]
+    ranks, para = (np.cumsum(present) - 1)[codes], np.repeat(np.arange(n), np.fromiter(map(len, paras), np.int64, n))
+    if drop:
+        kept = ~np.array([bool(drop.match(x)) for x in letters])[ranks]
+        ranks, para = ranks[kept], para[kept]
+    if len(ranks) < least:
+        return []
+    told = np.concatenate([[0], np.cumsum(np.array([bool(content.search(x)) for x in letters])[ranks])])
+
+    def topics(size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct topics of a size: how many each paragraph has, and how many the next one has too."""
+        last = len(ranks) - size + 1
+        if last < 1:
+            return np.zeros(n, np.int64), np.zeros(n, np.int64)
+        grams, bound = _packed(ranks, size, len(letters), (1 << 61) // n)
+        inside = (para[:last] == para[size - 1 :]) & (told[size:] > told[:last])
+        keys = np.sort((para[:last] * bound + grams)[inside])
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        at = np.minimum(np.searchsorted(keys, keys + bound), max(len(keys) - 1, 0))
+        return np.bincount(keys // bound, minlength=n), np.bincount(keys[keys[at] == keys + bound] // bound, minlength=n)
+
+    own, shared = topics(least)
+    length = np.bincount(para, minlength=n)
+    most = sum(np.maximum(length - size + 1, 0) for size in sizes)
+    # of neighbours whose shortest topics in common are GAP_BELOW of all grams, how much they are alike is of no matter
+    near = shared[:-1] >= GAP_BELOW * (most[:-1] + most[1:])
+    if ((own < GAP_MIN_TOPICS) & (most >= GAP_MIN_TOPICS)).any() or ((shared[:-1] > 0) & ~near).any():
+        own, shared = (sum(x) for x in zip((own, shared), *(topics(size) for size in sizes if size != least), strict=True))
+    similarity = shared[:-1] / np.maximum(own[:-1] + own[1:] - shared[:-1], 1)
+    gap = (own[:-1] >= GAP_MIN_TOPICS) & (own[1:] >= GAP_MIN_TOPICS) & ~near & (similarity < GAP_BELOW)
+    return [{"from_para": int(i) + 1, "to_para": int(i) + 2, "similarity": float(similarity[i])} for i in np.flatnonzero(gap)]
 
 
 def _contradictions(signals: list[list[int]]) -> int:
@@ -89,26 +117,48 @@ def _repeats(evidence: list[list[str]]) -> int:
     return (pairs - int(n.sum())) // 2
 
 
-_FOUND = pa.struct(
-    [("gaps", pa.list_(pa.struct([("from_para", pa.int32()), ("to_para", pa.int32()), ("similarity", pa.float64())]))), ("contradictions", pa.int64()), ("redundancies", pa.int64())]
-)
-
-
-def found_in(topics: Column, signals: Column, evidence: Column, p: Profile) -> Column:
-    """struct<gaps, contradictions, redundancies> from what each paragraph of a document holds; none from nulls."""
-    sizes, content = tuple(p.topic_sizes), "[^" + p.topic_function_class[1:]
-
-    def find(topics: pa.Array, signals: pa.Array, evidence: pa.Array) -> pa.Array:
-        wanted = re.compile(content)
-        rows = ((t.as_py() or [], s.as_py() or [], e.as_py() or []) for t, s, e in zip(topics, signals, evidence, strict=True))
-        return pa.array([{"gaps": _topic_gaps(t, sizes, wanted), "contradictions": _contradictions(s), "redundancies": _repeats(e)} for t, s, e in rows], _FOUND)
-
-    return F.arrow_udf(find, "gaps array<struct<from_para:int,to_para:int,similarity:double>>, contradictions long, redundancies long")(topics, signals, evidence)
+_GAPS = pa.list_(pa.struct([("from_para", pa.int32()), ("to_para", pa.int32()), ("similarity", pa.float64())]))
+_OPPOSED = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("word", pa.int32())]))
+_SHARED = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("shared", pa.list_(pa.string()))]))
+#: What is looked for in a document: gaps alone, numbers of findings, or the findings themselves.
+_KINDS = {
+    "gaps": ([("gaps", _GAPS)], "gaps array<struct<from_para:int,to_para:int,similarity:double>>"),
+    "counts": ([("contradictions", pa.int64()), ("redundancies", pa.int64())], "contradictions long, redundancies long"),
+    "pairs": (
+        [("contra", _OPPOSED), ("redundant", _SHARED)],
+        "contra array<struct<a:int,b:int,word:int>>, redundant array<struct<a:array<int>,b:array<int>,shared:array<string>>>",
+    ),
+}
+
+
+def found_in(seen: Column, p: Profile, kinds: tuple[str, ...]) -> Column:
+    """struct of the fields of ``kinds`` from a document's paragraphs as the dictionaries look at them; none from nulls."""
+    sizes, words = tuple(p.topic_sizes), [w for pair in p.opposites for w in pair]
+    kind = pa.struct([field for k in kinds for field in _KINDS[k][0]])
+
+    def find(docs: pa.Array) -> pa.Array:
+        content, drop = _python_class("[^" + p.topic_function_class[1:]), _python_class(p.topic_drop)
+        evidence = re.compile(p.evidence_regex)
+
+        def row(paras: list[str]) -> dict:
+            out = {"gaps": _topic_gaps(paras, sizes, content, drop)}
+            if kinds != ("gaps",):
+                signals = [[i for i, w in enumerate(words) if w in text] for text in paras]
+                told = [list(dict.fromkeys(evidence.findall(text))) for text in paras]
+                out |= {"contradictions": _contradictions(signals), "redundancies": _repeats(told)}
+                if "pairs" in kinds:
+                    out["contra"] = [dict(zip(("a", "b", "word"), x, strict=True)) for x in _first_contradictions(signals, MAX_CONTRADICTIONS)]
+                    out["redundant"] = [dict(zip(("a", "b", "shared"), x, strict=True)) for x in _evidence_matches(told)]
+            return out
+
+        return pa.array([row(paras or []) for paras in docs.to_pylist()], kind)
+
+    return F.arrow_udf(find, ", ".join(_KINDS[k][1] for k in kinds))(seen)
 
 
 def topic_gaps(docs: DataFrame, p: Profile) -> DataFrame:
     """One row per topic gap."""
-    cut = staged(_paragraph_arrays(docs), *finding_stages(p, counts=False)).select("doc_id", F.col("found.gaps").alias("gaps"))
+    cut = staged(_paragraph_arrays(docs), *finding_stages(p, ("gaps",))).select("doc_id", F.col("found.gaps").alias("gaps"))
     return unnest(cut, ("doc_id",), F.col("gaps"), "g").select("doc_id", "g.*")
 
 
@@ -188,28 +238,18 @@ def _matching_sets(kinds: DataFrame) -> DataFrame:
     return left.join(right, ["doc_id", "two"]).where((F.col("ka") < F.col("kb")) & (smallest == F.col("two"))).select("doc_id", "ka", "kb")
 
 
-def finding_stages(p: Profile, counts: bool = True) -> list[dict[str, Column]]:
-    """Steps from ``paras`` to ``found``; without ``counts`` only gaps are looked for.  Documents with one paragraph have none."""
-    words = [w for pair in p.opposites for w in pair]
-
-    def opposites(text: Column) -> Column:
-        return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(w)), F.lit(i)) for i, w in enumerate(words))))
-
+def finding_stages(p: Profile, kinds: tuple[str, ...] = ("gaps", "counts")) -> list[dict[str, Column]]:
+    """Steps from ``paras`` to ``found``.  Documents with one paragraph have no findings."""
     seen = F.when(F.size("paras") >= 2, F.transform("paras", lambda t: T.match_text(t, p)))
-    evidence = F.transform("seen", lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(p.evidence_regex), F.lit(0))))
-    held = {"signals": F.transform("seen", opposites), "evidence": evidence}
-    if not counts:
-        held = {"signals": F.lit(None).cast("array<array<int>>"), "evidence": F.lit(None).cast("array<array<string>>")}
-    topics = F.transform("seen", lambda t: F.regexp_replace(t, p.topic_drop, ""))
-    return [{"seen": seen}, {"topics": topics, **held}, {"found": found_in(F.col("topics"), F.col("signals"), F.col("evidence"), p)}]
+    return [{"seen": seen}, {"found": found_in(F.col("seen"), p, kinds)}]
 
 
-def consistency_stages(p: Profile) -> list[dict[str, Column]]:
+def consistency_stages(p: Profile, kinds: tuple[str, ...] = ("gaps", "counts")) -> list[dict[str, Column]]:
     """Findings per kind, from ``paras``; at most five contradictions count."""
     found = F.col("found")
     contradicted = F.least(found["contradictions"], F.lit(MAX_CONTRADICTIONS))
     counts = {"gap_count": F.size(found["gaps"]), "contradiction_count": contradicted, "redundancy_count": found["redundancies"]}
-    return [*finding_stages(p), {name: col.cast("long") for name, col in counts.items()}]
+    return [*finding_stages(p, kinds), {name: col.cast("long") for name, col in counts.items()}]
 
 
 def consistency_columns() -> list[Column]:
@@ -281,20 +321,6 @@ def _evidence_matches(words: list[list[str]]) -> list[tuple[list[int], list[int]
     return out
 
 
-_OPPOSED = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("word", pa.int32())]))
-_SHARED = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("shared", pa.list_(pa.string()))]))
-_COMPACT = "contra array<struct<a:int,b:int,word:int>>, redundant array<struct<a:array<int>,b:array<int>,shared:array<string>>>"
-
-
-def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In place of a row's last two columns, the words and the evidence of its paragraphs, what is found in them."""
-    for batch in batches:
-        *kept, signals, evidence = batch.columns
-        contra = [[dict(zip("ab", x[:2], strict=True), word=x[2]) for x in _first_contradictions(s or [], MAX_CONTRADICTIONS)] for s in signals.to_pylist()]
-        redundant = [[{"a": a, "b": b, "shared": w} for a, b, w in _evidence_matches(e or [])] for e in evidence.to_pylist()]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(contra, _OPPOSED), pa.array(redundant, _SHARED)], names=[*batch.schema.names[:-2], "contra", "redundant"])
-
-
 def consistency_findings(docs: DataFrame, p: Profile) -> DataFrame:
     """All findings, numbered ``n`` in report order (gaps, contradictions, repeated evidence), with the document's score.
 
@@ -303,9 +329,8 @@ def consistency_findings(docs: DataFrame, p: Profile) -> DataFrame:
     """
     t = p.texts
     words = [w for pair in p.opposites for w in pair]
-    cut = staged(_paragraph_arrays(docs), *consistency_stages(p))
-    scored = cut.select("doc_id", consistency_columns()[-1].alias("consistency_score"), F.col("found.gaps").alias("gaps"), "signals", "evidence")
-    made = scored.mapInArrow(_compact, ", ".join(f"{name} {kind}" for name, kind in scored.dtypes[:3]) + ", " + _COMPACT)
+    cut = staged(_paragraph_arrays(docs), *consistency_stages(p, ("gaps", "counts", "pairs")))
+    made = cut.select("doc_id", consistency_columns()[-1].alias("consistency_score"), "found.gaps", "found.contra", "found.redundant")
 
     def row(kind: str, section: int, a: Column, b: Column, k1: Column, desc: Column) -> Column:
         return F.struct(

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 from itertools import combinations
 from math import sqrt
+from random import Random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,7 +12,7 @@ import pytest
 
 from inkmeter.functions.text import needed_literal
 from inkmeter.operators import counting as N
-from inkmeter.operators.consistency import _contradictions, _repeats, _topic_gaps
+from inkmeter.operators.consistency import GAP_BELOW, GAP_MIN_TOPICS, _contradictions, _repeats, _topic_gaps
 from inkmeter.operators.patterns import pattern_hits, phrase_presence
 from inkmeter.plans.findings import sentence_issues
 from inkmeter.profiles import LATIN, ZH
@@ -82,3 +83,37 @@ def test_texts_are_lowered_once(docs):
 def test_hits_of_a_sentence_are_found_once(docs):
     of_filter = [line for line in plan(sentence_issues(docs("However, not this but that."), LATIN)).splitlines() if "Filter" in line]
     assert of_filter and not any("regexp_extract_all" in line for line in of_filter)
+
+
+def brute_gaps(paras, sizes, content, drop):
+    topics = [{t[i : i + n] for t in [drop.sub("", p)] for n in sizes for i in range(len(t) - n + 1)} for p in paras]
+    topics = [{g for g in of if content.search(g)} for of in topics]
+    alike = [len(a & b) / max(len(a | b), 1) for a, b in zip(topics, topics[1:])]
+    return [(i + 1, i + 2, s) for i, s in enumerate(alike) if min(len(topics[i]), len(topics[i + 1])) >= GAP_MIN_TOPICS and s < GAP_BELOW]
+
+
+@pytest.mark.parametrize("sizes", [(7, 8, 9), (2, 3, 4), (30, 31)])
+def test_gaps_of_neighbours_are_those_of_brute_force(sizes):
+    draw = Random(3)
+    content, drop = re.compile("[^aeiou]"), re.compile(r"[\d ]")
+    for letters in ("abcde 1", "abcdefghijklmnopqrstuvwxyz éλ😀", "".join(map(chr, range(0x4E00, 0x5800)))):
+        for _ in range(12):
+            paras = ["".join(draw.choices(letters, k=draw.choice((1, 18, 40, 900)))) for _ in range(6)]
+            paras[3] += paras[2][:12]  # little in common
+            found = [(g["from_para"], g["to_para"], g["similarity"]) for g in _topic_gaps(paras, sizes, content, drop)]
+            assert found == brute_gaps(paras, sizes, content, drop)
+
+
+def test_topics_are_numbers():
+    """Letters are tried one by one, not the grams of every paragraph."""
+
+    class Tried:
+        n = 0
+
+        def search(self, text):
+            self.n += 1
+            return text not in "aeiou"
+
+    tried, draw = Tried(), Random(4)
+    paras = ["".join(draw.choices("abcdefghij", k=500)) for _ in range(20)]
+    assert len(_topic_gaps(paras, (7, 8, 9), tried)) == 19 and tried.n == 10
