@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,10 +127,6 @@ def word_ngrams(words: Column, n: int) -> Column:
     )
 
 
-def count_chars(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def needed_literal(regex: str) -> str:
     """The longest text that every match of a regular expression holds, as far as it stands outside groups; else empty."""
     runs, i = [""], 0
@@ -196,3 +194,8 @@ def count_literal(text: Column, phrases) -> Column:
 def match_text(text: Column, p: Profile) -> Column:
     """Text the pattern dictionaries look at."""
     return F.lower(text) if p.fold_case else text
+
+
+def python_class(java: str) -> re.Pattern:
+    """A character class of a profile for one character at a time."""
+    return re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), java), re.ASCII)

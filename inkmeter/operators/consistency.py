@@ -34,11 +34,6 @@ def _paragraphs_of_many(docs: DataFrame) -> DataFrame:
     return unnest(arrays, ("doc_id",), F.when(F.size("paras") >= 2, F.col("paras")), "text", pos="para")
 
 
-def _python_class(java: str) -> re.Pattern:
-    """A character class of a profile for one character at a time."""
-    return re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), java), re.ASCII)
-
-
 def _packed(ranks: np.ndarray, n: int, width: int, room: int) -> tuple[np.ndarray, int]:
     """A number for each run of ``n`` ranks below ``width``, equal for equal runs, and their bound, below ``room``."""
     end = len(ranks) - n + 1
@@ -137,7 +132,7 @@ def found_in(seen: Column, p: Profile, kinds: tuple[str, ...]) -> Column:
     kind = pa.struct([field for k in kinds for field in _KINDS[k][0]])
 
     def find(docs: pa.Array) -> pa.Array:
-        content, drop = _python_class("[^" + p.topic_function_class[1:]), _python_class(p.topic_drop)
+        content, drop = T.python_class("[^" + p.topic_function_class[1:]), T.python_class(p.topic_drop)
         evidence = re.compile(p.evidence_regex)
 
         def row(paras: list[str]) -> dict:

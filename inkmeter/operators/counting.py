@@ -7,6 +7,7 @@ equal strings of different documents or sentences are kept apart by the number o
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import python_class
+from ..profiles.base import WS_CHARS
+
 CLOSE = 0.48  # FIXED VALUES: a pair of sentences above this is close
 #: Documents counted together, and cells of the largest table of sentences and tokens that is multiplied as a whole.
 DOCS, CELLS = 256, 1 << 21
@@ -204,6 +208,39 @@ def word_repeats(words: Column) -> Column:
     return F.arrow_udf(measure, "bigrams double, trigrams double")(words)
 
 
+CHARACTERS = pa.struct([("marks", pa.list_(_INT)), ("kinds", _INT), ("total", _INT)])
+
+
+def character_measures(text: Column, classes: tuple[str, ...], dropped: str) -> Column:
+    """struct<marks, kinds, total>: characters of each class, and how many distinct and all there are that ``dropped`` does not match."""
+    sets = [tuple(dict.fromkeys(chars)) for chars in classes]
+
+    def measure(texts: pa.Array) -> pa.Array:
+        left_out = cache(lambda ch, one=python_class(dropped): bool(one.match(ch)))
+        rows = [dict(zip(("marks", "kinds", "total"), ([sum(map(t.count, own)) for own in sets], *kinds_of(t, left_out)), strict=True)) for t in texts.to_pylist()]
+        return pa.array(rows, CHARACTERS)
+
+    return F.arrow_udf(measure, "marks array<int>, kinds int, total int")(text)
+
+
+def kinds_of(text: str, left_out: Callable[[str], bool]) -> tuple[int, int]:
+    """How many distinct characters, and how many in all, are not left out."""
+    kinds = set(text)
+    out = [ch for ch in kinds if left_out(ch)]
+    return len(kinds) - len(out), len(text) - sum(map(text.count, out))
+
+
+def variety(texts: Column) -> Column:
+    """array<double>: for each text the share of distinct characters among all that are not blank; 0 for fewer than ten."""
+
+    def measure(rows: pa.Array) -> pa.Array:
+        blank = frozenset(WS_CHARS).__contains__
+        shares = [[kinds / total if total >= 10 else 0.0 for kinds, total in (kinds_of(t, blank) for t in row)] for row in rows.to_pylist()]
+        return pa.array(shares, pa.list_(_REAL))
+
+    return F.arrow_udf(measure, "array<double>")(texts)
+
+
 OVERLAPS = pa.struct([("n", _LONG), ("mean", _REAL)])
 
 

@@ -6,6 +6,8 @@ hit list is an array on that row; `pattern_hits` turns it into a long table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import text as T
 from ..functions.arrays import let, positions
 from ..functions.scalar import ratio, round_half_up
 from ..profiles import Pattern, Profile
+from .matching import Counts
 from .segment import normalized, sentence_table, unnest
 
 PHRASE_WEIGHT = 4  # FIXED VALUES: points per stock phrase
@@ -45,7 +48,14 @@ def lexicon(spark: SparkSession, p: Profile) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def parallel_hits(text: Column, p: Profile) -> Column:
+def _summed(count: Callable[[str], Column], regexes) -> Column:
+    out = F.lit(0)
+    for regex in regexes:
+        out = out + count(regex)
+    return out
+
+
+def parallel_hits(text: Column, p: Profile, counts: Counts | None = None) -> Column:
     """Runs of clauses with the same beginning or shape, counted when they reach three, plus fixed frames."""
     clauses = F.filter(
         F.transform(F.split(text, p.parallel_break), lambda c: T.trim_ws(c)), lambda c: F.length(c) >= 6
@@ -74,7 +84,7 @@ def parallel_hits(text: Column, p: Profile) -> Column:
             lambda a, i: a + third(k, i + 1, "start") + third(k, i + 1, "shape"),
         ),
     )
-    return runs + T.count_regexes(text, p.parallel_regexes)
+    return runs + (_summed(counts, p.parallel_regexes) if counts else T.count_regexes(text, p.parallel_regexes))
 
 
 def match_spans(text: Column, regex: str) -> Column:
@@ -132,19 +142,30 @@ def soft_weight(x: Pattern) -> int:
     return int(x.weight * 0.2 + 0.5) if x.context_rule == "contrast" else 1
 
 
-def hit_details(text: Column, p: Profile, context: bool = False) -> Column:
+def document_counts(p: Profile) -> list[Counts]:
+    """Counts of what is looked for in a whole document: in ``norm`` and in ``seen``, its text as the dictionaries look at it."""
+    signals = [s.regex for group in (p.structure_signals, p.genre_argumentative, p.genre_narrative) for s in group]
+    regexes = [*(x.regex for x in p.patterns), *p.human, p.strong_voice, p.weak_voice, p.self_reference, p.abstract_regex, p.community_regex, *signals]
+    return [Counts("of_norm", "norm", [*p.concrete, *p.parallel_regexes]), Counts("of_seen", "seen", regexes, p.phrases, p.set_phrases)]
+
+
+def hit_details(text: Column, p: Profile, context: bool = False, counts: list[Counts] | None = None) -> Column:
     """array<struct> of dictionary hits of a unit, strongest first.
 
     ``text`` is normalised text.  With ``context`` the matches of patterns with
-    a context rule are weighed one by one.
+    a context rule are weighed one by one.  ``counts`` are those of ``document_counts``, if they are there already.
     """
+    if counts:
+        return _hits_seen(text, F.col(counts[1].text), p, context, counts)
     return let(text, lambda t: let(T.match_text(t, p), lambda seen: _hits_seen(t, seen, p, context)))
 
 
-def _hits_seen(text: Column, seen: Column, p: Profile, context: bool) -> Column:
+def _hits_seen(text: Column, seen: Column, p: Profile, context: bool, made: list[Counts] | None = None) -> Column:
     """Both texts are bound: named in a function over matches, an expression would be evaluated for each of them."""
-    counts = [T.count_regex(seen, x.regex) for x in p.patterns]
-    counts += [T.count_contained(seen, p.phrases), parallel_hits(text, p)]
+    if made:
+        counts = [*(made[1](x.regex) for x in p.patterns), made[1].contained(), parallel_hits(text, p, made[0])]
+    else:
+        counts = [*(T.count_regex(seen, x.regex) for x in p.patterns), T.count_contained(seen, p.phrases), parallel_hits(text, p)]
     kinds = [(x.label, x.category, x.weight, soft_weight(x)) for x in p.patterns]
     kinds += [(p.phrase_label, p.phrase_category, PHRASE_WEIGHT, PHRASE_WEIGHT)]
     kinds += [(p.parallel_label, p.parallel_category, PARALLEL_WEIGHT, PARALLEL_WEIGHT)]
@@ -269,18 +290,18 @@ def concrete_density(docs: DataFrame, p: Profile) -> DataFrame:
 
 
 def signal_score(text: Column, signals) -> Column:
-    return let(text, lambda t: _signals_in(t, signals))
+    return let(text, lambda t: signals_in(signals, lambda regex: T.count_regex(t, regex), lambda regex: F.rlike(t, F.lit(regex))))
 
 
-def _signals_in(text: Column, signals) -> Column:
-    out = F.lit(0)
+def signals_in(signals, count: Callable[[str], Column], found: Callable[[str], Column] | None = None) -> Column:
+    found, out = found or (lambda regex: count(regex) > 0), F.lit(0)
     for s in signals:
         if s.every:
-            out = out + T.count_regex(text, s.regex) * s.weight
+            out = out + count(s.regex) * s.weight
         elif s.at_least > 1:
-            out = out + F.when(T.count_regex(text, s.regex) >= s.at_least, s.weight).otherwise(0)
+            out = out + F.when(count(s.regex) >= s.at_least, s.weight).otherwise(0)
         else:
-            out = out + F.when(F.rlike(text, F.lit(s.regex)), s.weight).otherwise(0)
+            out = out + F.when(found(s.regex), s.weight).otherwise(0)
     return out
 
 
@@ -305,11 +326,29 @@ def genre(docs: DataFrame, p: Profile) -> DataFrame:
 def human_voice(text: Column, p: Profile) -> Column:
     """Three points per strong marker, half a point per weak one (reduced by self-references)."""
 
-    def counted(seen: Column) -> Column:
-        weak = F.greatest(T.count_regex(seen, p.weak_voice) - T.count_regex(seen, p.self_reference), F.lit(0))
-        return (T.count_regex(seen, p.strong_voice) * 3 + round_half_up(weak * 0.5)).cast("int")
-
-    return let(T.match_text(text, p), counted)
+    return let(T.match_text(text, p), lambda seen: voice_of(p, lambda regex: T.count_regex(seen, regex)))
+
+
+def voice_of(p: Profile, count: Callable[[str], Column]) -> Column:
+    weak = F.greatest(count(p.weak_voice) - count(p.self_reference), F.lit(0))
+    return (count(p.strong_voice) * 3 + round_half_up(weak * 0.5)).cast("int")
+
+
+def document_hits(p: Profile, counts: list[Counts]) -> dict[str, Column]:
+    """What a whole document holds of the profile's dictionaries, from ``norm``, ``seen`` and the counts made of them."""
+    of_norm, of_seen = counts
+    return {
+        "details": hit_details(F.col("norm"), p, True, counts),
+        "concrete_hits": _summed(of_norm, p.concrete),
+        "human_hits": _summed(of_seen, p.human),
+        "human_voice": voice_of(p, of_seen),
+        "set_phrases": of_seen.literals(),
+        "abstract_hits": of_seen(p.abstract_regex),
+        "community_hits": of_seen(p.community_regex),
+        "structure_signals": signals_in(p.structure_signals, of_seen),
+        "argumentative": signals_in(p.genre_argumentative, of_seen),
+        "narrative": signals_in(p.genre_narrative, of_seen),
+    }
 
 
 def voice_and_concepts(docs: DataFrame, p: Profile) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.arrays import array_mean, array_var_pop, let
 from ..functions.scalar import clamp, round_half_up
 from ..profiles import Profile
-from .counting import transition_measures
+from .counting import transition_measures, variety
 from .grams import gram_measures
 from .segment import measured, normalized, segmented, staged
 
@@ -86,17 +86,16 @@ def transition_smoothness(docs: DataFrame, p: Profile) -> DataFrame:
     return cut.select("doc_id", *transition_columns(F.col("norm"), F.col("sents"), F.col("overlaps")))
 
 
-def ttr_of(sents: Column) -> Column:
-    chars = T.characters(T.compact(F.array_join(sents, "")))
-    return let(chars, lambda c: F.when(F.size(c) < 10, F.lit(0.0)).otherwise(F.size(F.array_distinct(c)) / F.size(c)))
+def variety_stages() -> list[dict[str, Column]]:
+    """Steps from ``sents`` to the variety of characters in both halves of a document."""
+    half = F.floor(F.size("sents") / 2).cast("int")
+    halves = F.slice("sents", F.lit(1), half), F.slice("sents", half + 1, F.size("sents") - half)
+    return [{"halves": F.array(*(F.array_join(sents, "") for sents in halves))}, {"varied": variety(F.col("halves"))}]
 
 
-def variety_columns(norm: Column, sents: Column, p: Profile) -> list[Column]:
-    half = F.floor(F.size(sents) / 2).cast("int")
-    first = ttr_of(F.slice(sents, F.lit(1), half))
-    second = ttr_of(F.slice(sents, half + 1, F.size(sents) - half))
+def variety_columns(norm: Column, p: Profile) -> list[Column]:
     argued = F.rlike(T.match_text(norm, p), F.lit(p.argumentative_marker))
-    return [first.alias("ttr_first"), second.alias("ttr_second"), argued.alias("argued")]
+    return [F.get("varied", F.lit(0)).alias("ttr_first"), F.get("varied", F.lit(1)).alias("ttr_second"), argued.alias("argued")]
 
 
 def variety_score(n_sentences: Column, first: Column, second: Column, argued: Column) -> Column:
@@ -107,8 +106,8 @@ def variety_score(n_sentences: Column, first: Column, second: Column, argued: Co
 
 
 def ttr_halves(docs: DataFrame, p: Profile) -> DataFrame:
-    measured = _cut(docs, p).select(
-        "doc_id", F.size("sents").cast("long").alias("n_sentences"), *variety_columns(F.col("norm"), F.col("sents"), p)
+    measured = staged(_cut(docs, p), *variety_stages()).select(
+        "doc_id", F.size("sents").cast("long").alias("n_sentences"), *variety_columns(F.col("norm"), p)
     )
     score = variety_score(F.col("n_sentences"), F.col("ttr_first"), F.col("ttr_second"), F.col("argued"))
     return measured.select("doc_id", "n_sentences", "ttr_first", "ttr_second", score.alias("variety_score"))
@@ -116,7 +115,7 @@ def ttr_halves(docs: DataFrame, p: Profile) -> DataFrame:
 
 def semantic_stages(p: Profile) -> list[dict[str, Column]]:
     """Steps after ``gram_stage``."""
-    return [*transition_stages(p), *perplexity_stages(p)]
+    return [*transition_stages(p), *variety_stages(), *perplexity_stages(p)]
 
 
 def semantic_columns(p: Profile) -> list[Column]:
@@ -125,14 +124,14 @@ def semantic_columns(p: Profile) -> list[Column]:
     measures = perplexity_columns()
     level = perplexity_score(measures["n_usable"], measures["mean_perplexity"], measures["std_perplexity"], F.col("grams.n_chars"))
     _, overlap, smooth = transition_columns(norm, sents, F.col("overlaps"))
-    first, second, argued = variety_columns(norm, sents, p)
-    variety = let(F.struct(first, second, argued), lambda v: variety_score(F.size(sents), v["ttr_first"], v["ttr_second"], v["argued"]))
+    first, second, argued = variety_columns(norm, p)
+    varied = let(F.struct(first, second, argued), lambda v: variety_score(F.size(sents), v["ttr_first"], v["ttr_second"], v["argued"]))
     w = SELF_MODEL_WEIGHTS
-    parts = F.array(level, smooth, variety)
+    parts = F.array(level, smooth, varied)
     overall = let(parts, lambda x: round_half_up((F.get(x, F.lit(0)) * w[0] + F.get(x, F.lit(1)) * w[1] + F.get(x, F.lit(2)) * w[2]) * 100))
     return [
         level.alias("perplexity_score"), measures["mean_perplexity"].alias("mean_perplexity"), measures["std_perplexity"].alias("std_perplexity"), overlap,
-        smooth, variety.alias("variety_score"), overall.alias("semantic_score"),
+        smooth, varied.alias("variety_score"), overall.alias("semantic_score"),
     ]
 
 

@@ -22,7 +22,7 @@ from ..functions.arrays import (
 )
 from ..functions.scalar import ratio
 from ..profiles import Profile
-from .counting import token_measures, word_repeats
+from .counting import character_measures, token_measures, word_repeats
 from .grams import gram_measures
 from .segment import measured, normalized, segmented, sentence_table, staged
 
@@ -118,8 +118,9 @@ def token_statistics(docs: DataFrame, p: Profile) -> DataFrame:
 
 
 def punctuation_counts(text: Column, p: Profile) -> list[tuple[str, Column]]:
+    """Marks of each class; needs ``characters``."""
     long_runs = T.count_regex(text, p.ellipsis_long)
-    counts = [(name, T.count_chars(text, chars)) for name, chars in p.punctuation]
+    counts = [(name, F.get(F.col("characters.marks"), F.lit(i))) for i, (name, _) in enumerate(p.punctuation)]
     counts.insert(6, ("ellipsis", F.when(long_runs > 0, long_runs).otherwise(T.count_regex(text, p.ellipsis_short))))
     counts.insert(7, ("dash", T.count_regex(text, p.dash_regex)))
     return counts
@@ -144,7 +145,7 @@ def punctuation_columns(counts: Column) -> list[Column]:
 
 def punctuation_profile(docs: DataFrame, p: Profile) -> DataFrame:
     counts = punctuation_counts(F.col("norm"), p)
-    counted = normalized(docs).select("doc_id", F.array(*(c for _, c in counts)).alias("marks"))
+    counted = staged(normalized(docs), character_stage(p)).select("doc_id", F.array(*(c for _, c in counts)).alias("marks"))
     named = [F.get("marks", F.lit(i)).cast("long").alias(f"n_{name}") for i, (name, _) in enumerate(counts)]
     return counted.select("doc_id", *named, *punctuation_columns(F.col("marks"))).select(
         "doc_id", *(f"n_{name}" for name, _ in counts), "punct.*"
@@ -194,13 +195,13 @@ def initial_diversity(docs: DataFrame, p: Profile) -> DataFrame:
     return cut.select("doc_id", F.size("sents").cast("long").alias("n_sentences"), opener_diversity(F.col("sents"), p).alias("initial_diversity"))
 
 
-def unique_ratio_of(text: Column, p: Profile) -> Column:
-    chars = T.characters(F.regexp_replace(text, p.unique_drop, ""))
-    return let(chars, lambda c: ratio(F.size(F.array_distinct(c)), F.size(c), 0.0))
+def character_stage(p: Profile) -> dict[str, Column]:
+    return {"characters": character_measures(F.col("norm"), tuple(chars for _, chars in p.punctuation), p.unique_drop)}
 
 
 def unique_ratio(docs: DataFrame, p: Profile) -> DataFrame:
-    return normalized(docs).select("doc_id", unique_ratio_of(F.col("norm"), p).alias("unique_ratio"))
+    found = staged(normalized(docs), character_stage(p))
+    return found.select("doc_id", ratio(F.col("characters.kinds"), F.col("characters.total"), 0.0).alias("unique_ratio"))
 
 
 def word_ngram_repeat(docs: DataFrame, p: Profile) -> DataFrame:
@@ -290,7 +291,7 @@ def document_stages(p: Profile) -> list[dict[str, Column]]:
     marks = F.array(*(col for _, col in punctuation_counts(norm, p)))
     by_char = {"hits": function_hits(norm, p)} if p.function_by_char else {}
     tokens, counted = token_stages(p)
-    return [tokens, {**counted, "grams": gram_measures(norm, p.terminators)}, {**by_char, "marks": marks, "sent_rows": sentence_rows(F.col("sents"), p)}]
+    return [tokens, {**counted, **character_stage(p), "grams": gram_measures(norm, p.terminators)}, {**by_char, "marks": marks, "sent_rows": sentence_rows(F.col("sents"), p)}]
 
 
 def document_columns(p: Profile) -> list[Column]:

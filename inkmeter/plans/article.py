@@ -10,9 +10,9 @@ from ..functions.scalar import clamp, r4, ratio, risk_columns, round_half_up
 from ..operators import patterns as P
 from ..operators.consistency import consistency_columns, consistency_stages
 from ..operators.counting import word_repeats
+from ..operators.matching import Counts
 from ..operators.segment import measured, segmented, staged
 from ..operators.selfmodel import semantic_columns, semantic_stages
-from ..operators.statistics import unique_ratio_of
 from ..profiles import Profile
 from ..profiles.params import CONCRETE_LADDER, SCENE_BOOST, TYPE_ALIASES, TYPE_PARAMS, TYPE_TUNING
 from .ensemble import ensemble_measures, ensemble_stages, with_ensemble
@@ -34,25 +34,15 @@ def typed(docs: DataFrame, article_type: str | None = None) -> DataFrame:
     return docs.withColumn("article_type", F.coalesce(_lookup(given, TYPE_ALIASES, None), given, F.lit("general")))
 
 
-def pattern_columns(p: Profile, title: bool) -> list[Column]:
-    """What the article score reads from a document's text besides the ensemble; needs ``norm``, ``seen``, ``sents`` and ``repeats``."""
-    norm = c("norm")
-    seen, repeats = c("seen"), c("repeats")
+def pattern_columns(p: Profile, title: bool, counts: list[Counts]) -> list[Column]:
+    """What the article score reads from a document's text besides the ensemble; needs ``norm``, ``seen``, ``sents``, ``repeats`` and ``counts``."""
+    norm, repeats, characters = c("norm"), c("repeats"), c("characters")
     given = F.nullif(c("title"), F.lit("")) if title else F.lit(None).cast("string")
     return [
         F.coalesce(given, F.left(F.get("sents", F.lit(0)), F.lit(18)), F.lit(p.texts["untitled"])).alias("title"),
         F.size(T.paragraphs(norm)).cast("long").alias("paragraph_count"),
-        P.hit_details(norm, p, context=True).alias("details"),
-        P.concrete_hits(norm, p).alias("concrete_hits"),
-        P.human_hits(norm, p).alias("human_hits"),
-        P.human_voice(norm, p).alias("human_voice"),
-        T.count_literal(seen, p.set_phrases).alias("set_phrases"),
-        T.count_regex(seen, p.abstract_regex).alias("abstract_hits"),
-        T.count_regex(seen, p.community_regex).alias("community_hits"),
-        P.signal_score(seen, p.structure_signals).alias("structure_signals"),
-        P.signal_score(seen, p.genre_argumentative).alias("argumentative"),
-        P.signal_score(seen, p.genre_narrative).alias("narrative"),
-        unique_ratio_of(norm, p).alias("unique_ratio"),
+        *(col.alias(name) for name, col in P.document_hits(p, counts).items()),
+        ratio(characters["kinds"], characters["total"], 0.0).alias("unique_ratio"),
         repeats["bigrams"].alias("word_bigram_repeat"),
         repeats["trigrams"].alias("word_trigram_repeat"),
     ]
@@ -64,13 +54,15 @@ def article_features(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) ->
     cut = segmented(docs, p, ("article_type", *(("title",) if title else ()), *keep))
     words = {"words": T.pseudo_words(c("norm"), p)}
     last = {"seen": T.match_text(c("norm"), p)}  # of the whole text; the step before has a column of that name for paragraphs
-    steps = [*ensemble_stages(p), words, {"repeats": word_repeats(c("words"))}, *semantic_stages(p), *consistency_stages(p), last]
+    counts = P.document_counts(p)
+    made = {name: col for of in counts for name, col in of.stage().items()}
+    steps = [*ensemble_stages(p), words, {"repeats": word_repeats(c("words"))}, *semantic_stages(p), *consistency_stages(p), last, made]
     features = measured(
         staged(cut, *steps),
         "doc_id",
         "article_type",
         *keep,
-        *pattern_columns(p, title),
+        *pattern_columns(p, title, counts),
         *ensemble_measures(p),
         *semantic_columns(p),
         *consistency_columns(),

@@ -117,3 +117,8 @@ def test_topics_are_numbers():
     tried, draw = Tried(), Random(4)
     paras = ["".join(draw.choices("abcdefghij", k=500)) for _ in range(20)]
     assert len(_topic_gaps(paras, (7, 8, 9), tried)) == 19 and tried.n == 10
+
+
+def test_kinds_of_characters():
+    assert N.kinds_of("a b,a", " ,".__contains__) == (2, 3)
+    assert N.kinds_of("", " ".__contains__) == (0, 0)
