@@ -1,10 +1,16 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from inkmeter.operators.grams import char_set, gram_row
+from inkmeter.functions import text as T
+from inkmeter.operators.grams import char_set, distinct, gram_row, packed
+from inkmeter.operators.segment import ngram_table, normalized, topic_table
+from inkmeter.profiles import LATIN
 from inkmeter.profiles.base import WS_CHARS
 
 BLANK, END = char_set(WS_CHARS), char_set(".!\n")
@@ -62,3 +68,35 @@ def test_grams_are_those_of_brute_force(text):
 def test_odd_texts():
     for text in ("", " \n\t", ".", "a", "ab", "abc", "abcd", "abcd.", "a" * 500, "".join(map(chr, range(0x4E00, 0x9000))) + "." + "".join(map(chr, range(0x20000, 0x2A000)))):
         same(text)
+
+
+ODD = ["", None, "a", "ab ab ab", "aaaa aaaa", "日本語のテキスト 日本語", "😀😀 x😀😀y", "one1 two2\n\nthree three\nio aeiou aeiouaeiou"]
+
+
+@pytest.mark.parametrize("width", [3, 90000])
+def test_packed_runs_are_equal_for_equal_runs(width):
+    ranks = np.array([0, 1, 2, 1, 2, 0, 1, 2, 1, 2, 2])
+    for n in (1, 2, 5, 9, 12):
+        numbers, bound = packed(ranks, n, width, 1 << 40)
+        runs = [tuple(ranks[i : i + n]) for i in range(len(ranks) - n + 1)]
+        assert len(numbers) == len(runs) and (not runs or 0 <= numbers.min() <= numbers.max() < bound <= 1 << 40)
+        assert len(set(zip(runs, numbers.tolist()))) == len(set(runs)) == len(set(numbers.tolist()))
+        for most in (bound, 1 << 62):
+            at, cnt = distinct(numbers, most)
+            assert {runs[a]: c for a, c in zip(at, cnt.tolist())} == Counter(runs) and all(runs.index(runs[a]) == a for a in at)
+
+
+def test_gram_rows_of_odd_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    table = ngram_table(docs)
+    want = Counter((i, n, s[k : k + n]) for i, t in enumerate(ODD) for s in ["".join((t or "").split())] for n in (2, 3, 4) for k in range(len(s) - n + 1))
+    rows = table.collect()
+    assert {(r["doc_id"], r["n"], r["gram"]): r["cnt"] for r in rows} == want and len(rows) == len(want)
+    assert "regexp_extract_all" not in table._jdf.queryExecution().toString().lower()
+
+
+def test_topic_rows_of_odd_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    paras = normalized(docs).select("doc_id", F.posexplode(T.paragraphs(F.col("norm"), trimmed=False)).alias("para_idx", "text"))
+    want = paras.select("doc_id", "para_idx", F.explode(T.topic_ngrams(F.col("text"), LATIN)).alias("gram")).collect()
+    assert want and sorted(topic_table(docs, LATIN).collect()) == sorted(want)
