@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from ..profiles import Profile
 from ..profiles.base import WS_CHARS, WS_CLASS
-from .text import MARKUP_STEPS, SPACE_STEPS
+from .text import MARKUP_CHARS, MARKUP_STEPS, SPACE_STEPS
 
 
 def literal(text: str) -> str:
@@ -30,11 +30,17 @@ def _trimmed(x: str) -> str:
 
 
 def _normalized(x: str) -> str:
-    """Marks removed and blanks collapsed, twice, as in every unit table."""
-    out = f"coalesce({x}, '')"
-    for _ in range(2):
-        out = _trimmed(_replaced(out, (*MARKUP_STEPS, *SPACE_STEPS)))
-    return out
+    """Marks removed and blanks collapsed, twice, as in every unit table; text without a mark is normalised once.
+
+    Each text is bound before it is used more than once.
+    """
+
+    def once(raw: str) -> str:
+        plain = f"CASE WHEN {raw} RLIKE {literal(MARKUP_CHARS)} THEN {_replaced(raw, MARKUP_STEPS)} ELSE {raw} END"
+        return _trimmed(_replaced(plain, SPACE_STEPS))
+
+    again = f"CASE WHEN norm1 RLIKE {literal(MARKUP_CHARS)} THEN {once('norm1')} ELSE norm1 END"
+    return _let(f"coalesce({x}, '')", "raw", _let(once("raw"), "norm1", again))
 
 
 def _let(value: str, name: str, body: str) -> str:
