@@ -41,10 +41,24 @@ def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
     for at in range(0, n, _AT_ONCE):
         cut = zip(starts[at : at + _AT_ONCE].tolist(), lasts[at : at + _AT_ONCE].tolist(), strict=False)
         h = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in cut], "<u8")
-        bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        bits += _bit_counts(h)
+    return _majority(bits, n)
+
+
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(bits: np.ndarray, n: int) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash, as a signed long, of shingles that are given by their 64-bit hashes; zero without any."""
+    parts = (hashes[i : i + _AT_ONCE].astype("<u8") for i in range(0, len(hashes), _AT_ONCE))
+    return _majority(sum((_bit_counts(h) for h in parts), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row."""
 

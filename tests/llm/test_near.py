@@ -10,6 +10,7 @@ from helpers import ODD, prose, table  # noqa: E402
 from test_simhash import roots  # noqa: E402
 
 import corpus_pipeline as P  # noqa: E402
+from inkmeter.llm import near  # noqa: E402
 from inkmeter.llm.near import band_keys, near_duplicates, one_of_each, shingles  # noqa: E402
 
 
@@ -94,3 +95,15 @@ def test_dense_bucket_of_texts_less_than_alike(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(table(spark, [])).collect() == []
+
+
+def test_fingerprints_propose_pairs(spark, monkeypatch):
+    """The closest texts are linked by op7's fingerprints alone, and what they propose is checked exactly."""
+    monkeypatch.setattr(near, "band_keys", lambda of: np.zeros(0, np.int64))
+    base = prose(21, 400)
+    data = [(1, base), (2, changed(base, 1, 5)), (3, changed(base, 1, 6)), (4, prose(22, 400)), (5, None), (6, "a b"), (7, base.upper())]
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, data)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 1}
+    unlike = [(1, base), (2, changed(base, 120, 7))]
+    monkeypatch.setattr(near, "fingerprint_of", lambda hashes: 0)
+    assert len({r.component_id for r in near_duplicates(table(spark, unlike)).collect()}) == 2
