@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +26,9 @@ MARKUP_STEPS = (
     (rf"`({_LINE}+?)`", "$1"),
 )
 SPACE_STEPS = ((r"\r", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
+MARKS = "#*_[`"
 MARKUP_CHARS = r"[#*_\[`]"
+SPACE_MARKS = ("\r", "\t", "  ", "\n\n\n")  # a text without them is as the steps would leave it
 
 
 def _replace_all(col: Column, steps) -> Column:
@@ -40,11 +44,22 @@ def trim_ws(col: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Markup removed, line ends unified, blanks collapsed.  Missing text is empty text.
 
-    Most documents carry no markup at all; they skip its eight passes.
+    Most documents carry no markup at all; they skip its eight passes.  Blanks that are in order are left alone.
     """
     raw = F.coalesce(text, F.lit(""))
-    plain = F.when(F.rlike(raw, F.lit(MARKUP_CHARS)), _replace_all(raw, MARKUP_STEPS)).otherwise(raw)
-    return trim_ws(_replace_all(plain, SPACE_STEPS))
+    plain = F.when(has_markup(raw), _replace_all(raw, MARKUP_STEPS)).otherwise(raw)
+    return trim_ws(let(plain, lambda t: F.when(_any_of(t, SPACE_MARKS), _replace_all(t, SPACE_STEPS)).otherwise(t)))
+
+
+def _any_of(text: Column, parts) -> Column:
+    out = F.lit(False)
+    for part in parts:
+        out = out | F.contains(text, F.lit(part))
+    return out
+
+
+def has_markup(text: Column) -> Column:
+    return _any_of(text, MARKS)
 
 
 def compact(text: Column) -> Column:
@@ -199,3 +214,68 @@ def match_text(text: Column, p: Profile) -> Column:
 def python_class(java: str) -> re.Pattern:
     """A character class of a profile for one character at a time."""
     return re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), java), re.ASCII)
+
+
+@cache
+def _letters(kind: str) -> str:
+    """All characters of a general category's group, as ranges of a class."""
+    own = [i for i in range(0x110000) if unicodedata.category(chr(i))[0] == kind]
+    begins = [i for i, before in zip(own, [-2, *own], strict=False) if i != before + 1]
+    ends = [i for i, after in zip(own, [*own[1:], -2], strict=True) if after != i + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends, strict=True))
+
+
+def _members(body: str) -> list[str]:
+    """The members of a class, a range's hyphen on its own, each as Python writes it."""
+    out, i = [], 0
+    while i < len(body):
+        end = _end_of(body, i) if body[i] == "\\" else i + 1
+        end += 2 if body[i:end] == r"\x" else 0
+        part = body[i:end]
+        if part[:2] in (r"\p", r"\x"):
+            kind = part[2:].strip("{}")
+            out.append(part if part[1] == "p" else f"\\U{int(kind, 16):08x}")
+        elif part in (r"\d", r"\s"):
+            out.append({r"\d": "0-9", r"\s": r" \t\n\x0b\f\r"}[part])
+        elif part[0] == "\\" and part[1].isalnum():
+            if part[1] not in "tnfr":
+                raise ValueError(f"{part} in a class")
+            out.append(part)
+        elif part == "[" or body[i : i + 2] == "&&":
+            raise ValueError(f"a class in a class: {body}")
+        else:
+            out.append("-" if part == "-" and 0 < i < len(body) - 1 else re.escape(part[-1]))
+        i = end
+    return out
+
+
+def _class_for_python(java: str) -> str:
+    negated = java[1] == "^"
+    members = _members(java[2 if negated else 1 : -1])
+    if r"\p{L}" in members and r"\p{N}" in members:  # \w are letters, numbers and the low line
+        rest = [m for m in members if m not in (r"\p{L}", r"\p{N}")]
+        if "_" in rest:
+            members = [r"\w", *rest]
+        elif not rest:
+            return r"[\W_]" if negated else r"[^\W_]"
+    return f"[{'^' if negated else ''}{''.join(_letters(m[3]) if m.startswith(chr(92) + 'p') else m for m in members)}]"
+
+
+@cache
+def python_regex(java: str) -> re.Pattern:
+    """An expression that cuts texts, for Python's engine; digits and blanks are the ASCII ones."""
+    out, i = "", 0
+    while i < len(java):
+        if java[i] == "[":
+            end = _end_of(java, i)
+            out += _class_for_python(java[i:end])
+        elif java[i] == "\\":
+            end = _end_of(java, i)
+            out += r"\Z" if java[i:end] == r"\z" else _class_for_python(f"[{java[i:end]}]")
+        elif java[i] in ".$":
+            raise ValueError(f"{java[i]} outside a class")
+        else:
+            end = i + 1
+            out += java[i]
+        i = end
+    return re.compile(out)

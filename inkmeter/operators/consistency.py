@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from ..functions import text as T
 from ..functions.scalar import round_half_up
 from ..profiles import Profile
 from .grams import packed
+from .matching import linear
 from .segment import measured, normalized, staged, union_all, unnest
 
 # FIXED VALUES
@@ -53,6 +57,7 @@ def _topic_gaps(paras: list[str], sizes: tuple[int, ...], content: re.Pattern, d
         ranks, para = ranks[kept], para[kept]
     if len(ranks) < least:
         return []
+    shift = (n + 1).bit_length()
     told = np.concatenate([[0], np.cumsum(np.array([bool(content.search(x)) for x in letters])[ranks])])
 
     def topics(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +65,14 @@ def _topic_gaps(paras: list[str], sizes: tuple[int, ...], content: re.Pattern, d
         last = len(ranks) - size + 1
         if last < 1:
             return np.zeros(n, np.int64), np.zeros(n, np.int64)
-        grams, bound = packed(ranks, size, len(letters), (1 << 61) // n)
+        grams, _ = packed(ranks, size, len(letters), 1 << 62 - shift)
         inside = (para[:last] == para[size - 1 :]) & (told[size:] > told[:last])
-        keys = np.sort((para[:last] * bound + grams)[inside])
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-        at = np.minimum(np.searchsorted(keys, keys + bound), max(len(keys) - 1, 0))
-        return np.bincount(keys // bound, minlength=n), np.bincount(keys[keys[at] == keys + bound] // bound, minlength=n)
+        keys = np.sort((grams << shift | para[:last])[inside])
+        step = keys[1:] - keys[:-1]
+        kept = np.concatenate([[True], step > 0]) if len(keys) else np.zeros(0, bool)
+        keys = keys[kept]  # a topic's paragraphs stand next to each other; each has room for one number more than there are
+        both = keys[:-1][keys[1:] - keys[:-1] == 1] & (1 << shift) - 1
+        return np.bincount(keys & (1 << shift) - 1, minlength=n), np.bincount(both, minlength=n)
 
     own, shared = topics(least)
     length = np.bincount(para, minlength=n)
@@ -114,29 +121,42 @@ _KINDS = {
 
 def found_in(seen: Column, p: Profile, kinds: tuple[str, ...]) -> Column:
     """struct of the fields of ``kinds`` from a document's paragraphs as the dictionaries look at them; none from nulls."""
-    sizes, words = tuple(p.topic_sizes), [w for pair in p.opposites for w in pair]
     kind = pa.struct([field for k in kinds for field in _KINDS[k][0]])
 
     def find(docs: pa.Array) -> pa.Array:
-        content, drop = T.python_class("[^" + p.topic_function_class[1:]), T.python_class(p.topic_drop)
-        evidence = re.compile(p.evidence_regex)
-
-        def row(paras: list[str]) -> dict:
-            out = {"gaps": _topic_gaps(paras, sizes, content, drop)}
-            if kinds != ("gaps",):
-                signals = [[i for i, w in enumerate(words) if w in text] for text in paras]
-                told = [list(dict.fromkeys(evidence.findall(text))) for text in paras]
-                out |= {"contradictions": _contradictions(signals), "redundancies": _repeats(told)}
-                if "pairs" in kinds:
-                    out["contra"] = [dict(zip(("a", "b", "word"), x, strict=True)) for x in _first_contradictions(signals, MAX_CONTRADICTIONS)]
-                    out["redundant"] = [dict(zip(("a", "b", "shared"), x, strict=True)) for x in _evidence_matches(told)]
-            return out
-
-        return pa.array([row(paras or []) for paras in docs.to_pylist()], kind)
+        return pa.array(list(_findings([paras or [] for paras in docs.to_pylist()], p, kinds)), kind)
 
     return F.arrow_udf(find, ", ".join(_KINDS[k][1] for k in kinds))(seen)
 
 
+def _findings(docs: list[list[str]], p: Profile, kinds: tuple[str, ...]) -> Iterator[dict]:
+    """The fields of ``kinds`` from the paragraphs of each document."""
+    sizes = tuple(p.topic_sizes)
+    content, drop = T.python_class("[^" + p.topic_function_class[1:]), T.python_class(p.topic_drop)
+    evidence, form = re.compile(p.evidence_regex), linear(p.evidence_regex)
+    flat = pa.array([text for paras in docs for text in paras] if kinds != ("gaps",) and form else [], pa.string())
+    told_twice = iter((pc.count_substring_regex(flat, form[0]).to_numpy(zero_copy_only=False) >= 2).tolist()) if len(flat) and not form[1] else repeat(True)
+    for paras in docs:
+        out = {"gaps": _topic_gaps(paras, sizes, content, drop)}
+        if kinds != ("gaps",):
+            text = "\n".join(paras)
+            # a word without its opposite in the document contradicts nothing, one piece of evidence repeats nothing
+            words = [(2 * i + d, w) for i, pair in enumerate(p.opposites) if all(w in text for w in pair) for d, w in enumerate(pair)]
+            signals = [[i for i, w in words if w in text] for text in paras]
+            told = [list(dict.fromkeys(evidence.findall(text))) if twice else [] for text, twice in zip(paras, told_twice, strict=False)]
+            out |= {"contradictions": _contradictions(signals), "redundancies": _repeats(told)}
+            if "pairs" in kinds:
+                out["contra"] = [dict(zip(("a", "b", "word"), x, strict=True)) for x in _first_contradictions(signals, MAX_CONTRADICTIONS)]
+                out["redundant"] = [dict(zip(("a", "b", "shared"), x, strict=True)) for x in _evidence_matches(told)]
+        yield out
+
+
+def counted_findings(docs: list[list[str]], p: Profile) -> tuple[list[int], list[int], list[int]]:
+    """How many gaps, contradictions and repeats the paragraphs of each document hold, as the dictionaries look at them."""
+    found = [(len(row["gaps"]), row["contradictions"], row["redundancies"]) for row in _findings(docs, p, ("gaps", "counts"))]
+    return tuple(map(list, zip(*found, strict=True))) if found else ([], [], [])
+
+
 def topic_gaps(docs: DataFrame, p: Profile) -> DataFrame:
     """One row per topic gap."""
     cut = staged(_paragraph_arrays(docs), *finding_stages(p, ("gaps",))).select("doc_id", F.col("found.gaps").alias("gaps"))
@@ -233,8 +253,9 @@ def consistency_stages(p: Profile, kinds: tuple[str, ...] = ("gaps", "counts"))
     return [*finding_stages(p, kinds), {name: col.cast("long") for name, col in counts.items()}]
 
 
-def consistency_columns() -> list[Column]:
-    n = F.size("paras").cast("long")
+def consistency_columns(n: Column | None = None) -> list[Column]:
+    """Numbers of paragraphs (``n``, or those of ``paras``) and of findings, and the score."""
+    n = (F.size("paras") if n is None else n).cast("long")
     score = consistency_score(F.col("gap_count"), F.col("contradiction_count"), F.col("redundancy_count"), n)
     return [n.alias("n_paragraphs"), F.col("gap_count"), F.col("contradiction_count"), F.col("redundancy_count"), F.when(n >= 2, score).otherwise(F.lit(0.0)).alias("consistency_score")]
 

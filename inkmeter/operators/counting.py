@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import python_class
 from ..profiles.base import WS_CHARS
+from .grams import runs
 
 CLOSE = 0.48  # FIXED VALUES: a pair of sentences above this is close
 #: Documents counted together, and cells of the largest table of sentences and tokens that is multiplied as a whole.
@@ -25,12 +26,16 @@ DOCS, CELLS = 256, 1 << 21
 _INT, _LONG, _REAL = pa.int32(), pa.int64(), pa.float64()
 
 
-def numbered(items: pa.Array) -> tuple[np.ndarray, list[str]]:
+def numbered(items: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Each string as the number of its kind, and the kinds."""
     if isinstance(items, pa.ChunkedArray):
         items = items.combine_chunks()
     found = pc.dictionary_encode(items)
-    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def _flags(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False).astype(bool)
 
 
 def sizes_of(lists: pa.Array) -> np.ndarray:
@@ -57,6 +62,19 @@ def in_slices(count: Callable[..., list[pa.Array]], kind: pa.StructType) -> Call
     return all_of
 
 
+def kinds_at(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones, in order, of numbers below ``bound``, and which of them each number is."""
+    shift = len(keys).bit_length()
+    if not len(keys) or bound << shift >= 1 << 63:
+        return np.unique(keys, return_inverse=True)
+    placed = np.sort((keys << shift) | np.arange(len(keys)))
+    kind, at = placed >> shift, placed & ((1 << shift) - 1)
+    new = np.concatenate([[True], kind[1:] != kind[:-1]])
+    out = np.empty(len(keys), np.int64)
+    out[at] = np.cumsum(new) - 1
+    return kind[new], out
+
+
 def neighbours(pairs: np.ndarray, weights: np.ndarray, kinds: int, n: int) -> np.ndarray:
     """For each of ``n`` units the product with the next one; ``pairs`` are unit * kinds + kind, sorted and distinct."""
     if not len(pairs):
@@ -126,10 +144,17 @@ TOKENS = pa.struct(
 def token_counts(docs: pa.Array, units: frozenset[str], pairs: bool) -> list[pa.Array]:
     """The fields of ``TOKENS`` for documents that are lists of sentences, which are lists of tokens."""
     n_sents, sents = sizes_of(docs), docs.flatten()
-    sizes, n, n_docs = sizes_of(sents), len(sents), len(docs)
-    codes, kinds = numbered(sents.flatten())
+    found = sentence_counts(sents.flatten(), sizes_of(sents), n_sents, units, pairs)
+    sizes = {"n_tokens": n_sents, "entropy": n_sents, "cosines": np.maximum(n_sents - 1, 0)}
+    return [lists(found[f.name], sizes[f.name], f.type.value_type) if f.name in sizes else pa.array(found[f.name], f.type) for f in TOKENS]
+
+
+def sentence_counts(tokens: pa.Array, sizes: np.ndarray, n_sents: np.ndarray, units: frozenset[str], pairs: bool) -> dict[str, np.ndarray]:
+    """The fields of ``TOKENS``, those of a sentence one after another; ``sizes`` are the tokens of a sentence, ``n_sents`` the sentences of a document."""
+    n, n_docs = len(sizes), len(n_sents)
+    codes, kinds = numbered(tokens)
     v, doc_of = max(len(kinds), 1), np.repeat(np.arange(n_docs), n_sents)
-    keys, counts = np.unique(np.repeat(np.arange(n), sizes) * v + codes, return_counts=True)
+    keys, counts = runs(np.sort(np.repeat(np.arange(n), sizes) * v + codes))
     of, kind = keys // v, keys % v
     logs = np.bincount(of, counts * np.log(counts), n)
     entropy = np.where(sizes > 0, np.log(np.maximum(sizes, 1)) - logs / np.maximum(sizes, 1), 0.0)
@@ -139,7 +164,7 @@ def token_counts(docs: pa.Array, units: frozenset[str], pairs: bool) -> list[pa.
     scale = length[inner] * length[inner + 1] if n else np.zeros(0)
     cosine = np.where(scale > 0, neighbours(keys, counts, v, n)[inner] / np.where(scale > 0, scale, 1), 0.0)
 
-    whole, place = np.unique(doc_of[of] * v + kind, return_inverse=True)
+    whole, place = kinds_at(doc_of[of] * v + kind, n_docs * v)
     of_doc = whole // v
     n_types = np.bincount(of_doc, minlength=n_docs)
     total = np.bincount(place, counts, len(whole)).astype(np.int64)
@@ -154,17 +179,15 @@ def token_counts(docs: pa.Array, units: frozenset[str], pairs: bool) -> list[pa.
         if pairs:
             a, b = entry[d], entry[d + 1]
             sums[d] = pair_sums(of[a:b] - sent_begins[d], place[a:b] - begins[d], counts[a:b].astype(float), int(n_sents[d]))
-    listed = np.array([k in units for k in kinds], bool)[whole % v] if len(whole) else np.zeros(0, bool)
+    listed = _flags(pc.is_in(kinds, pa.array(sorted(units), kinds.type)))[whole % v] if len(whole) else np.zeros(0, bool)
     whole_numbers = {
         "filled": np.bincount(doc_of, length > 0, n_docs), "total": np.bincount(of_doc, total, n_docs), "types": n_types,
         "function_hits": np.bincount(of_doc[listed], total[listed], n_docs), "function_kinds": np.bincount(of_doc[listed], minlength=n_docs),
     }
-    reals = {"unit_sum": np.bincount(of_doc, summed * summed, n_docs), "close": sums[:, 0], "squares": sums[:, 1], "freq_variance": spread, "alpha": lines[:, 0], "deviation": lines[:, 1]}
-    made = {
-        "n_tokens": lists(sizes, n_sents, _INT), "entropy": lists(entropy, n_sents, _REAL), "cosines": lists(cosine, np.maximum(n_sents - 1, 0), _REAL),
-        **{k: pa.array(x.astype(np.int64), _LONG) for k, x in whole_numbers.items()}, **{k: pa.array(x.astype(float), _REAL) for k, x in reals.items()},
+    return {
+        "n_tokens": sizes, "entropy": entropy, "cosines": cosine, **{k: x.astype(np.int64) for k, x in whole_numbers.items()},
+        "unit_sum": np.bincount(of_doc, summed * summed, n_docs), "close": sums[:, 0], "squares": sums[:, 1], "freq_variance": spread, "alpha": lines[:, 0], "deviation": lines[:, 1],
     }
-    return [made[f.name] for f in TOKENS]
 
 
 def token_measures(tokens: Column, units: tuple[str, ...] = (), pairs: bool = True) -> Column:
@@ -184,23 +207,64 @@ def token_measures(tokens: Column, units: tuple[str, ...] = (), pairs: bool = Tr
 REPEATS = pa.struct([("bigrams", _REAL), ("trigrams", _REAL)])
 
 
+def word_hashes(kinds: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each string, and the factor that a text's number is multiplied by when the string is joined to its end."""
+    sizes = pc.binary_length(kinds).to_numpy(zero_copy_only=False).astype(np.int64)
+    powers = np.cumprod(np.append(np.ones(1, np.uint64), np.full(int(sizes.max(initial=0)), _BASE, np.uint64)))
+    offsets = np.frombuffer(kinds.buffers()[1], np.int32)[kinds.offset :]
+    letters, ends = np.frombuffer(kinds.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[0] + sizes.sum()], np.cumsum(sizes)
+    summed = np.append(np.zeros(1, np.uint64), np.cumsum((letters + np.uint64(1)) * powers[np.repeat(ends, sizes) - 1 - np.arange(len(letters))]))
+    return summed[ends] - summed[ends - sizes], powers[sizes]
+
+
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
 def repeat_shares(words: pa.Array) -> list[pa.Array]:
     """Share of the word pairs, and of the runs of three, that occur more than once in a document; 0 for fewer than n + 3 words."""
-    sizes, flat = sizes_of(words), words.flatten()
-    ends, doc_of = np.repeat(np.cumsum(sizes), sizes), np.repeat(np.arange(len(words)), sizes)
-    out = []
+    return shares_of(words.flatten(), sizes_of(words))
+
+
+def shares_of(words: pa.Array, sizes: np.ndarray) -> list[pa.Array]:
+    """`repeat_shares` of documents' words one after another.
+
+    ``sizes`` are the words of each document.  Joined words are counted as numbers made of their letters.  Numbers that are
+    equal stand next to each other then, and their words are compared, so two runs count as equal only if they are.
+    """
+    ends, doc_of = np.repeat(np.cumsum(sizes), sizes), np.repeat(np.arange(len(sizes)), sizes)
+    codes, kinds = numbered(words)
+    number, factor = (x[codes] for x in word_hashes(kinds)) if len(codes) else (np.zeros(0, np.uint64),) * 2
+    joined, out = number, []
     for n in (2, 3):
-        share = np.zeros(len(words))
-        at = np.flatnonzero(np.arange(len(flat)) + n <= ends)
+        at = np.flatnonzero(np.arange(len(codes)) + n <= ends)
+        joined = joined[: len(codes) - n + 1] * factor[n - 1 :] + number[n - 1 :]
+        again = np.zeros(len(sizes))
         if len(at):
-            runs, kinds = numbered(pc.binary_join_element_wise(*(flat.take(pa.array(at + k)) for k in range(n)), ""))
-            keys, counts = np.unique(doc_of[at] * len(kinds) + runs, return_counts=True)
-            again = np.bincount(keys // len(kinds), np.where(counts > 1, counts, 0), len(words))
-            share = np.where(sizes >= n + 3, again / np.maximum(sizes - n + 1, 1), 0.0)
-        out.append(pa.array(share, _REAL))
+            shift = np.uint64(len(at).bit_length())
+            mixed = (joined[at] ^ (doc_of[at].astype(np.uint64) * _BASE)) * _MIX
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+            placed = np.sort((mixed >> shift << shift) | np.arange(len(at), dtype=np.uint64))
+            order = at[(placed & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)]
+            same = (placed[1:] >> shift) == (placed[:-1] >> shift)
+            one, two = order[:-1][same], order[1:][same]
+            unlike = np.flatnonzero((doc_of[one] != doc_of[two]) | np.logical_or.reduce([codes[one + k] != codes[two + k] for k in range(n)]))
+            text = lambda i: (doc_of[i], "".join(kinds[int(codes[i + k])].as_py() for k in range(n)))
+            if any(text(one[i]) != text(two[i]) for i in unlike):
+                again = _repeated(codes, kinds, at, doc_of, n, len(sizes))
+            else:
+                more = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+                again = np.bincount(doc_of[order[more]], minlength=len(sizes))
+        out.append(pa.array(np.where(sizes >= n + 3, again / np.maximum(sizes - n + 1, 1), 0.0), _REAL))
     return out
 
 
+def _repeated(codes: np.ndarray, kinds: list[str], at: np.ndarray, doc_of: np.ndarray, n: int, n_docs: int) -> np.ndarray:
+    """How many of a document's runs occur more than once, counted as strings."""
+    strings, told = numbered(pc.binary_join_element_wise(*(kinds.take(pa.array(codes[at + k])) for k in range(n)), ""))
+    keys, counts = runs(np.sort(doc_of[at] * len(told) + strings))
+    return np.bincount(keys // len(told), np.where(counts > 1, counts, 0), n_docs)
+
+
 def word_repeats(words: Column) -> Column:
     def measure(docs: pa.Array) -> pa.Array:
         return in_slices(repeat_shares, REPEATS)(docs)
@@ -245,24 +309,35 @@ OVERLAPS = pa.struct([("n", _LONG), ("mean", _REAL)])
 
 
 def keyword_overlaps(chunks: pa.Array, stop_text: str) -> list[pa.Array]:
+    """Number and mean of the keyword overlaps of neighbouring sentences; ``chunks`` are documents of sentences of chunks."""
+    sents = chunks.flatten()
+    found, mean = overlaps_of(sents.flatten(), sizes_of(sents), sizes_of(chunks), stop_text)
+    return [pa.array(found, _LONG), pa.array(mean, _REAL)]
+
+
+@cache
+def parts_of(text: str) -> pa.Array:
+    """All that a text holds."""
+    return pa.array(sorted({text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)} | {""}))
+
+
+def overlaps_of(chunks: pa.Array, sizes: np.ndarray, n_sents: np.ndarray, stop_text: str) -> tuple[np.ndarray, np.ndarray]:
     """Number and mean of the keyword overlaps of neighbouring sentences; pairs with a side without keywords are left out.
 
     Keywords are a sentence's chunks of two or more characters that are no part of the stop text.
     """
-    n_sents, sents = sizes_of(chunks), chunks.flatten()
-    codes, kinds = numbered(sents.flatten())
-    wanted = np.array([len(k) >= 2 and k not in stop_text for k in kinds], bool)
-    n, v, doc_of = len(sents), max(len(kinds), 1), np.repeat(np.arange(len(chunks)), n_sents)
+    codes, kinds = numbered(chunks)
+    wanted = ~_flags(pc.is_in(kinds, parts_of(stop_text).cast(kinds.type))) & _flags(pc.greater_equal(pc.utf8_length(kinds), 2))
+    n, v, doc_of = len(sizes), max(len(kinds), 1), np.repeat(np.arange(len(n_sents)), n_sents)
     kept = wanted[codes] if len(codes) else np.zeros(0, bool)
-    keys = np.unique(np.repeat(np.arange(n), sizes_of(sents))[kept] * v + codes[kept])
+    keys, _ = runs(np.sort(np.repeat(np.arange(n), sizes)[kept] * v + codes[kept]))
     size = np.bincount(keys // v, minlength=n)
     common = neighbours(keys, np.ones(len(keys)), v, n)
     at = np.flatnonzero(doc_of[:-1] == doc_of[1:])
     at = at[(size[at] > 0) & (size[at + 1] > 0)] if n else at
     overlap = common[at] / (size[at] + size[at + 1] - common[at])
-    found = np.bincount(doc_of[at], minlength=len(chunks))
-    mean = np.bincount(doc_of[at], overlap, len(chunks)) / np.maximum(found, 1)
-    return [pa.array(found.astype(np.int64), _LONG), pa.array(mean, _REAL)]
+    found = np.bincount(doc_of[at], minlength=len(n_sents))
+    return found.astype(np.int64), np.bincount(doc_of[at], overlap, len(n_sents)) / np.maximum(found, 1)
 
 
 def transition_measures(chunks: Column, stop_text: str) -> Column:

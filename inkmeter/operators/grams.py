@@ -199,3 +199,77 @@ def gram_measures(norm: Column, ends: str = "") -> Column:
         return pa.array(rows, _ROW)
 
     return F.arrow_udf(measure, ", ".join(f"{name} {kind}" for name, kind in FIELDS.items()))(norm)
+
+
+def each_of(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of numbers below ``bound``, how often each occurs, and how often the number at each place does."""
+    shift = len(keys).bit_length()
+    if bound << shift < 1 << 63:
+        placed = np.sort((keys << shift) | np.arange(len(keys)))
+        ordered, at = placed >> shift, placed & ((1 << shift) - 1)
+    else:
+        at = np.argsort(keys, kind="stable")
+        ordered = keys[at]
+    kinds, counts = runs(ordered)
+    each = np.empty(len(keys), np.int64)
+    each[at] = np.repeat(counts, counts)
+    return kinds, counts, each
+
+
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted numbers, and how often each occurs."""
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
+def entropies(counts: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """`entropy_of` the counts of each of ``n`` groups."""
+    share = counts / np.maximum(np.bincount(of, counts, n), 1)[of]
+    return -np.bincount(of, share * np.log(share + P_FLOOR), n)
+
+
+def gram_columns(texts: list[str], blank: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]:
+    """The measures of `gram_row` for many texts; ``logs`` are those of all sentences, and the text that each belongs to."""
+    n, lengths = len(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of, marks, solid = np.repeat(np.arange(n), lengths), end[codes], ~blank[codes]
+    piece, of, codes = (np.cumsum(marks) - marks + of)[solid], of[solid], codes[solid]
+    present = np.bincount(codes) > 0
+    ranks, letters = (np.cumsum(present) - 1)[codes], max(int(present.sum()), 1)
+    chars, begins = np.bincount(of, minlength=n), np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
+
+    def keys(size: int, groups: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places of the grams inside one group, their numbers together with the group's, and the bound of the group's part."""
+        last = max(len(ranks) - size + 1, 0)
+        grams, bound = packed(ranks, size, letters, (1 << 62) // max(n_groups, 1))
+        at = np.flatnonzero(groups[:last] == groups[size - 1 :])
+        return at, (groups[:last] * bound + grams)[at], bound
+
+    _, three, bound = keys(3, of, n)
+    kinds, counts = runs(np.sort(three))
+    tri = kinds // bound
+    at, four, bound = keys(4, of, n)
+    quads, _, each = each_of(four, n * bound)
+    quads = quads // bound
+    whole = (piece[at] == piece[at + 3]) & (np.bincount(piece)[piece[at]] >= LEAST_PIECE) if len(at) else np.zeros(0, bool)
+    own = piece[at][whole]
+    sums, sizes = np.bincount(own, np.log(each[whole] + 1.0)), np.bincount(own)
+    told = np.flatnonzero(sizes)
+    of_piece = np.zeros(len(sizes), np.int64)
+    of_piece[own] = of[at][whole]
+
+    # four to six equal windows of a text
+    k = np.minimum(6, np.maximum(4, chars // 40))
+    width = np.maximum(-(-chars // k), 1)
+    window = of * 8 + (np.arange(len(of)) - begins[of]) // width[of]
+    _, two, bound = keys(2, window, n * 8)
+    pairs, times = runs(np.sort(two))
+    values = entropies(times, pairs // bound, n * 8).reshape(n, 8)
+    real = np.arange(8) < k[:, None]
+    mean = np.where(real, values, 0).sum(1) / k
+    spread = np.sqrt(np.where(real, (values - mean[:, None]) ** 2, 0).sum(1) / k)
+    return {
+        "n_chars": chars, "tri_total": np.maximum(chars - 2, 0), "tri_distinct": np.bincount(tri, minlength=n), "tri_repeated": np.bincount(tri, np.where(counts > 1, counts, 0), n).astype(np.int64),
+        "tri_entropy": entropies(counts, tri, n), "quad_total": np.maximum(chars - 3, 0), "quad_distinct": np.bincount(quads, minlength=n),
+        "uniformity": np.where((chars < 60) | (mean == 0), 1.0, np.minimum(spread / np.where(mean == 0, 1, mean) * 3, 1.0)), "logs": (sums[told] / sizes[told], of_piece[told]),
+    }

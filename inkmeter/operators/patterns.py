@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions.arrays import let, positions
 from ..functions.scalar import ratio, round_half_up
 from ..profiles import Pattern, Profile
-from .matching import Counts
+from .matching import Counts, linear
 from .segment import normalized, sentence_table, unnest
 
 PHRASE_WEIGHT = 4  # FIXED VALUES: points per stock phrase
@@ -55,7 +55,7 @@ def _summed(count: Callable[[str], Column], regexes) -> Column:
     return out
 
 
-def parallel_hits(text: Column, p: Profile, counts: Counts | None = None) -> Column:
+def parallel_hits(text: Column, p: Profile) -> Column:
     """Runs of clauses with the same beginning or shape, counted when they reach three, plus fixed frames."""
     clauses = F.filter(
         F.transform(F.split(text, p.parallel_break), lambda c: T.trim_ws(c)), lambda c: F.length(c) >= 6
@@ -84,7 +84,7 @@ def parallel_hits(text: Column, p: Profile, counts: Counts | None = None) -> Col
             lambda a, i: a + third(k, i + 1, "start") + third(k, i + 1, "shape"),
         ),
     )
-    return runs + (_summed(counts, p.parallel_regexes) if counts else T.count_regexes(text, p.parallel_regexes))
+    return runs + T.count_regexes(text, p.parallel_regexes)
 
 
 def match_spans(text: Column, regex: str) -> Column:
@@ -149,28 +149,39 @@ def document_counts(p: Profile) -> list[Counts]:
     return [Counts("of_norm", "norm", [*p.concrete, *p.parallel_regexes]), Counts("of_seen", "seen", regexes, p.phrases, p.set_phrases)]
 
 
-def hit_details(text: Column, p: Profile, context: bool = False, counts: list[Counts] | None = None) -> Column:
+def hit_details(text: Column, p: Profile, context: bool = False, counts: list[Counts] | None = None, runs: Column | None = None) -> Column:
     """array<struct> of dictionary hits of a unit, strongest first.
 
     ``text`` is normalised text.  With ``context`` the matches of patterns with
-    a context rule are weighed one by one.  ``counts`` are those of ``document_counts``, if they are there already.
+    a context rule are weighed one by one.  ``counts`` are those of ``document_counts``, and ``runs`` of the
+    parallel clauses, if they are there already.
     """
     if counts:
-        return _hits_seen(text, F.col(counts[1].text), p, context, counts)
+        return _hits_seen(text, F.col(counts[1].text), p, context, counts, runs)
     return let(text, lambda t: let(T.match_text(t, p), lambda seen: _hits_seen(t, seen, p, context)))
 
 
-def _hits_seen(text: Column, seen: Column, p: Profile, context: bool, made: list[Counts] | None = None) -> Column:
+def unit_details(hits: Column, text: Column, p: Profile) -> Column:
+    """`hit_details` of a paragraph or sentence from its ``hits`` (`facts.unit_facts`); what Arrow's matcher cannot take is counted by Spark."""
+    none = F.array().cast("array<struct<rank:int,pattern_id:int,label:string,category:string,weight:int,n:int,score:int>>")
+    left, runs = [x for x in p.patterns if not linear(x.regex)], [r for r in p.parallel_regexes if not linear(r)]
+    if not left and not runs:
+        return F.when(hits.isNull(), none).otherwise(_weighed(hits, p))
+
+    def counted(seen: Column) -> Column:
+        made = [F.coalesce(F.get(hits, F.lit(i)), F.lit(0)) for i in range(len(p.patterns) + 2)]
+        own = [T.count_regex(seen, x.regex) if x in left else made[i] for i, x in enumerate(p.patterns)]
+        return F.array(*own, made[-2], made[-1] + T.count_regexes(text, runs))
+
+    return let(T.match_text(text, p), lambda seen: let(counted(seen), lambda counts: _weighed(counts, p)))
+
+
+def _hits_seen(text: Column, seen: Column, p: Profile, context: bool, made: list[Counts] | None = None, runs: Column | None = None) -> Column:
     """Both texts are bound: named in a function over matches, an expression would be evaluated for each of them."""
     if made:
-        counts = [*(made[1](x.regex) for x in p.patterns), made[1].contained(), parallel_hits(text, p, made[0])]
+        counts = [*(made[1](x.regex) for x in p.patterns), made[1].contained(), runs + _summed(made[0], p.parallel_regexes)]
     else:
         counts = [*(T.count_regex(seen, x.regex) for x in p.patterns), T.count_contained(seen, p.phrases), parallel_hits(text, p)]
-    kinds = [(x.label, x.category, x.weight, soft_weight(x)) for x in p.patterns]
-    kinds += [(p.phrase_label, p.phrase_category, PHRASE_WEIGHT, PHRASE_WEIGHT)]
-    kinds += [(p.parallel_label, p.parallel_category, PARALLEL_WEIGHT, PARALLEL_WEIGHT)]
-    names = ("label", "category", "weight", "soft")
-    meta = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, kind, strict=True))) for kind in kinds))
 
     def soft_counts(c: Column) -> Column:
         """Matches at the lower weight, per pattern up to the last one with a context rule."""
@@ -180,7 +191,21 @@ def _hits_seen(text: Column, seen: Column, p: Profile, context: bool, made: list
         ]
         return F.array(*rows)
 
-    def detail(c: Column, soft: Column, i: Column) -> Column:
+    if not context:
+        return let(F.array(*counts), lambda c: _weighed(c, p))
+    return let(F.array(*counts), lambda c: let(soft_counts(c), lambda soft: _weighed(c, p, soft)))
+
+
+def _weighed(c: Column, p: Profile, soft: Column | None = None) -> Column:
+    """array<struct> of the kinds of hits that occur, from the counts of all; ``soft`` are the matches at the lower weight."""
+    kinds = [(x.label, x.category, x.weight, soft_weight(x)) for x in p.patterns]
+    kinds += [(p.phrase_label, p.phrase_category, PHRASE_WEIGHT, PHRASE_WEIGHT)]
+    kinds += [(p.parallel_label, p.parallel_category, PARALLEL_WEIGHT, PARALLEL_WEIGHT)]
+    names = ("label", "category", "weight", "soft")
+    meta = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, kind, strict=True))) for kind in kinds))
+    soft = F.array(F.lit(0)) if soft is None else soft
+
+    def detail(i: Column) -> Column:
         n, kind = F.get(c, i - 1), F.get(meta, i - 1)
         lowered = F.coalesce(F.get(soft, i - 1), F.lit(0)) * (kind["weight"] - kind["soft"])
         return F.struct(
@@ -193,12 +218,7 @@ def _hits_seen(text: Column, seen: Column, p: Profile, context: bool, made: list
             (n * kind["weight"] - lowered).alias("score"),
         )
 
-    def details(c: Column, soft: Column) -> Column:
-        return F.sort_array(F.transform(F.filter(positions(F.size(c)), lambda i: F.get(c, i - 1) > 0), lambda i: detail(c, soft, i)))
-
-    if not context:
-        return let(F.array(*counts), lambda c: details(c, F.array(F.lit(0))))
-    return let(F.array(*counts), lambda c: let(soft_counts(c), lambda soft: details(c, soft)))
+    return F.sort_array(F.transform(F.filter(positions(F.size(c)), lambda i: F.get(c, i - 1) > 0), detail))
 
 
 def hit_score(details: Column) -> Column:
@@ -334,11 +354,11 @@ def voice_of(p: Profile, count: Callable[[str], Column]) -> Column:
     return (count(p.strong_voice) * 3 + round_half_up(weak * 0.5)).cast("int")
 
 
-def document_hits(p: Profile, counts: list[Counts]) -> dict[str, Column]:
-    """What a whole document holds of the profile's dictionaries, from ``norm``, ``seen`` and the counts made of them."""
+def document_hits(p: Profile, counts: list[Counts], runs: Column) -> dict[str, Column]:
+    """What a whole document holds of the profile's dictionaries, from ``norm``, ``seen`` and the counts and clause ``runs`` made of them."""
     of_norm, of_seen = counts
     return {
-        "details": hit_details(F.col("norm"), p, True, counts),
+        "details": hit_details(F.col("norm"), p, True, counts, runs),
         "concrete_hits": _summed(of_norm, p.concrete),
         "human_hits": _summed(of_seen, p.human),
         "human_voice": voice_of(p, of_seen),

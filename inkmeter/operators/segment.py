@@ -43,12 +43,12 @@ def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
 def normalized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns and ``norm``.
 
-    Stripping marks can bring new marks together, so the text is normalised
+    Stripping marks can bring new marks together, so a text with marks is normalised
     twice.  The two steps are separate projections on purpose: each is then
     evaluated once per document.
     """
     once = docs.select("doc_id", *keep, T.normalize(F.col("text")).alias("norm"))
-    return once.withColumn("norm", T.normalize(F.col("norm")))
+    return once.withColumn("norm", F.when(T.has_markup(F.col("norm")), T.normalize(F.col("norm"))).otherwise(F.col("norm")))
 
 
 def segmented(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:

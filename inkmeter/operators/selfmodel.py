@@ -66,12 +66,11 @@ def transition_stages(p: Profile) -> list[dict[str, Column]]:
     return [{"chunks": F.transform("sents", lambda s: T.keyword_chunks(s, p))}, {"overlaps": transition_measures(F.col("chunks"), p.keyword_stop_text)}]
 
 
-def transition_columns(norm: Column, sents: Column, overlaps: Column) -> list[Column]:
-    usable = (F.size(sents) >= 5) & (overlaps["n"] > 0)
-    mean = overlaps["mean"]
+def transition_columns(norm: Column, n_sents: Column, n: Column, mean: Column) -> list[Column]:
+    usable = (n_sents >= 5) & (n > 0)
     scale = F.when(F.length(norm) > 300, F.lit(1.0)).otherwise(F.lit(0.3))
     return [
-        overlaps["n"].alias("n_transitions"),
+        n.alias("n_transitions"),
         mean.alias("mean_overlap"),
         F.when(usable, scale * clamp((mean - 0.03) * 5, 0, 1)).otherwise(F.lit(NEUTRAL)).alias("smoothness_score"),
     ]
@@ -83,7 +82,7 @@ def _cut(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def transition_smoothness(docs: DataFrame, p: Profile) -> DataFrame:
     cut = staged(_cut(docs, p), *transition_stages(p))
-    return cut.select("doc_id", *transition_columns(F.col("norm"), F.col("sents"), F.col("overlaps")))
+    return cut.select("doc_id", *transition_columns(F.col("norm"), F.size("sents"), F.col("overlaps.n"), F.col("overlaps.mean")))
 
 
 def variety_stages() -> list[dict[str, Column]]:
@@ -120,12 +119,16 @@ def semantic_stages(p: Profile) -> list[dict[str, Column]]:
 
 def semantic_columns(p: Profile) -> list[Column]:
     """The three parts and their weighted sum as a whole number from 0 to 100."""
-    norm, sents = F.col("norm"), F.col("sents")
-    measures = perplexity_columns()
-    level = perplexity_score(measures["n_usable"], measures["mean_perplexity"], measures["std_perplexity"], F.col("grams.n_chars"))
-    _, overlap, smooth = transition_columns(norm, sents, F.col("overlaps"))
-    first, second, argued = variety_columns(norm, p)
-    varied = let(F.struct(first, second, argued), lambda v: variety_score(F.size(sents), v["ttr_first"], v["ttr_second"], v["argued"]))
+    overlaps = F.col("overlaps.n"), F.col("overlaps.mean")
+    return semantic_of(F.size("sents"), F.col("grams.n_chars"), perplexity_columns(), overlaps, variety_columns(F.col("norm"), p))
+
+
+def semantic_of(n_sents: Column, n_chars: Column, measures: dict[str, Column], overlaps: tuple[Column, Column], halves: list[Column]) -> list[Column]:
+    """`semantic_columns` from the perplexities, the overlaps of neighbours and the variety of both halves (and whether the text argues)."""
+    level = perplexity_score(measures["n_usable"], measures["mean_perplexity"], measures["std_perplexity"], n_chars)
+    _, overlap, smooth = transition_columns(F.col("norm"), n_sents, *overlaps)
+    first, second, argued = (col.alias(name) for col, name in zip(halves, ("ttr_first", "ttr_second", "argued"), strict=True))
+    varied = let(F.struct(first, second, argued), lambda v: variety_score(n_sents, v["ttr_first"], v["ttr_second"], v["argued"]))
     w = SELF_MODEL_WEIGHTS
     parts = F.array(level, smooth, varied)
     overall = let(parts, lambda x: round_half_up((F.get(x, F.lit(0)) * w[0] + F.get(x, F.lit(1)) * w[1] + F.get(x, F.lit(2)) * w[2]) * 100))

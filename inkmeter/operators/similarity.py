@@ -39,18 +39,25 @@ def similarity_stages(p: Profile) -> list[dict[str, Column]]:
 
 
 def similarity_columns() -> dict[str, Column]:
-    n, cosines, regions = F.size("sents"), F.col("cosines"), F.col("regions")
+    cosines, regions = F.col("cosines"), F.col("regions")
+    spread = F.when(F.size(cosines) > 0, array_var_pop(cosines))
+    longest = F.coalesce(F.array_max(F.transform(regions, lambda r: r["last"] - r["first"])), F.lit(0))
+    return similarity_of(F.size("sents"), F.col("counted"), spread, F.size(regions), longest)
+
+
+def similarity_of(n: Column, counted: Column, spread: Column, regions: Column, longest: Column) -> dict[str, Column]:
+    """From the number of sentences, the sums over their pairs, the variance between neighbours (null without any) and the flat regions."""
     pairs = n.cast("double") * (n - 1) / 2
-    mean = ratio(F.greatest((F.col("counted.unit_sum") - F.col("counted.filled")) / 2, F.lit(0.0)), pairs, 0.0)
-    std = F.sqrt(F.greatest(ratio(F.col("counted.squares"), pairs, 0.0) - mean * mean, F.lit(0.0)))
+    mean = ratio(F.greatest((counted["unit_sum"] - counted["filled"]) / 2, F.lit(0.0)), pairs, 0.0)
+    std = F.sqrt(F.greatest(ratio(counted["squares"], pairs, 0.0) - mean * mean, F.lit(0.0)))
     return {
         "n_sentences": n.cast("long"),
         "mean_similarity": mean,
-        "smoothness": F.when(F.size(cosines) > 0, 1 / (1 + F.sqrt(array_var_pop(cosines)))).otherwise(F.lit(0.0)),
-        "n_regions": F.size(regions).cast("long"),
-        "longest_region": F.coalesce(F.array_max(F.transform(regions, lambda r: r["last"] - r["first"])), F.lit(0)).cast("long"),
+        "smoothness": F.coalesce(1 / (1 + F.sqrt(spread)), F.lit(0.0)),
+        "n_regions": regions.cast("long"),
+        "longest_region": longest.cast("long"),
         "similarity_diversity": F.when(pairs > 0, 1 - mean).otherwise(F.lit(0.0)),
-        "clustering": ratio(F.col("counted.close"), pairs, 0.0),
+        "clustering": ratio(counted["close"], pairs, 0.0),
         "std_similarity": F.when(pairs >= 2, std).otherwise(F.lit(0.0)),
     }
 

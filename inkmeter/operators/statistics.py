@@ -29,11 +29,10 @@ from .segment import measured, normalized, segmented, sentence_table, staged
 def char_ngram_features(docs: DataFrame) -> DataFrame:
     """Type/token ratios, entropy and repeat share of character trigrams, ratio of 4-grams."""
     counted = normalized(docs).select("doc_id", gram_measures(F.col("norm")).alias("grams"))
-    return counted.select("doc_id", *_ngram_columns())
+    return counted.select("doc_id", *ngram_columns(F.col("grams")))
 
 
-def _ngram_columns() -> list[Column]:
-    g = F.col("grams")
+def ngram_columns(g: Column) -> list[Column]:
     return [
         g["tri_total"].cast("long").alias("tri_total"),
         g["tri_distinct"].cast("long").alias("tri_distinct"),
@@ -300,7 +299,7 @@ def document_columns(p: Profile) -> list[Column]:
     return [
         chars.cast("long").alias("word_count"),
         F.size("sents").cast("long").alias("n_sents"),
-        *_ngram_columns(),
+        *ngram_columns(F.col("grams")),
         *lexical_columns(counted["total"], counted["types"], counted["freq_variance"]),
         counted["deviation"].alias("zipf_deviation"),
         *punctuation_columns(F.col("marks")),

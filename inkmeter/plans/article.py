@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.scalar import clamp, r4, ratio, risk_columns, round_half_up
 from ..operators import patterns as P
-from ..operators.consistency import consistency_columns, consistency_stages
-from ..operators.counting import word_repeats
+from ..operators.consistency import consistency_columns
 from ..operators.matching import Counts
-from ..operators.segment import measured, segmented, staged
-from ..operators.selfmodel import semantic_columns, semantic_stages
+from ..operators.segment import measured, normalized, staged
+from ..operators.selfmodel import semantic_of
 from ..profiles import Profile
 from ..profiles.params import CONCRETE_LADDER, SCENE_BOOST, TYPE_ALIASES, TYPE_PARAMS, TYPE_TUNING
 from .ensemble import ensemble_measures, ensemble_stages, with_ensemble
@@ -35,37 +33,36 @@ def typed(docs: DataFrame, article_type: str | None = None) -> DataFrame:
 
 
 def pattern_columns(p: Profile, title: bool, counts: list[Counts]) -> list[Column]:
-    """What the article score reads from a document's text besides the ensemble; needs ``norm``, ``seen``, ``sents``, ``repeats`` and ``counts``."""
-    norm, repeats, characters = c("norm"), c("repeats"), c("characters")
+    """What the article score reads from a document's text besides the ensemble; needs ``norm``, ``seen``, ``facts`` and ``counts``."""
+    facts = c("facts")
     given = F.nullif(c("title"), F.lit("")) if title else F.lit(None).cast("string")
     return [
-        F.coalesce(given, F.left(F.get("sents", F.lit(0)), F.lit(18)), F.lit(p.texts["untitled"])).alias("title"),
-        F.size(T.paragraphs(norm)).cast("long").alias("paragraph_count"),
-        *(col.alias(name) for name, col in P.document_hits(p, counts).items()),
-        ratio(characters["kinds"], characters["total"], 0.0).alias("unique_ratio"),
-        repeats["bigrams"].alias("word_bigram_repeat"),
-        repeats["trigrams"].alias("word_trigram_repeat"),
+        F.coalesce(given, facts["title"], F.lit(p.texts["untitled"])).alias("title"),
+        facts["paragraph_count"].cast("long").alias("paragraph_count"),
+        *(col.alias(name) for name, col in P.document_hits(p, counts, facts["clause_runs"]).items()),
+        ratio(facts["kinds"], facts["characters"], 0.0).alias("unique_ratio"),
+        facts["word_bigrams"].alias("word_bigram_repeat"),
+        facts["word_trigrams"].alias("word_trigram_repeat"),
     ]
 
 
 def article_features(docs: DataFrame, p: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pattern features, ensemble, self-model and consistency, all from one pass over the documents."""
-    title = "title" in docs.columns
-    cut = segmented(docs, p, ("article_type", *(("title",) if title else ()), *keep))
-    words = {"words": T.pseudo_words(c("norm"), p)}
-    last = {"seen": T.match_text(c("norm"), p)}  # of the whole text; the step before has a column of that name for paragraphs
+    title, facts = "title" in docs.columns, c("facts")
+    norm = normalized(docs, ("article_type", *(("title",) if title else ()), *keep))
     counts = P.document_counts(p)
-    made = {name: col for of in counts for name, col in of.stage().items()}
-    steps = [*ensemble_stages(p), words, {"repeats": word_repeats(c("words"))}, *semantic_stages(p), *consistency_stages(p), last, made]
+    steps = ensemble_stages(p, {"argued": p.argumentative_marker}, counts)
+    names = [of.name for of in counts] + ["gap_count", "contradiction_count", "redundancy_count"]
+    told = {n: facts[n] for n in ("n_usable", "mean_perplexity", "std_perplexity")}
     features = measured(
-        staged(cut, *steps),
+        staged(norm, *steps, {n: facts[n] for n in names}),
         "doc_id",
         "article_type",
         *keep,
         *pattern_columns(p, title, counts),
-        *ensemble_measures(p),
-        *semantic_columns(p),
-        *consistency_columns(),
+        *ensemble_measures(),
+        *semantic_of(facts["n_sents"], facts["n_chars"], told, (facts["n_transitions"], facts["mean_overlap"]), [facts["ttr_first"], facts["ttr_second"], c("argued")]),
+        *consistency_columns(facts["n_paragraphs"]),
     )
     return with_ensemble(features).select(
         "*",

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import array_mean, let, positions
 from ..functions.scalar import clamp, clip_text, r4, sigmoid
+from ..operators.facts import document_facts
+from ..operators.matching import Counts
 from ..operators.segment import measured, normalized, segmented, staged, unnest
-from ..operators.similarity import FLAT, similarity_columns, similarity_stages
-from ..operators.statistics import document_columns, document_stages, token_stages
+from ..operators.similarity import FLAT, similarity_of
+from ..operators.statistics import document_columns, document_stages, function_shares, lexical_columns, ngram_columns, punctuation_columns, token_stages
 from ..profiles import Profile
 from ..profiles.params import STATISTICAL_WEIGHTS
 
@@ -58,18 +60,27 @@ def similarity_score() -> Column:
     return clamp(parts / 0.50, 0, 1)
 
 
-def ensemble_stages(p: Profile) -> list[dict[str, Column]]:
-    """Steps from ``norm`` and ``sents`` to what the ensemble's measures are made of."""
-    return [*document_stages(p), *similarity_stages(p)]
+def ensemble_stages(p: Profile, marked: dict[str, str] | None = None, counts: list[Counts] | None = None) -> list[dict[str, Column]]:
+    """Steps from ``norm`` to ``facts`` and to whether the expressions of ``marked`` and the profile's two markers occur."""
+    told, held = document_facts(F.col("norm"), p, {"human_marked": p.human_marker, "template_marked": p.template_marker, **(marked or {})}, counts)
+    return [{"facts": told, "seen": T.match_text(F.col("norm"), p)}, held]
 
 
-def ensemble_measures(p: Profile) -> list[Column]:
-    seen = T.match_text(F.col("norm"), p)
+def ensemble_measures() -> list[Column]:
+    f = F.col("facts")
+    similar = similarity_of(f["n_sents"], f, f["cosine_variance"], f["n_regions"], f["longest_region"])
     return [
-        *document_columns(p),
-        F.rlike(seen, F.lit(p.human_marker)).alias("human_marked"),
-        F.rlike(seen, F.lit(p.template_marker)).alias("template_marked"),
-        *(col.alias(name) for name, col in similarity_columns().items() if name not in ("n_sentences", "std_similarity")),
+        f["n_chars"].cast("long").alias("word_count"),
+        f["n_sents"].cast("long").alias("n_sents"),
+        *ngram_columns(f),
+        *lexical_columns(f["total"], f["types"], f["freq_variance"]),
+        f["deviation"].alias("zipf_deviation"),
+        *punctuation_columns(f["marks"]),
+        *function_shares(f["function_hits"], f["function_kinds"], f["n_chars"]),
+        *(f[n].alias(n) for n in ("initial_diversity", "uniformity", "entropy_mean", "entropy_variance", "burstiness", "avg_length", "avg_chars", "length_variation")),
+        F.col("human_marked"),
+        F.col("template_marked"),
+        *(col.alias(name) for name, col in similar.items() if name not in ("n_sentences", "std_similarity")),
     ]
 
 
@@ -116,7 +127,7 @@ def ensemble_columns(threshold: float = 0.5) -> list:
 
 def ensemble_scores(docs: DataFrame, p: Profile, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document, from one narrow pass."""
-    return with_ensemble(measured(staged(segmented(docs, p, keep), *ensemble_stages(p)), "doc_id", *keep, *ensemble_measures(p)), threshold)
+    return with_ensemble(measured(staged(normalized(docs, keep), *ensemble_stages(p)), "doc_id", *keep, *ensemble_measures()), threshold)
 
 
 def ensemble_report(docs: DataFrame, p: Profile, threshold: float = 0.5) -> DataFrame:
