@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import array_mean, let
+from ..functions.arrays import let
 from ..functions.scalar import clamp, clip_text, display_label, risk_columns, round_half_up, scale_label
 from ..operators import patterns as P
 from ..operators.consistency import consistency_findings
+from ..operators.facts import unit_facts
+from ..operators.matching import linear
 from ..operators.segment import measured, normalized, union_all, unnest
 from ..profiles import Profile
 from .article import article_details
@@ -42,14 +44,15 @@ def example_rewrite(sentence: Column, p: Profile) -> Column:
 def paragraph_risk(docs: DataFrame, p: Profile) -> DataFrame:
     """FIXED VALUES: 20 points to start with, 1.6 per pattern point, and three additions."""
     paras = unnest(normalized(docs), ("doc_id",), T.paragraphs(c("norm")), "text", pos="para_idx")
-    lengths = F.transform(T.sentences(c("text"), p), F.length)
-    parts = paras.select(
+    told = paras.withColumn("facts", unit_facts(c("text"), p, paragraph=True))
+    left = [regex for regex in p.concrete if not linear(regex)]
+    parts = told.select(
         "doc_id",
         "para_idx",
         "text",
-        P.hit_details(c("text"), p).alias("details"),
-        let(lengths, lambda x: F.when(F.size(x) > 0, array_mean(x)).otherwise(F.length("text").cast("double"))).alias("avg_chars"),
-        P.concrete_hits(c("text"), p).alias("concrete"),
+        P.unit_details(c("facts.hits"), c("text"), p).alias("details"),
+        "facts.avg_chars",
+        (c("facts.concrete") + T.count_regexes(c("text"), left)).alias("concrete"),
     )
     points = (
         F.lit(20.0)
@@ -83,7 +86,8 @@ def sentence_issues(docs: DataFrame, p: Profile) -> DataFrame:
     """
     paras = paragraph_risk(docs, p).select("doc_id", "para_order", "text", c("risk_rank").alias("para_rank"))
     sents = unnest(paras, ("doc_id", "para_order", "para_rank"), T.sentences(c("text"), p), "text", pos="sent_idx")
-    hit = measured(sents, "doc_id", "para_order", "para_rank", "sent_idx", "text", P.hit_details(c("text"), p).alias("details")).where(F.size("details") > 0)
+    told = sents.withColumn("facts", unit_facts(c("text"), p))
+    hit = measured(told, *sents.columns, P.unit_details(c("facts.hits"), c("text"), p).alias("details")).where(F.size("details") > 0)
     score = clamp(F.lit(24.0) + round_half_up(P.hit_score(c("details")) * 1.8) + F.when(F.length("text") > 58, 10).otherwise(0), 0, 98)
     scored = hit.select("doc_id", "para_order", "para_rank", "sent_idx", "text", P.labels_of(c("details"), 4).alias("labels"), score.alias("score"))
     order = W.partitionBy("doc_id").orderBy(c("para_rank").desc(), "para_order", "sent_idx")
@@ -281,9 +285,9 @@ def all_issues(docs: DataFrame, p: Profile, article_type: str | None = None) ->
     cut = F.transform(T.sentences(c("text"), p), lambda s, i: F.struct(i.alias("sent_idx"), s.alias("text")))
     keys = ("doc_id", "para_order", "para_rank", "para_score")
     units = unnest(paras, keys, F.concat(F.array(whole), cut), "unit").select(*keys, "unit.sent_idx", "unit.text")
-    none = F.array().cast("array<struct<rank:int,pattern_id:int,label:string,category:string,weight:int,n:int,score:int>>")
-    hit = measured(units, *units.columns, F.when(c("sent_idx") >= 0, P.hit_details(c("text"), p)).otherwise(none).alias("details"))
-    hit = hit.where((c("sent_idx") < 0) | (F.size("details") > 0))
+    told = units.withColumn("facts", unit_facts(F.when(c("sent_idx") >= 0, c("text")), p))  # a paragraph itself is no sentence
+    details = P.unit_details(c("facts.hits"), F.when(c("sent_idx") >= 0, c("text")).otherwise(""), p)
+    hit = measured(told, *units.columns, details.alias("details")).where((c("sent_idx") < 0) | (F.size("details") > 0))
     order = W.partitionBy("doc_id").orderBy(c("sent_idx") < 0, c("para_rank").desc(), "para_order", "sent_idx")
     rows = hit.withColumn("issue_order", F.row_number().over(order)).where((c("sent_idx") >= 0) | (c("issue_order") == 1))
     wide = article_report(docs, p, article_type).select("doc_id", c("score").alias("article_score"), F.transform("sources", lambda s: s["title"]).alias("titles"))
